@@ -48,10 +48,10 @@ def trading_calendar(prices: DataFrame) -> DataFrame:
 
 def civil_calendar(calendar: DataFrame) -> DataFrame:
     """Every civil day from the first to the last trading day with the position in force."""
-    until = F.lead("date").over(Window.orderBy("date"))
-    last = F.coalesce(F.date_sub(until, 1), F.col("date"))
-    return calendar.select(
-        F.explode(F.sequence("date", last, F.expr("interval 1 day"))).alias("day"), "day_idx"
+    following = F.lead("date").over(Window.orderBy("date"))
+    spans = calendar.withColumn("_until", F.coalesce(F.date_sub(following, 1), F.col("date")))
+    return spans.select(
+        F.explode(F.sequence("date", "_until", F.expr("interval 1 day"))).alias("day"), "day_idx"
     )
 
 

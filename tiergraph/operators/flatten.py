@@ -136,6 +136,17 @@ def product_roles(players: DataFrame) -> DataFrame:
     )
 
 
+def _as_groups(groups: Column, kind: str) -> Column:
+    """Groups of plain sectors in the declared document schema."""
+    declared = schemas.LAYER_GROUP if kind == "layer" else schemas.DOMAIN_GROUP
+    subs = F.lit(None).cast(schemas.SECTOR["sub_sectors"].dataType)
+    sectors = lambda g: F.transform(
+        g["sectors"], lambda s: F.struct(s["sector"], s["players"], subs.alias("sub_sectors"))
+    )
+    shaped = F.transform(groups, lambda g: F.struct(g[kind], sectors(g)))
+    return shaped.cast(f"array<{declared.simpleString()}>")
+
+
 def renest_chains(
     players: DataFrame, taxonomy: DataFrame, part_size: int = PART_SIZE
 ) -> DataFrame:
@@ -201,6 +212,12 @@ def renest_chains(
         )
         return F.transform(F.array_sort(F.collect_list(item)), lambda x: x["g"])
 
-    return groups.groupBy("chain", "part").agg(
+    nested = groups.groupBy("chain", "part").agg(
         side("layer").alias("flow"), side("domain").alias("domains")
     )
+    # Casts need equal field counts: the absent sub-sectors come in as nulls.
+    return nested.select(
+        "chain", "part",
+        *[_as_groups(F.col(name), kind).alias(name)
+          for name, kind in (("flow", "layer"), ("domains", "domain"))],
+    )
