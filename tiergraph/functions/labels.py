@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tiergraph.functions import fixed_values as fixed
+from tiergraph.functions.text import ascii_borders
 
 
 def label_date(label: Column) -> Column:
@@ -55,7 +56,7 @@ def own_call(company: Column, label: Column) -> Column:
 
 def period_mention(sentence: Column) -> Column:
     """First quarter, half-year, year or early/mid/late-year mention, else null."""
-    return F.nullif(F.regexp_extract(sentence, fixed.PERIOD, 1), F.lit(""))
+    return F.nullif(F.regexp_extract(sentence, ascii_borders(fixed.PERIOD), 1), F.lit(""))
 
 
 def period_key(mention: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -52,12 +53,19 @@ def jaccard(left: Column, right: Column) -> Column:
     return F.when(total == 0, F.lit(0.0)).otherwise(shared / F.nullif(total, F.lit(0)))
 
 
-def contains_any(text: Column, words: tuple[str, ...]) -> Column:
-    """Plain substring test for any of ``words`` (no word borders)."""
-    found = F.lit(False)
-    for word in words:
-        found = found | F.contains(text, F.lit(word))
-    return found
+def contains_any(text: Column, words: Sequence[str]) -> Column:
+    """Plain substring test for any of ``words`` (no word borders).
+
+    One quoted alternation keeps long word lists to a single small expression.
+    """
+    if len(words) == 1:
+        return F.contains(text, F.lit(words[0]))
+    return text.rlike("|".join(rf"\Q{word}\E" for word in words))
+
+
+def ascii_borders(pattern: str) -> str:
+    """A pattern whose ``\\b`` looks at ASCII word characters only."""
+    return pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
 
 
 def _decoded_entity(piece: Column) -> Column:

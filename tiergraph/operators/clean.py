@@ -95,7 +95,7 @@ def _rebuild(df: DataFrame, change) -> DataFrame:
             return F.when(value.isNotNull(), F.struct(*fields))
         return value
 
-    keep = ("chain", "path", "part")
+    keep = ("chain", "path", "part", "continues")
     return df.select(
         *[
             F.col(f.name) if f.name in keep

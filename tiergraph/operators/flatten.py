@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiergraph.operators.ordering import positions
+from tiergraph.operators.ordering import largest_group, positions
 from tiergraph.sources import schemas
 
 PART_SIZE = 100_000
@@ -154,8 +154,9 @@ def renest_chains(
 
     Layers and domains come in canonical order (unknown slugs last), sectors in
     the order they were first seen, players in walk order. Sub-sectors are not
-    rebuilt. A chain with more than ``part_size`` players continues in further
-    documents of the same chain, so no document has to hold a whole huge chain.
+    rebuilt. The largest chain is measured first: one with more than
+    ``part_size`` players makes all chains continue in further documents every
+    ``part_size`` players, so no document has to hold a whole huge chain.
     ``players`` needs chain, kind, slug, sector, company, product, connects_to,
     quarterly_data and ord.
     """
@@ -167,57 +168,62 @@ def renest_chains(
             F.coalesce("_place", F.lit(999)).alias("place"),
         ),
     )
-    first = ranked.groupBy("chain", "kind", "slug", "sector").agg(F.min("ord").alias("_sector_at"))
-    seen = ranked.groupBy("chain", "kind", "slug").agg(F.min("ord").alias("_slug_at"))
-    keyed = null_safe_join(ranked, seen, ["chain", "kind", "slug"])
-    keyed = null_safe_join(keyed, first, ["chain", "kind", "slug", "sector"])
-    placed = positions(
-        keyed, ["chain"], [F.col(c) for c in ("_group", "_slug_at", "_sector_at", "ord")], "_pos"
-    ).withColumn("part", F.floor(F.col("_pos") / part_size))
-    sectors = placed.groupBy("chain", "part", "kind", "slug", "_group", "_slug_at", "sector").agg(
-        F.min("_pos").alias("_at"),
-        F.array_sort(
-            F.collect_list(
-                F.struct(
-                    "_pos",
-                    F.struct("company", "product", "connects_to", "quarterly_data").alias("p"),
-                )
-            )
-        ).alias("_players"),
+    if largest_group(players, ["chain"]) <= part_size:
+        parted = ranked.select(
+            "*", F.lit(0).cast("bigint").alias("part"), F.col("ord").alias("_at"),
+            F.lit(False).alias("_continues"),
+        )
+    else:
+        parted = _parts(ranked, part_size)
+    player = F.struct("company", "product", "connects_to", "quarterly_data").alias("p")
+    sectors = parted.groupBy("chain", "part", "kind", "slug", "_group", "sector").agg(
+        F.min("_at").alias("_sector_at"),
+        F.array_sort(F.collect_list(F.struct("_at", player))).alias("_players"),
+        F.bool_or("_continues").alias("_continues"),
     )
-    groups = sectors.groupBy("chain", "part", "kind", "slug").agg(
-        F.min("_at").alias("_group_at"),
-        F.array_sort(
-            F.collect_list(
-                F.struct(
-                    "_at",
-                    F.struct(
-                        "sector", F.transform("_players", lambda x: x["p"]).alias("players")
-                    ).alias("s"),
-                )
-            )
-        ).alias("_sectors"),
+    sector = F.struct("sector", F.transform("_players", lambda x: x["p"]).alias("players"))
+    groups = sectors.groupBy("chain", "part", "kind", "slug", "_group").agg(
+        F.min("_sector_at").alias("_group_at"),
+        F.array_sort(F.collect_list(F.struct("_sector_at", sector.alias("s")))).alias("_sectors"),
+        F.bool_or("_continues").alias("_continues"),
     )
 
     def side(kind: str) -> Column:
-        item = F.when(
-            F.col("kind") == kind,
+        item = F.struct(
+            "_group", "_group_at",
             F.struct(
-                F.col("_group_at"),
-                F.struct(
-                    F.col("slug").alias(kind),
-                    F.transform("_sectors", lambda x: x["s"]).alias("sectors"),
-                ).alias("g"),
-            ),
+                F.col("slug").alias(kind),
+                F.transform("_sectors", lambda x: x["s"]).alias("sectors"),
+            ).alias("g"),
         )
-        return F.transform(F.array_sort(F.collect_list(item)), lambda x: x["g"])
+        mine = F.collect_list(F.when(F.col("kind") == kind, item))
+        return F.transform(F.array_sort(mine), lambda x: x["g"])
 
     nested = groups.groupBy("chain", "part").agg(
-        side("layer").alias("flow"), side("domain").alias("domains")
+        side("layer").alias("flow"), side("domain").alias("domains"),
+        F.bool_or("_continues").alias("continues"),
     )
     # Casts need equal field counts: the absent sub-sectors come in as nulls.
     return nested.select(
         "chain", "part",
         *[_as_groups(F.col(name), kind).alias(name)
           for name, kind in (("flow", "layer"), ("domains", "domain"))],
+        "continues",
+    )
+
+
+def _parts(ranked: DataFrame, part_size: int) -> DataFrame:
+    """Number players in nested order and cut every chain into parts.
+
+    ``_continues`` marks the first player of a part whose sector began earlier.
+    """
+    first = ranked.groupBy("chain", "kind", "slug", "sector").agg(F.min("ord").alias("_sector_at"))
+    seen = ranked.groupBy("chain", "kind", "slug").agg(F.min("ord").alias("_slug_at"))
+    keyed = null_safe_join(ranked, seen, ["chain", "kind", "slug"])
+    keyed = null_safe_join(keyed, first, ["chain", "kind", "slug", "sector"])
+    order = [F.col(c) for c in ("_group", "_slug_at", "_sector_at", "ord")]
+    placed = positions(keyed, ["chain"], order, "_at")
+    opens_part = (F.col("_at") > 0) & (F.col("_at") % part_size == 0)
+    return placed.withColumn("part", F.floor(F.col("_at") / part_size)).withColumn(
+        "_continues", opens_part & (F.col("ord") != F.col("_sector_at"))
     )

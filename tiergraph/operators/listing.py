@@ -68,8 +68,9 @@ def chain_listing(
     document the last one is listed. ``connects_to`` is kept for ``role_edges``.
     """
     groups = chains.select(
-        "chain", "part", F.posexplode(_last_of_each_slug(_groups(chains))).alias("_g", "g")
-    ).select("chain", "part", "_g", "g.kind", "g.slug", "g.sectors")
+        "chain", "part", "continues",
+        F.posexplode(_last_of_each_slug(_groups(chains))).alias("_g", "g"),
+    ).select("chain", "part", "continues", "_g", "g.kind", "g.slug", "g.sectors")
     every = (
         chains.select("chain", "part", F.posexplode(_groups(chains)).alias("_at", "g"))
         .select("chain", "part", "_at", "g.kind", "g.slug")
@@ -92,12 +93,18 @@ def chain_listing(
         )
         .select("chain", "kind", "slug", F.col("col").cast("bigint").alias("col"))
     )
+    # The header of a sector that continues from the part before was listed there.
+    again = F.coalesce("continues", F.lit(False)) & (F.col("_g") == 0) & (F.col("_s") == 0)
     items = (
-        groups.select("chain", "part", "_g", "kind", "slug", F.posexplode("sectors").alias("_s", "s"))
+        groups.select(
+            "chain", "part", "continues", "_g", "kind", "slug",
+            F.posexplode("sectors").alias("_s", "s"),
+        )
         .select(
-            "chain", "part", "_g", "kind", "slug", "_s", F.col("s.sector").alias("sector"),
-            F.posexplode(_items(F.col("s"))).alias("_i", "i"),
+            "chain", "part", "kind", "slug", "_g", "_s", again.alias("_again"),
+            F.col("s.sector").alias("sector"), F.posexplode(_items(F.col("s"))).alias("_i", "i"),
         )
+        .filter(~F.col("_again") | (F.col("_i") > 0))
         .select(
             "chain", "kind", "slug", F.coalesce("sector", F.lit("")).alias("sector"),
             F.coalesce("i.sub_sector", F.lit("")).alias("sub_sector"),
@@ -111,21 +118,6 @@ def chain_listing(
             F.struct("part", "_g", "_s", "_i").alias("ord"),
         )
     )
-    # A sector that continues in the next part of a long chain has one header.
-    opened = (
-        items.filter(F.col("header").isNotNull() & (F.col("ord.part") > 0) & (F.col("ord._s") == 0))
-        .select("chain", "kind", "slug", "sector", F.col("ord.part").alias("_part"))
-        .distinct()
-    )
-    earlier = items.filter(F.col("header") == 0).groupBy("chain", "kind", "slug", "sector").agg(
-        F.min("ord.part").alias("_first_part")
-    )
-    repeated = opened.join(earlier, ["chain", "kind", "slug", "sector"]).filter(
-        F.col("_part") > F.col("_first_part")
-    ).select("chain", "kind", "slug", "sector", "_part", F.lit(0).alias("header"))
-    items = items.withColumn("_part", F.col("ord.part")).join(
-        repeated, ["chain", "kind", "slug", "sector", "_part", "header"], "left_anti"
-    ).drop("_part")
     rowed = positions(items, ["chain", "kind", "slug"], [F.col("ord")], "row", group_limit)
     return rowed.join(columns, ["chain", "kind", "slug"])
 

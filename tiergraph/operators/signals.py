@@ -26,7 +26,7 @@ def _spoken() -> Column:
 
 def _hits(text: Column, rules: Rules) -> list[Column]:
     return [
-        F.bool_or(text.rlike(f"(?i){pattern}")).alias(f"_b{i}")
+        F.bool_or(text.rlike(f"(?i){tx.ascii_borders(pattern)}")).alias(f"_b{i}")
         for i, (_, pattern) in enumerate(rules)
     ]
 

@@ -14,6 +14,7 @@ from tiergraph.operators import coverage as cov
 from tiergraph.operators import eventstudy as es
 from tiergraph.operators import flatten, graph, signals, transitions
 from tiergraph.operators.graph import Graph
+from tiergraph.session import cut
 
 
 def build_graph(chains: DataFrame, metadata: DataFrame) -> Graph:
@@ -83,11 +84,13 @@ def event_study(
     windows: Sequence[int] = fixed.WINDOWS,
 ) -> es.Study:
     """Abnormal returns after calls, by group, against benchmarks and the universe."""
-    calendar = es.trading_calendar(prices)
+    # Six result tables share these steps. They hold calls, not prices, so keeping
+    # them is cheap next to joining the prices again for every table.
+    calendar = cut(es.trading_calendar(prices))
     closes = es.indexed_prices(prices, calendar)
-    placed = es.placed_calls(es.assign_group(calls, flagged), prices, calendar)
-    returns = es.call_returns(placed, closes, windows)
-    values = es.abnormal_returns(returns, closes, benchmarks, windows)
+    placed = cut(es.placed_calls(es.assign_group(calls, flagged), prices, calendar))
+    returns = cut(es.call_returns(placed, closes, windows))
+    values = cut(es.abnormal_returns(returns, closes, benchmarks, windows))
     events = es.wide_events(placed, values, benchmarks, windows)
     copies = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
     values = values.withColumn("copy", copies).drop("copies")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tiergraph.functions import fixed_values as fixed
 from tiergraph.operators.flatten import renest_chains
+from tiergraph.session import cut
 from tiergraph.sources.dims import taxonomy
 
 # Slugs by ``size mod 18``: 13 layers, 4 domains and one slug outside the vocabulary.
@@ -236,9 +237,9 @@ ORDER_PLAYERS = f"""order_players AS (
 
 
 def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One nested chain document per order, headed by the customer."""
+    """One nested chain document per order; kept, since the operators read it repeatedly."""
     nested = renest_chains(order_players(spark, sf_dir), taxonomy(spark))
-    return nested.withColumn("path", F.col("chain"))
+    return cut(nested.withColumn("path", F.col("chain")))
 
 
 # --- trade between nations: a small dense graph made of every line -----------------

@@ -114,9 +114,9 @@ sig AS (SELECT company AS id, count(DISTINCT (quarter, product)) AS n_signals,
         FROM order_players GROUP BY 1),
 prim AS (
   SELECT company AS id, coalesce(
-    arg_min(slug, at) FILTER (WHERE kind = 'layer'), arg_min(slug, at)) AS "primary" FROM (
+    arg_min(slug, spot) FILTER (WHERE kind = 'layer'), arg_min(slug, spot)) AS "primary" FROM (
       SELECT *, (chain, CASE kind WHEN 'layer' THEN CASE slug WHEN 'legacy' THEN 999 ELSE place END
-                   ELSE 1000 + place END, ord) AS at FROM order_players) GROUP BY 1)""", """
+                   ELSE 1000 + place END, ord) AS spot FROM order_players) GROUP BY 1)""", """
 SELECT s.id, p."primary", degree, CAST(greatest(4, floor(pow(degree, 1.5))) AS BIGINT) AS size,
        n_signals, strftime(day, '%Y-%m-%d') AS last_data, '' AS badges,
        epoch(TIMESTAMP '2001-06-15 12:00:00' - CAST(day AS TIMESTAMP)) / 86400.0 > 180 AS stale,
@@ -199,7 +199,7 @@ def chain_listing(spark, sf_dir):
 
 
 @query(with_ctes(ORDER_PLAYERS, NESTED, LISTED, """
-at AS (SELECT chain, company, min((col, pos + heads)) AS p FROM listed GROUP BY 1, 2),
+spot AS (SELECT chain, company, min((col, pos + heads)) AS p FROM listed GROUP BY 1, 2),
 stated AS (
   SELECT chain, company AS source, following AS target, col, pos + heads AS "row", 0 AS e,
          0 AS n_contracts FROM listed WHERE following IS NOT NULL AND following <> company
@@ -207,14 +207,15 @@ stated AS (
          CASE WHEN following IS NULL THEN 0 ELSE 1 END, n_contracts FROM listed),
 ext AS (
   SELECT chain, target, row_number() OVER (PARTITION BY chain ORDER BY min((col, "row", e))) - 1 AS n
-  FROM stated s WHERE NOT EXISTS (SELECT 1 FROM at WHERE at.chain = s.chain AND at.company = s.target)
+  FROM stated s WHERE NOT EXISTS (SELECT 1 FROM spot WHERE spot.chain = s.chain AND spot.company = s.target)
   GROUP BY 1, 2),
 width AS (SELECT chain, max(col) + 1 AS w FROM listed GROUP BY 1)""", """
 SELECT s.chain, s.source, s.target, s.col AS from_col, s."row" AS from_row,
-       coalesce(struct_extract(at.p, 1), w) AS to_col, coalesce(struct_extract(at.p, 2), ext.n) AS to_row,
-       s.n_contracts, at.p IS NULL AS external
+       coalesce(struct_extract(spot.p, 1), w) AS to_col,
+       coalesce(struct_extract(spot.p, 2), ext.n) AS to_row,
+       s.n_contracts, spot.p IS NULL AS external
 FROM stated s JOIN width USING (chain)
-LEFT JOIN at ON at.chain = s.chain AND at.company = s.target
+LEFT JOIN spot ON spot.chain = s.chain AND spot.company = s.target
 LEFT JOIN ext ON ext.chain = s.chain AND ext.target = s.target"""))
 def role_edges(spark, sf_dir):
     rows = listing.chain_listing(pj.order_documents(spark, sf_dir), dims.taxonomy(spark))

@@ -110,11 +110,11 @@ def classify_players(spark, sf_dir):
 
 
 @query(with_ctes(PLACED, """
-both AS (
+rev AS (
   SELECT company, tier, slug, sector, note, n FROM placed
   UNION ALL SELECT company || ' (also)', tier, 'compute_hardware', 'Networking ASIC',
          'dual placement — mirror of primary', n FROM placed WHERE mirrored)""", """
-SELECT company, tier, slug, sector, note, sum(n) AS n FROM both GROUP BY ALL"""))
+SELECT company, tier, slug, sector, note, sum(n) AS n FROM rev GROUP BY ALL"""))
 def review_table(spark, sf_dir):
     rows = classify.review_table(
         classify.add_stubs(classify.classify_players(tier_players(spark, sf_dir)))

@@ -166,8 +166,8 @@ tails AS (
 
 
 @query(with_ctes(PRICES, CALLS, RETURNS, STATS, """
-SELECT grp AS "group", metric, n, round(mean, 5) AS mean, round(median, 5) AS median,
-       round(hit, 3) AS hit_rate, round(p, 4) AS p_value FROM tails"""))
+SELECT grp AS "group", metric, n, round_even(mean, 5) AS mean, round_even(median, 5) AS median,
+       round_even(hit, 3) AS hit_rate, round_even(p, 4) AS p_value FROM tails"""))
 def group_stats(spark, sf_dir):
     return _study(spark, sf_dir).stats
 

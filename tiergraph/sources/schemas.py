@@ -38,6 +38,8 @@ CHAIN = T.StructType(
         *_strings("company", "chain_focus"),
         T.StructField("flow", T.ArrayType(LAYER_GROUP)),
         T.StructField("domains", T.ArrayType(DOMAIN_GROUP)),
+        # Set on a further part of a long chain whose first sector began in the part before.
+        T.StructField("continues", T.BooleanType()),
     ]
 )
 TIER_CHAIN = T.StructType(
