@@ -71,7 +71,9 @@ if __name__ == "__main__":
     folder = sys.argv[1]
     names = sys.argv[2:] or list(REGISTRY)
     session = build_session(master="local[8]", shuffle_partitions=8,
-                            extra={"spark.ui.enabled": "false", "spark.driver.memory": "16g"})
+                            extra={"spark.ui.enabled": "false",
+                                   "spark.ui.showConsoleProgress": "false",
+                                   "spark.driver.memory": "16g"})
     session.sparkContext.setLogLevel("ERROR")
     base = database(folder)
     for n in names:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 from html.entities import html5
 
@@ -14,6 +15,11 @@ from tiergraph.functions import fixed_values as fixed
 # Blank characters beyond ASCII that count as white space in the source texts.
 SPACE = r"[\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 
+BLANKS = (
+    " \t\n\r\f\v\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
+
 # Start or end of anything that ends an open paragraph.
 BLOCK_TAGS = (
     "address", "article", "aside", "blockquote", "body", "details", "div", "dl", "fieldset",
@@ -28,16 +34,29 @@ ENTITY_PIECES = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);|[^&]+|&"
 
 def utf16_length(text: Column) -> Column:
     """Length in UTF-16 units, which counts characters beyond the base plane twice."""
-    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
+    wide = (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
+    return F.when(F.octet_length(text) == F.length(text), F.length(text)).otherwise(wide)
+
+
+def split_sentences(text: Column) -> Column:
+    """Pieces after ``.`` or ``;`` and white space, untrimmed and of any length."""
+    return F.split(text, rf"(?<=[.;]){SPACE}+")
+
+
+def trimmed(piece: Column) -> Column:
+    """A piece without white space around it."""
+    return F.btrim(piece, F.lit(BLANKS))
+
+
+def sentence_sized(units: Column) -> Column:
+    """Whether a length is that of a sentence: 25 to 240 units."""
+    return units.between(fixed.SENTENCE_MIN, fixed.SENTENCE_MAX)
 
 
 def sentences(text: Column) -> Column:
-    """Pieces after ``.`` or ``;`` and white space, trimmed, of 25 to 240 units."""
-    pieces = F.split(text, rf"(?<=[.;]){SPACE}+")
-    trimmed = F.transform(pieces, lambda s: F.regexp_replace(s, rf"^{SPACE}+|{SPACE}+$", ""))
-    return F.filter(
-        trimmed, lambda s: utf16_length(s).between(fixed.SENTENCE_MIN, fixed.SENTENCE_MAX)
-    )
+    """Trimmed sentences of a text that have a fitting length."""
+    pieces = F.transform(split_sentences(text), trimmed)
+    return F.filter(pieces, lambda s: sentence_sized(utf16_length(s)))
 
 
 def token_set(text: Column) -> Column:
@@ -64,8 +83,12 @@ def contains_any(text: Column, words: Sequence[str]) -> Column:
 
 
 def ascii_borders(pattern: str) -> str:
-    """A pattern whose ``\\b`` looks at ASCII word characters only."""
-    return pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
+    """A pattern whose ``\\b`` looks at ASCII word characters only.
+
+    A border at the end of an alternative closes a word, any other opens one.
+    """
+    closing = re.sub(r"\\b(?=$|[|)])", r"(?!\\w)", pattern)
+    return closing.replace(r"\b", r"(?<!\w)")
 
 
 def _decoded_entity(piece: Column) -> Column:
@@ -106,7 +129,8 @@ def paragraphs(html: Column) -> Column:
     an unclosed one does not swallow what follows.
     """
     content = F.regexp_replace(html, NOT_CONTENT, "")
-    opened = F.slice(F.split(content, PARAGRAPH_OPEN), 2, 2147483647)
+    pieces = F.split(content, PARAGRAPH_OPEN)
+    opened = F.slice(pieces, 2, F.size(pieces))
     inner = F.transform(opened, lambda p: F.split(p, PARAGRAPH_CLOSE, 2)[0])
     return F.transform(inner, lambda p: unescape_entities(F.regexp_replace(p, r"<[^>]*>", "")))
 

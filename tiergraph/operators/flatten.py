@@ -136,17 +136,6 @@ def product_roles(players: DataFrame) -> DataFrame:
     )
 
 
-def _as_groups(groups: Column, kind: str) -> Column:
-    """Groups of plain sectors in the declared document schema."""
-    declared = schemas.LAYER_GROUP if kind == "layer" else schemas.DOMAIN_GROUP
-    subs = F.lit(None).cast(schemas.SECTOR["sub_sectors"].dataType)
-    sectors = lambda g: F.transform(
-        g["sectors"], lambda s: F.struct(s["sector"], s["players"], subs.alias("sub_sectors"))
-    )
-    shaped = F.transform(groups, lambda g: F.struct(g[kind], sectors(g)))
-    return shaped.cast(f"array<{declared.simpleString()}>")
-
-
 def renest_chains(
     players: DataFrame, taxonomy: DataFrame, part_size: int = PART_SIZE
 ) -> DataFrame:
@@ -175,39 +164,41 @@ def renest_chains(
         )
     else:
         parted = _parts(ranked, part_size)
+    # A part is bounded, so its rows may meet once and be nested without more shuffles.
+    parted = parted.repartition("chain", "part")
     player = F.struct("company", "product", "connects_to", "quarterly_data").alias("p")
     sectors = parted.groupBy("chain", "part", "kind", "slug", "_group", "sector").agg(
         F.min("_at").alias("_sector_at"),
         F.array_sort(F.collect_list(F.struct("_at", player))).alias("_players"),
         F.bool_or("_continues").alias("_continues"),
     )
-    sector = F.struct("sector", F.transform("_players", lambda x: x["p"]).alias("players"))
-    groups = sectors.groupBy("chain", "part", "kind", "slug", "_group").agg(
-        F.min("_sector_at").alias("_group_at"),
-        F.array_sort(F.collect_list(F.struct("_sector_at", sector.alias("s")))).alias("_sectors"),
-        F.bool_or("_continues").alias("_continues"),
+    sector = F.struct(
+        "sector",
+        F.transform("_players", lambda x: x["p"]).alias("players"),
+        F.lit(None).cast(schemas.SECTOR["sub_sectors"].dataType).alias("sub_sectors"),
+    )
+    placed = F.struct("_group", "_sector_at", "kind", "slug", sector.alias("s"))
+    documents = sectors.groupBy("chain", "part").agg(
+        F.array_sort(F.collect_list(placed)).alias("_sectors"),
+        F.bool_or("_continues").alias("continues"),
     )
 
-    def side(kind: str) -> Column:
-        item = F.struct(
-            "_group", "_group_at",
-            F.struct(
-                F.col("slug").alias(kind),
-                F.transform("_sectors", lambda x: x["s"]).alias("sectors"),
-            ).alias("g"),
+    def groups(kind: str) -> Column:
+        """Distinct slugs of a kind in canonical, then first-seen order, with their sectors."""
+        mine = F.filter("_sectors", lambda x: x["kind"] == kind)
+        slugs = F.array_distinct(F.transform(mine, lambda x: x["slug"]))
+        return F.transform(
+            slugs,
+            lambda slug: F.struct(
+                slug.alias(kind),
+                F.transform(
+                    F.filter(mine, lambda x: x["slug"].eqNullSafe(slug)), lambda x: x["s"]
+                ).alias("sectors"),
+            ),
         )
-        mine = F.collect_list(F.when(F.col("kind") == kind, item))
-        return F.transform(F.array_sort(mine), lambda x: x["g"])
 
-    nested = groups.groupBy("chain", "part").agg(
-        side("layer").alias("flow"), side("domain").alias("domains"),
-        F.bool_or("_continues").alias("continues"),
-    )
-    # Casts need equal field counts: the absent sub-sectors come in as nulls.
-    return nested.select(
-        "chain", "part",
-        *[_as_groups(F.col(name), kind).alias(name)
-          for name, kind in (("flow", "layer"), ("domains", "domain"))],
+    return documents.select(
+        "chain", "part", groups("layer").alias("flow"), groups("domain").alias("domains"),
         "continues",
     )
 

@@ -96,18 +96,24 @@ def recent_signals(signals: DataFrame, k: int = 8) -> DataFrame:
 
 
 def dated_sentences(signals: DataFrame) -> DataFrame:
-    """Sentences that mention a period, with period, year, tokens and place."""
+    """Sentences that mention a period, with period, year, tokens and place.
+
+    Cheap tests come first: the length, then any year at all (every period names
+    one), and only then the period pattern.
+    """
     pieces = signals.select(
         "company", "ord",
-        F.posexplode(tx.sentences(F.coalesce("signal", F.lit("")))).alias("at", "text"),
+        F.posexplode(tx.split_sentences(F.coalesce("signal", F.lit("")))).alias("at", "_piece"),
     )
     year = lambda c: F.nullif(F.regexp_extract(c, r"20\d\d", 0), F.lit(""))
     return (
-        pieces.withColumn("when", labels.period_mention(F.col("text")))
+        pieces.select("company", "ord", "at", tx.trimmed(F.col("_piece")).alias("text"))
+        .withColumn("units", tx.utf16_length(F.col("text")))
+        .filter(tx.sentence_sized(F.col("units")) & F.col("text").rlike(r"20\d\d"))
+        .withColumn("when", labels.period_mention(F.col("text")))
         .filter(F.col("when").isNotNull())
         .withColumn("year", F.coalesce(year(F.col("text")), year(F.col("when"))))
         .withColumn("tokens", tx.token_set(F.col("text")))
-        .withColumn("units", tx.utf16_length(F.col("text")))
         .withColumn("place", F.struct("ord", "at"))
     )
 

@@ -14,6 +14,7 @@ from tiergraph.operators import coverage as cov
 from tiergraph.operators import eventstudy as es
 from tiergraph.operators import flatten, graph, signals, transitions
 from tiergraph.operators.graph import Graph
+from tiergraph.operators.ordering import first_rows
 from tiergraph.session import cut
 
 
@@ -71,6 +72,18 @@ def enrich_graph(
     }
 
 
+def top_counterparties(edges: DataFrame, k: int = 5) -> DataFrame:
+    """Best ``k`` customers of every company by contracts, with the company's degree.
+
+    Edges are read once: both results come from the merged counterparties.
+    """
+    parties = cut(graph.counterparties(edges, "out"))
+    ends = parties.select(F.explode(F.array("id", "other")).alias("id"), "n_edges")
+    degrees = ends.groupBy("id").agg(F.sum("n_edges").alias("degree"))
+    order = [F.col("n_contracts").desc(), F.col("ord")]
+    return first_rows(parties, ["id"], order, k).join(degrees, "id")
+
+
 def extract_calls(sig: DataFrame, metadata: DataFrame) -> DataFrame:
     """The call universe: listed companies' own dated calls, one per ticker and day."""
     return call_ops.dedupe_calls(call_ops.candidate_calls(sig, metadata))

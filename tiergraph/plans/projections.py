@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tiergraph.functions import fixed_values as fixed
 from tiergraph.operators.flatten import renest_chains
-from tiergraph.session import cut
+from tiergraph.session import cut, spread
 from tiergraph.sources.dims import taxonomy
 
 # Slugs by ``size mod 18``: 13 layers, 4 domains and one slug outside the vocabulary.
@@ -24,8 +24,13 @@ COVERAGE_NOW = 992606400
 BARS_NOW, BARS_YEAR_START = 1708387200, 1704067200
 
 
+TEXTS = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; texts, which cost more per byte than they are long, go to all cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXTS else df
 
 
 def epoch_seconds(moment: Column) -> Column:

@@ -9,7 +9,7 @@ from tiergraph.functions import fixed_values as fixed
 from tiergraph.functions.display import contract_summary
 from tiergraph.functions.market import node_size
 from tiergraph.operators import flatten, graph, listing, reach, screener, transitions
-from tiergraph.operators.ordering import first_rows
+from tiergraph.plans import jobs
 from tiergraph.plans import projections as pj
 from tiergraph.plans.projections import (
     EDGES, MEMBERS, METADATA, PLAYERS, REACH, REPLY_LINKS, TRADE_LINKS, with_ctes,
@@ -157,10 +157,7 @@ FROM ranked r JOIN deg USING (id) WHERE rank <= 5""")
 @query(TOP_PARTIES)
 def top_counterparties(spark, sf_dir):
     """The flagship: best counterparties of every supplier, with its degree."""
-    edges = pj.edges(spark, sf_dir)
-    order = [F.col("n_contracts").desc(), F.col("ord")]
-    top = first_rows(graph.counterparties(edges, "out"), ["id"], order, 5)
-    return top.join(graph.degree(edges), "id").select(
+    return jobs.top_counterparties(pj.edges(spark, sf_dir), 5).select(
         "id", "degree", F.col("rank").cast("bigint").alias("rank"), "other", "relationship",
         "n_contracts",
     )
