@@ -29,7 +29,7 @@ def long_prices(wide: DataFrame, date: str, tickers: Sequence[str]) -> DataFrame
     NaN becomes null; rows stay, since a date without a close is a trading day.
     """
     closes = wide.select(date, *[F.col(f"`{t}`").cast("double").alias(t) for t in tickers])
-    melted = closes.unpivot([date], list(tickers), "ticker", "close")
+    melted = closes.unpivot([date], [F.col(f"`{t}`") for t in tickers], "ticker", "close")
     return melted.select(
         F.col(date).cast("date").alias("date"),
         "ticker",
