@@ -14,6 +14,7 @@ from tiergraph.plans.projections import (
     BENCHMARKS, CALLS, METADATA, PRICES, RETURNS, SIGNALS, WINDOWS, with_ctes,
 )
 from tiergraph.plans.registry import query
+from tiergraph.session import cut
 from tiergraph.sources import tables
 
 ISO = "yyyy-MM-dd"
@@ -28,9 +29,10 @@ def _grouped(spark, sf_dir):
 
 
 def _study(spark, sf_dir):
+    # A study reads a price table; here one is first derived from the orders.
+    prices = cut(pj.prices(spark, sf_dir))
     return jobs.event_study(
-        _calls(spark, sf_dir), pj.flagged(spark, sf_dir), pj.prices(spark, sf_dir),
-        BENCHMARKS, WINDOWS,
+        _calls(spark, sf_dir), pj.flagged(spark, sf_dir), prices, BENCHMARKS, WINDOWS
     )
 
 
