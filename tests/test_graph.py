@@ -177,10 +177,12 @@ def test_group_listing_orders_by_sector_then_name(spark, g):
 
 
 def test_graph_survives_writing(spark, g, tmp_path):
-    sinks.write_graph(g, str(tmp_path / "g"))
-    back = sinks.read_graph(spark, str(tmp_path / "g"))
-    assert back.edges.count() == g.edges.count() and back.nodes.count() == g.nodes.count()
-    assert back.edges.filter("chain = 'b_beta'").count() == 1
+    for limit in (10, 1):
+        sinks.write_graph(g, str(tmp_path / f"g{limit}"), limit)
+        back = sinks.read_graph(spark, str(tmp_path / f"g{limit}"))
+        assert back.edges.count() == g.edges.count() and back.nodes.count() == g.nodes.count()
+        assert back.edges.filter("chain = 'b_beta'").count() == 1
+        assert (tmp_path / f"g{limit}" / "edges" / "chain=b_beta").exists() is (limit == 10)
 
 
 def edges(spark, pairs):

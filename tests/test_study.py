@@ -10,6 +10,7 @@ from tiergraph.operators import calls as call_ops
 from tiergraph.operators import eventstudy as es
 from tiergraph.operators import merge
 from tiergraph.plans import jobs
+from tiergraph.sources import sinks
 
 DAY = datetime.date
 
@@ -124,6 +125,12 @@ def test_member_lists_cover_empty_pairs(study):
     assert sorted(r.companies for r in paged.filter("n_companies > 1").collect()) == ["Alpha; Alpha", "Gap"]
 
 
+def test_study_is_written_whole(spark, study, tmp_path):
+    sinks.write_study(study, str(tmp_path))
+    for name in ("events", "universe", "stats", "excluded", "members"):
+        assert spark.read.parquet(str(tmp_path / name)).count() == getattr(study, name).count()
+
+
 def test_call_universe(spark):
     rows = [
         ("Intel Foundry", "Intel Q1 FY2026 (04-23-2026)", 0), ("Intel", "Intel Q1 FY2026 (04-23-2026) ", 1),

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 import samples
 from tiergraph.functions import placement_rules as pr
-from tiergraph.operators import classify, clean, coverage as cov, market, merge, screener, tables, transitions
+from tiergraph.operators import classify, clean, coverage as cov, flatten, market, merge, screener
+from tiergraph.operators import tables, transitions
 from tiergraph.plans import jobs
 from tiergraph.sources import dims, documents
 from tiergraph.streaming import additions
@@ -161,8 +162,6 @@ def test_renames_grow_when_repeated_unless_word_safe(spark):
 def test_renames_and_labels_inside_documents(spark, tmp_path):
     chains = documents.read_chains(spark, samples.write_chains(str(tmp_path)))
     renamed = clean.rename_chains(chains, {"Fab": "Fabric", "sold": "SOLD"})
-    from tiergraph.operators import flatten
-
     players = flatten.explode_players(renamed)
     assert {r.company for r in players.collect()} >= {"Fabric"}
     assert "Fabric" in {r.target for r in flatten.explode_edges(players).collect()}
@@ -173,8 +172,6 @@ def test_renames_and_labels_inside_documents(spark, tmp_path):
 
 
 def test_vocabulary_check(spark, tmp_path):
-    from tiergraph.operators import flatten
-
     players = flatten.explode_players(documents.read_chains(spark, samples.write_chains(str(tmp_path))))
     bad = clean.vocabulary_check(players, dims.taxonomy(spark))
     assert [(r.slug, r.n) for r in bad.collect()] == [("odd_slug", 1)]
@@ -195,6 +192,15 @@ def test_merging_only_adds_and_repeats_are_ignored(spark):
     assert again.count() == 3 and merge.lost_rows(base, again).count() == 0
 
 
+def test_contracts_are_appended_once(spark, tmp_path):
+    chains = documents.read_chains(spark, samples.write_chains(str(tmp_path)))
+    stated = flatten.explode_contracts(flatten.explode_edges(flatten.explode_players(chains)))
+    base = stated.filter("contract.signal <> 'b'")
+    merged = merge.merge_contracts(base, stated)
+    assert sorted(r.contract.signal for r in merged.collect()) == ["a", "b", "c"]
+    assert merge.merge_contracts(merged, stated).count() == 3
+
+
 def test_latest_row_replaces(spark):
     kind = "company string, v int, asof string"
     old = spark.createDataFrame([("A", 1, "2026-01"), ("B", 1, "2026-05"), ("C", 1, None)], kind)
