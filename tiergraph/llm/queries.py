@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiergraph.llm import exact_dedup
+from tiergraph.llm import decontaminate, exact_dedup, pack
 from tiergraph.llm.common import table
 from tiergraph.plans.registry import Query
 
@@ -33,3 +33,49 @@ def query(sql: str | None = None) -> Callable:
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_dedup.exact_groups(table(spark, sf_dir, "documents"), hash_all=True)
     return groups.withColumnsRenamed({"id": "doc_id", "full_hash": "text_sha256"})
+
+
+WORDS = f"regexp_extract_all({LOWERED.format('text')}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+
+
+@query(f"""
+    WITH items AS (SELECT item_id, {WORDS} AS w FROM benchmark),
+    sized AS (SELECT item_id, w, least(len(w), 13) AS m FROM items WHERE len(w) > 0),
+    wins AS (
+        SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS win
+        FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS i FROM sized)),
+    docs AS (SELECT doc_id, {WORDS} AS w FROM documents),
+    spots AS (
+        SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS win
+        FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i
+              FROM docs, (SELECT DISTINCT m FROM sized))),
+    found AS (SELECT doc_id, item_id, i, m FROM spots JOIN wins USING (m, win)),
+    hits AS (
+        SELECT doc_id, count(DISTINCT p) AS n_hit
+        FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM found) GROUP BY doc_id),
+    names AS (
+        SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS joined
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+           coalesce(n_items, 0) AS n_items, sha256(coalesce(joined, '')) AS items_sha256,
+           coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN names USING (doc_id)
+""")
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        decontaminate.contaminated().alias("contaminated"),
+    )
+
+
+@query()
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack.pack(table(spark, sf_dir, "documents"))
+    return packed.withColumnsRenamed({"id": "doc_id", "length": "n_chars"})
