@@ -50,8 +50,11 @@ def exact_groups(
         )
     )
     shared = hashes.where("shared")
-    groups = shared.groupBy("n", "full").agg(
-        F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
+    # Written first: a side that still aggregates would keep Spark from splitting the other.
+    groups = stored(
+        shared.groupBy("n", "full").agg(
+            F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
+        )
     )
     out = ["id", "keep_id", "group_size", "full"]
     return (
