@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiergraph.llm import decontaminate, exact_dedup, pack
+from tiergraph.llm import decontaminate, exact_dedup, jaccard_join, pack
 from tiergraph.llm.common import table
 from tiergraph.plans.registry import Query
 
@@ -79,3 +79,29 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack.pack(table(spark, sf_dir, "documents"))
     return packed.withColumnsRenamed({"id": "doc_id", "length": "n_chars"})
+
+
+@query(f"""
+    WITH RECURSIVE d AS (
+        SELECT doc_id, regexp_extract_all({LOWERED.format('text')}, '[^\\x20\\x09-\\x0D]+') AS w
+        FROM documents),
+    s AS (
+        SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i
+              FROM d WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (
+        SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+        FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    links AS (
+        SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y
+        WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+    r AS (
+        SELECT doc_id AS x, doc_id AS y FROM d
+        UNION SELECT r.x, links.y FROM r JOIN links ON r.y = links.x)
+    SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.y) AS component_id
+    FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.x = d.doc_id GROUP BY d.doc_id
+""")
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = jaccard_join.near_groups(table(spark, sf_dir, "documents"))
+    return groups.withColumnsRenamed({"id": "doc_id", "component": "component_id"})
