@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiergraph.llm import decontaminate, exact_dedup, jaccard_join, pack
+from tiergraph.llm import decontaminate, exact_dedup, jaccard_join, pack, quality
 from tiergraph.llm.common import table
 from tiergraph.plans.registry import Query
 
@@ -105,3 +105,17 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = jaccard_join.near_groups(table(spark, sf_dir, "documents"))
     return groups.withColumnsRenamed({"id": "doc_id", "component": "component_id"})
+
+
+@query()
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        F.col("id").alias("doc_id"),
+        quality.held_out(F.col("id")).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= quality.GOOD, 1).otherwise(0).alias("predicted"),
+        "passage",
+        "attention",
+    )
