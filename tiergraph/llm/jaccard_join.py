@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from tiergraph.llm.common import maybe_in, slices, stored, text_bytes
 from tiergraph.llm.components import components
@@ -19,8 +20,10 @@ SLOT_BITS = 20
 CHUNK = 1 << 14
 #: A slot this far above the mean marks its shingles as frequent.
 FREQUENT_FACTOR, FREQUENT_LEAST = 4, 64
-#: Signature length. See ``signature``.
-DEPTH = 32
+#: Signature tokens of a class, and how many of them similar sets share. See ``signature``.
+DEPTH, SHARED = 48, 7
+#: Rounds of dropping tokens and sets that cannot link; more rounds drop more, none a link.
+REFINEMENTS = 2
 #: Rows of one prefix tree; larger buckets are compared block by block.
 BLOCK = 1_000
 FREQUENT = U64(1 << 63)
@@ -37,23 +40,27 @@ def ordered(shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.sort((shingles >> U64(1)) | np.where(late, FREQUENT, U64(0)))
 
 
+def least_shared(n: int) -> int:
+    """Signature tokens that a set of this size shares with every similar one."""
+    return min(SHARED, -(-8 * n // 10))
+
+
 def signature(tokens: np.ndarray) -> np.ndarray:
-    """The tokens under which a set meets every similar one.
-
-    Sets with similarity >= 0.8 share one of their first ``n - ceil(0.8 n) + 1`` tokens
-    in any common order. Up to ``DEPTH`` tokens that rule is used as it is. Beyond, the
-    order within rare and within frequent tokens is random, and one of the two classes
-    is at least as similar as the whole, or the rare one still more than half as much:
-    its first ``DEPTH`` tokens all differ with a chance below 1e-12 a pair, less than
-    the sets' own hashes leave.
+    """The tokens of which a set shares at least ``least_shared`` with every similar one.
+
+    Sets with similarity >= 0.8 share k of their first ``n - ceil(0.8 n) + k`` tokens in
+    any common order. Up to ``DEPTH`` tokens that rule is used as it is. Beyond, the
+    order within rare and within frequent tokens is random. Where frequent tokens are
+    few, at least 0.64 of the rare ones are shared, else 0.8 of one class: fewer than
+    ``SHARED`` among the first ``DEPTH`` of that class has a chance below 1e-12 a pair,
+    less than the sets' own hashes leave.
     """
     n = len(tokens)
-    first = n - -(-8 * n // 10) + 1 if n else 0
-    if first <= DEPTH:
-        return tokens[:first]
+    first = n - -(-8 * n // 10) + least_shared(n)
     rare = int(np.searchsorted(tokens, FREQUENT))
     late = tokens[rare : rare + DEPTH] if 10 * (n - rare) >= 8 * rare else tokens[:0]
-    return np.concatenate([tokens[: min(rare, DEPTH)], late])
+    early = tokens[: first if first <= DEPTH else min(rare, DEPTH)]
+    return np.union1d(early, late)
 
 
 class _Node:
@@ -272,12 +279,10 @@ def near_groups(
     over the texts count all shingles into a fixed-size table, which orders them, and
     take the size, a mark of the whole set and its signature. Equal sets collapse to
     their smallest id. Signature tokens that occur once are gone after one shuffle of
-    tokens; sets that share the rest meet in cells, where prefix trees over the whole
-    ordered sets decide every link. The first round sends a set to one cell, the one of
-    its commonest token together with that token's smallest set; the second compares
-    only where a token's sets are not yet all in one group. Cells hold ``BLOCK`` sets;
-    a larger group of sets is split to blocks, in the second round to all pairs of
-    blocks, so nothing is left out.
+    tokens, and sets with too few others. Sets that the rest connects meet in a cell,
+    where a prefix tree over the whole ordered sets decides every link. Cells hold
+    ``BLOCK`` sets; more connected sets than that are compared token by token, block by
+    block, so nothing is left out.
 
     Returns one row per input row: ``id``, ``n_shingles``, ``component`` (smallest id
     reachable by links, itself included).
@@ -302,7 +307,7 @@ def near_groups(
         named.join(classes, "mark")
         .where(F.col("id") == F.col("rep"))
         .dropDuplicates(["rep", "mark"])
-        .select("rep", F.explode("tokens").alias("token"))
+        .select("rep", F.expr(f"least({SHARED}, ceil(0.8 * n))").alias("need"), F.explode("tokens").alias("token"))
     )
     links = _join(rows, stored(tokens), frequent, shingle_words)
     roots = components(links)
@@ -318,22 +323,41 @@ def near_groups(
 
 
 def _join(rows: DataFrame, tokens: DataFrame, frequent, size: int) -> DataFrame:
-    by_token = tokens.groupBy("token").agg(
-        F.count(F.lit(1)).alias("df"),
-        F.min("rep").alias("first"),
-        F.bit_xor(F.xxhash64("rep")).alias("members"),
+    met = tokens
+    for _ in range(REFINEMENTS):
+        # A token that one set has, and then a set with too few tokens left, cannot link.
+        shared = stored(met.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+        met = stored(
+            maybe_in(met, shared, {"token": F.col("token")}, "_maybe")
+            .where("_maybe")
+            .select("rep", "need", "token")
+            .join(shared, "token")
+        )
+        able = stored(
+            met.groupBy("rep").agg(F.count(F.lit(1)).alias("c"), F.min("need").alias("need"))
+            .where("c >= need")
+            .select("rep")
+        )
+        met = stored(met.join(able, "rep", "left_semi"))
+    # Similar sets share more tokens than both may leave out, so they still meet once.
+    turn = F.row_number().over(W.partitionBy("rep").orderBy(F.desc("df"), "token"))
+    met = stored(
+        met.withColumn("turn", turn).where("turn > (need - 1) div 2").select("rep", "token")
     )
     # Tokens with the same sets need one cell.
-    shared = stored(
-        by_token.where("df > 1")
+    cell_tokens = stored(
+        met.groupBy("token")
+        .agg(
+            F.count(F.lit(1)).alias("df"),
+            F.min("rep").alias("first"),
+            F.bit_xor(F.xxhash64("rep")).alias("members"),
+        )
+        .where("df > 1")
         .groupBy("df", "first", "members")
         .agg(F.min("token").alias("token"))
         .drop("members")
     )
-    met = stored(
-        maybe_in(tokens, shared, {"token": F.col("token")}, "_maybe").where("_maybe").drop("_maybe")
-        .join(shared, "token")
-    )
+    met = stored(met.join(cell_tokens, "token"))
     needed = stored(met.select("rep").distinct())
     texts = (
         maybe_in(rows, needed, {"rep": F.col("id")}, "_maybe").where("_maybe").drop("_maybe")
@@ -345,32 +369,58 @@ def _join(rows: DataFrame, tokens: DataFrame, frequent, size: int) -> DataFrame:
         T.StructField("rep", kind), T.StructField("set", T.BinaryType()),
     ])))
 
+    # Sets that tokens connect, directly or not, are compared in one cell if it is small.
+    reach = components(met.select(F.col("rep").alias("a"), F.col("first").alias("b")))
+    wide = stored(reach.groupBy("component").count().where(f"count > {BLOCK}").select("component"))
+    cells = reach.join(wide, "component", "left_anti").select(
+        F.concat(F.lit("c"), "component").alias("cell"),
+        F.col("node").alias("rep"),
+        F.col("node").alias("label"),
+    )
+    near = stored(_links(cells, sets))
+    if wide.isEmpty():
+        return near
+    members = reach.join(wide, "component", "left_semi").select(F.col("node").alias("rep"))
+    met = stored(met.join(members, "rep", "left_semi"))
+    return near.unionByName(_join_wide(met, sets))
+
+
+def _join_wide(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links among sets that too many connected ones surround, token by token.
+
+    The first round sends a set to one cell, the one of its commonest token, together
+    with that token's smallest set. The second compares the sets of the tokens that are
+    not yet one group and did not all meet, in all pairs of blocks.
+    """
     home = met.groupBy("rep").agg(F.max(F.struct("df", "token", "first")).alias("h")).select(
         "rep", "h.*"
     )
     blocks = F.ceil(F.col("df") / BLOCK)
     block = F.pmod(F.xxhash64("rep"), blocks)
-    placed = home.select("rep", "first", F.struct("token", block.alias("block")).alias("cell"))
+    place = F.concat(F.lit("t"), "token", F.lit("."), block)
+    placed = home.select("rep", "first", place.alias("cell"))
     pivots = placed.select(F.col("first").alias("rep"), "first", "cell").distinct()
     cells = placed.unionByName(pivots).distinct().select("cell", "rep", F.col("rep").alias("label"))
     near = stored(_links(cells, sets))
-
-    # What the first round linked, by the smallest set of the cell; then only mixed tokens.
     label = near.groupBy(F.col("a").alias("rep")).agg(F.min("b").alias("label"))
     labelled = stored(
-        met.join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        met.join(home.select("rep", place.alias("home")), "rep")
+        .join(label, "rep", "left")
+        .withColumn("label", F.coalesce("label", "rep"))
     )
     mixed = stored(
-        labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-        .where("lo <> hi").select("token")
+        labelled.groupBy("token")
+        .agg(*(f(c).alias(f"{n}_{c}") for c in ("label", "home") for n, f in (("lo", F.min), ("hi", F.max))))
+        .where("lo_label <> hi_label AND lo_home <> hi_home")
+        .select("token")
     )
-    open_ = labelled.join(mixed, "token")
     other = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
     cells = (
-        open_.withColumns({"own": block, "other": other})
+        labelled.join(mixed, "token")
+        .withColumns({"own": block, "other": other})
         .select(
-            F.struct(
-                "token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")
+            F.concat_ws(
+                ".", "token", F.least("own", "other"), F.greatest("own", "other")
             ).alias("cell"),
             "rep",
             "label",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiergraph.llm import decontaminate, exact_dedup, jaccard_join, pack, quality
+from tiergraph.llm import decontaminate, exact_dedup, html_extract, jaccard_join, pack, quality
 from tiergraph.llm.common import table
 from tiergraph.plans.registry import Query
 
@@ -119,3 +119,15 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         "passage",
         "attention",
     )
+
+
+@query()
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_extract.extract(table(spark, sf_dir, "pages"))
+    text = F.array_join("blocks", "\n")
+    return pages.select(
+        F.col("id").alias("page_id"),
+        "url",
+        text.alias("text"),
+        F.length(text).cast("long").alias("n_chars"),
+    )
