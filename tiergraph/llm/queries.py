@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiergraph.llm import decontaminate, exact_dedup, html_extract, jaccard_join, pack, quality
+from tiergraph.llm import (
+    chat,
+    decontaminate,
+    exact_dedup,
+    html_extract,
+    jaccard_join,
+    pack,
+    quality,
+    shard,
+)
 from tiergraph.llm.common import table
 from tiergraph.plans.registry import Query
 
@@ -131,3 +140,58 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
         text.alias("text"),
         F.length(text).cast("long").alias("n_chars"),
     )
+
+
+@query()
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = [f"shard-{i:03d}" for i in range(256)]
+    return shard.place(table(spark, sf_dir, "documents"), shards).withColumnRenamed("id", "doc_id")
+
+
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+@query(rf"""
+    WITH rows AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS txt FROM conversations
+        UNION ALL SELECT -7, t, r, '{CONTROL_TEXT}' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
+    marked AS (
+        SELECT *,
+            CASE role WHEN 'user' THEN '[INST] ' WHEN 'assistant' THEN '<s> '
+                WHEN 'system' THEN '<<SYS>> ' ELSE '[ROLE] ' || role || ' [/ROLE][TEXT] ' END AS o,
+            CASE role WHEN 'user' THEN ' [/INST]' WHEN 'assistant' THEN ' </s>'
+                WHEN 'system' THEN ' <</SYS>>' ELSE ' [/TEXT]' END AS c,
+            regexp_replace(regexp_replace(txt, '\[(\\*/?(?:INST|ROLE|TEXT)\])', '[\\\1', 'g'),
+                '<(\\*(?:/?s>|</?SYS>>))', '<\\\1', 'g') AS esc,
+            regexp_matches(txt, '\[\\+/?(?:INST|ROLE|TEXT)\]|<\\+(?:/?s>|</?SYS>>)') AS looks
+        FROM rows),
+    placed AS (
+        SELECT *, length(o) + length(c) + length(CASE
+            WHEN looks OR strpos(txt || c, c) <> length(txt) + 1 THEN esc ELSE txt END) AS size
+        FROM marked)
+    SELECT conv_id, count(*) AS n_turns,
+        sha256(string_agg(role || chr(10) || txt || chr(10), '' ORDER BY turn, role, txt)) AS turns_sha256,
+        CAST(coalesce(sum(length(txt)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+        sha256(coalesce(string_agg(txt, '' ORDER BY turn, txt) FILTER (role = 'assistant'), '')) AS loss_sha256,
+        CAST(sum(size) AS BIGINT) AS formatted_chars
+    FROM placed GROUP BY conv_id
+""")
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.range(1).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.posexplode(F.array(F.lit("user"), F.lit("assistant"))).alias("turn", "role"),
+        F.lit(CONTROL_TEXT).alias("text"),
+    )
+    chats = chat.format_chats(rows.unionByName(control))
+    said = F.array_join(
+        F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""
+    )
+    return chats.select(
+        F.col("id").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
