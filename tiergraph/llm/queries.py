@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiergraph.llm import (
@@ -16,6 +16,7 @@ from tiergraph.llm import (
     pack,
     quality,
     shard,
+    url_filter,
 )
 from tiergraph.llm.common import table
 from tiergraph.plans.registry import Query
@@ -195,3 +196,77 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("loss_text", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+def _number(text: Column, most: int) -> Column:
+    """A fixed pseudo-random number below ``most``."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 6), 16, 10).cast("int") % most
+
+
+def dated_entries(spark: SparkSession, sf_dir: str):
+    """Block lists with dates, derived from the hosts and sections of the pages.
+
+    A third of all hosts is listed for some weeks, some again later; a quarter of all
+    sections (host and first part of the path) on a second list. Captures get a day of
+    the year 2024 by their id.
+    """
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    host = url_filter.host_of(F.col("url"))
+    section = F.regexp_extract("url", r"//[^/?#]*/([^/?#]+)", 1)
+    named = pages.select(F.lit("hosts").alias("list"), host.alias("pattern")).unionByName(
+        pages.where(section != "").select(
+            F.lit("sections").alias("list"), F.concat(host, F.lit("/"), section).alias("pattern")
+        )
+    ).where("pattern <> ''").distinct()
+    n = _number(F.col("pattern"), 1 << 24)
+    chosen = named.where(
+        F.when(F.col("list") == "hosts", n % 3 == 0).otherwise(n % 4 == 0)
+    ).withColumn("n", n)
+    start = F.lit("2024-01-01").cast("date")
+    first = F.date_add(start, F.col("n") % 200)
+    events = F.array(
+        F.struct(first.alias("listed_on"), F.lit("add").alias("action")),
+        F.struct(F.date_add(first, 30 + F.col("n") % 90).alias("listed_on"), F.lit("remove").alias("action")),
+        F.when(F.col("n") % 5 == 0, F.struct(
+            F.date_add(first, 150).alias("listed_on"), F.lit("add").alias("action"))),
+    )
+    entries = chosen.select("list", "pattern", F.inline(F.filter(events, lambda e: e.isNotNull())))
+    captures = pages.withColumn("fetched_at", F.date_add(start, (F.col("page_id") % 366).cast("int")))
+    return captures, entries
+
+
+@query(r"""
+    WITH p AS (
+        SELECT page_id, url, lower(regexp_extract(url, '//([^/?#:]*)', 1)) AS host,
+               regexp_extract(url, '//[^/?#]*([^?#]*)', 1) AS path,
+               regexp_extract(url, '//[^/?#]*/([^/?#]+)', 1) AS section,
+               DATE '2024-01-01' + CAST(page_id % 366 AS INT) AS fetched_at
+        FROM pages),
+    named AS (
+        SELECT DISTINCT 'hosts' AS list, host AS pattern FROM p WHERE host <> ''
+        UNION SELECT DISTINCT 'sections', host || '/' || section FROM p WHERE section <> '' AND host <> ''),
+    numbered AS (SELECT *, CAST('0x' || substr(md5(pattern), 1, 6) AS INT) AS n FROM named),
+    chosen AS (
+        SELECT *, DATE '2024-01-01' + n % 200 AS day FROM numbered
+        WHERE CASE list WHEN 'hosts' THEN n % 3 = 0 ELSE n % 4 = 0 END),
+    spans AS (
+        SELECT list, pattern, day AS a, day + (30 + n % 90) AS b FROM chosen
+        UNION ALL SELECT list, pattern, day + 150, NULL FROM chosen WHERE n % 5 = 0),
+    labels AS (SELECT *, string_split(host, '.') AS l, list_filter(string_split(path, '/'), lambda x: x <> '') AS s FROM p),
+    keys AS (
+        SELECT page_id, array_to_string(l[i:], '.') AS pattern
+        FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM labels)
+        UNION SELECT page_id, host || '/' || array_to_string(s[1:i], '/')
+        FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM labels)),
+    hits AS (
+        SELECT page_id, pattern, list, a, row_number() OVER w AS rank, count(*) OVER (PARTITION BY page_id) AS n
+        FROM keys JOIN spans USING (pattern) JOIN p USING (page_id)
+        WHERE fetched_at >= a AND (b IS NULL OR fetched_at < b)
+        WINDOW w AS (PARTITION BY page_id ORDER BY length(pattern) DESC, pattern, list, a))
+    SELECT p.page_id, p.url, p.fetched_at, h.n IS NOT NULL AS blocked, coalesce(h.n, 0) AS n_active,
+           h.pattern, h.list, h.a AS valid_from
+    FROM p LEFT JOIN hits h ON h.page_id = p.page_id AND h.rank = 1
+""")
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures, entries = dated_entries(spark, sf_dir)
+    return url_filter.filter_urls(captures, entries).withColumnRenamed("id", "page_id")
