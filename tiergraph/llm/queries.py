@@ -13,6 +13,7 @@ from tiergraph.llm import (
     exact_dedup,
     html_extract,
     jaccard_join,
+    lm_score,
     pack,
     quality,
     shard,
@@ -270,3 +271,10 @@ def dated_entries(spark: SparkSession, sf_dir: str):
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures, entries = dated_entries(spark, sf_dir)
     return url_filter.filter_urls(captures, entries).withColumnRenamed("id", "page_id")
+
+
+@query()
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model, rates = lm_score.fit(table(spark, sf_dir, "conversations"), docs)
+    return lm_score.score(docs, model, rates).withColumnRenamed("id", "doc_id")
