@@ -118,6 +118,7 @@ def contamination(
     item_text_col: str = "text",
     window: int = 13,
     block_bytes: int = 4 << 20,
+    carry: bool = False,
 ) -> DataFrame:
     """Where windows of ``window`` consecutive item words occur in documents.
 
@@ -127,7 +128,8 @@ def contamination(
 
     Returns one row per input row: ``id``, ``n_words``, ``spans`` (disjoint word ranges
     that windows cover, end exclusive), ``n_hit`` (words in them), ``items`` (ids, as
-    strings in order, of the items with an occurring window), ``n_items``.
+    strings in order, of the items with an occurring window), ``n_items``; with ``carry``
+    also ``doc``, the whole input row.
 
     An item shorter than the window is one window; items without words or id match
     nothing. Items that repeat an id count as one item. A null text has no words. Ids
@@ -135,7 +137,8 @@ def contamination(
     without hits, an empty table no rows.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source = F.struct(*(docs.columns if carry else [text_col])).alias("doc")
+    rows = docs.select(F.col(id_col).alias("id"), source)
     named = benchmark.where(F.col(item_col).isNotNull()).select(
         F.col(item_col).cast("string"), F.col(item_text_col)
     )
@@ -147,8 +150,10 @@ def contamination(
     for following in [*_blocks(named, block_bytes), None]:
         if block is not None:
             last = following is None
-            shape = kept if last else T.StructType([*kept.fields, rows.schema["text"]])
-            rows = rows.mapInArrow(_search(spark.sparkContext.broadcast(block), window, last), shape)
+            keep = carry or not last
+            shape = T.StructType([*kept.fields, rows.schema["doc"]]) if keep else kept
+            held = spark.sparkContext.broadcast(block)
+            rows = rows.mapInArrow(_search(held, text_col, window, keep), shape)
             if not last:
                 rows = stored(rows)
         block = following
@@ -156,14 +161,17 @@ def contamination(
     return rows.withColumns({"n_hit": hit, "n_items": F.size("items").cast("long")})
 
 
-def _search(block, window: int, last: bool):
+def _search(block, text_col: str, window: int, keep: bool):
     """The scan of one block; earlier blocks' spans and items are taken over."""
 
+    def texts_first(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.append_column("text", batch.column("doc").field(text_col))
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = tables_of(block.value, window)
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(texts_first(batch), "text"):
                 more = "spans" in part.schema.names
                 n_words, spans, items = [], [], []
                 for i, text in enumerate(text_bytes(part.column("text"))):
@@ -179,13 +187,19 @@ def _search(block, window: int, last: bool):
                     "id": part.column("id"), "n_words": pa.array(n_words, pa.int64()),
                     "spans": pa.array(spans, span), "items": pa.array(items, pa.list_(pa.string())),
                 }
-                if not last:
-                    out["text"] = part.column("text")
+                if keep:
+                    out["doc"] = part.column("doc")
                 yield pa.RecordBatch.from_pydict(out)
 
     return scan
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **columns: str) -> DataFrame:
+    """``docs`` without contaminated rows; all columns stay, no row is shuffled."""
+    found = contamination(docs, benchmark, carry=True, **columns)
+    return found.where(~contaminated()).select("doc.*")
+
+
 def contaminated(n_hit: str = "n_hit", n_words: str = "n_words", share: int = 20):
     """At least one word in ``share`` lies in a benchmark window."""
     return (F.col(n_hit) > 0) & (share * F.col(n_hit) >= F.col(n_words))

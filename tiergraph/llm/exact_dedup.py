@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tiergraph.llm.common import ascii_lower, maybe_in, stored
@@ -78,19 +78,34 @@ def exact_groups(
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that ``exact_groups`` does not keep; all columns stay.
 
-    Only rows whose id may be among the dropped ones are joined; the rest pass.
+    Only rows whose id may be among the dropped ones are joined, by id and full hash;
+    the rest pass where they are read.
     """
-    gone = exact_groups(docs, id_col, text_col).where("not kept").select(F.col("id").alias("_id"))
-    return without_ids(docs, gone, id_col)
+    gone = (
+        exact_groups(docs, id_col, text_col)
+        .where("not kept")
+        .select(F.col("id").alias("_id"), F.col("full_hash").alias("_full"))
+    )
+    full = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)
+    return without(docs, gone, {"_id": F.col(id_col)}, {"_full": full})
+
 
+def without(
+    docs: DataFrame, gone: DataFrame, on: dict[str, Column], also: dict[str, Column] | None = None
+) -> DataFrame:
+    """Rows of ``docs`` that ``gone`` does not name; a null matches a null.
 
-def without_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
-    """Rows of ``docs`` whose id is not in ``gone._id``; texts of other rows are not shuffled."""
+    ``on`` and ``also`` map columns of ``gone`` to expressions over ``docs``; those of
+    ``also`` are evaluated only for rows that pass the filter made of ``on``.
+    """
     gone = stored(gone)
-    marked = maybe_in(docs, gone, {"_id": F.col(id_col)}, "_maybe")
+    marked = maybe_in(docs, gone, on, "_maybe")
+    same = F.lit(True)
+    for name, value in {**on, **(also or {})}.items():
+        same = same & value.eqNullSafe(F.col(name))
     return (
         marked.where("_maybe")
-        .join(gone, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
+        .join(gone, same, "left_anti")
         .unionByName(marked.where("not _maybe"))
         .select(*docs.columns)
     )
