@@ -1,5 +1,63 @@
-"""The corpus pipeline: quality, exact copies, near copies, benchmark passages, packing."""
+"""The corpus pipeline: quality, exact copies, near copies, benchmark passages, packing.
+
+Every stage reads what its predecessor has written and passes on the rows it keeps with
+all columns of ``documents``; the last one places the texts in bins.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tiergraph.llm import decontaminate, exact_dedup, jaccard_join, pack, quality
+from tiergraph.llm.common import stored, table
+from tiergraph.plans.registry import Query
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the one with the largest id."""
+    return exact_dedup.drop_exact_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies, the document with the smallest id."""
+    gone = jaccard_join.near_groups(docs).where("id <> component").select(F.col("id").alias("_id"))
+    return exact_dedup.without(docs, gone.distinct(), {"_id": F.col("doc_id")})
+
+
+def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than one word in twenty lies in a benchmark window."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all texts with their bins and offsets."""
+    return pack.pack(docs).withColumnsRenamed({"id": "doc_id", "length": "n_chars"})
+
+
+STAGES = [
+    ("quality_classifier", keep_quality),
+    ("exact_dedup", drop_exact_copies),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("benchmark_decontamination", drop_benchmark_passages),
+    ("best_fit_packing", pack_documents),
+]
+
+#: The classifier cannot be put in SQL; tests compare the stages with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole ``documents``, each written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir))
+    return docs
+
+
+QUERIES = {"pipeline": Query(run, ORACLE_SQL)}
