@@ -22,6 +22,8 @@ CHUNK = 1 << 14
 FREQUENT_FACTOR, FREQUENT_LEAST = 4, 64
 #: Signature tokens of a class, and how many of them similar sets share. See ``signature``.
 DEPTH, SHARED = 48, 7
+#: Sets up to this size only meet sets for which the first rule of ``signature`` holds.
+SHORT = 150
 #: Rounds of dropping tokens and sets that cannot link; more rounds drop more, none a link.
 REFINEMENTS = 2
 #: Rows of one prefix tree; larger buckets are compared block by block.
@@ -58,7 +60,8 @@ def signature(tokens: np.ndarray) -> np.ndarray:
     n = len(tokens)
     first = n - -(-8 * n // 10) + least_shared(n)
     rare = int(np.searchsorted(tokens, FREQUENT))
-    late = tokens[rare : rare + DEPTH] if 10 * (n - rare) >= 8 * rare else tokens[:0]
+    many = n > SHORT and 10 * (n - rare) >= 8 * rare
+    late = tokens[rare : rare + DEPTH] if many else tokens[:0]
     early = tokens[: first if first <= DEPTH else min(rare, DEPTH)]
     return np.union1d(early, late)
 
