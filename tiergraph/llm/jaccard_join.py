@@ -26,8 +26,8 @@ DEPTH, SHARED = 48, 7
 SHORT = 150
 #: Rounds of dropping tokens and sets that cannot link; more rounds drop more, none a link.
 REFINEMENTS = 2
-#: Rows of one prefix tree; larger buckets are compared block by block.
-BLOCK = 1_000
+#: Sets and tokens (8 bytes each) of one prefix tree; more are compared block by block.
+BLOCK, BLOCK_TOKENS = 4_000, 4_000_000
 FREQUENT = U64(1 << 63)
 
 
@@ -67,10 +67,12 @@ def signature(tokens: np.ndarray) -> np.ndarray:
 
 
 class _Node:
-    __slots__ = ("run", "below", "ends", "least", "most")
+    __slots__ = ("run", "below", "ends", "least", "most", "one", "mixed")
 
-    def __init__(self, run: np.ndarray, size: int) -> None:
+    def __init__(self, run: np.ndarray, size: int, one: int) -> None:
         self.run, self.least, self.most = run, size, size
+        #: A set below, and whether another below was of a different group when it came.
+        self.one, self.mixed = one, False
         self.below: dict[int, _Node] = {}
         self.ends: list[int] = []
 
@@ -80,12 +82,12 @@ class PrefixTree:
 
     A node holds a run of tokens, so a probe compares a shared beginning once for all
     sets below. The sizes below bound what can still be shared; branches that cannot
-    reach the threshold are passed over. Sets that are known to be connected need no
-    further link, so a search ends once one group is left.
+    reach the threshold are passed over, as are branches whose sets are all connected to
+    the probe already; a search ends once one group is left.
     """
 
     def __init__(self) -> None:
-        self.top = _Node(np.zeros(0, U64), 0)
+        self.top = _Node(np.zeros(0, U64), 0, 0)
         self.top.least, self.top.most = 1 << 60, 0
         self.parent: list[int] = []
         self.groups = 0
@@ -119,6 +121,8 @@ class PrefixTree:
         stack = [(node, 0, 0, 0) for node in self.top.below.values()]
         while stack and self.groups > 1:
             node, common, depth, at = stack.pop()
+            if not node.mixed and self.root(node.one) == self.root(me):
+                continue
             run = node.run
             to = int(np.searchsorted(x, run[-1], "right"))
             if to > at:
@@ -139,12 +143,13 @@ class PrefixTree:
         n, node, at = len(x), self.top, 0
         while True:
             node.least, node.most = min(node.least, n), max(node.most, n)
+            node.mixed = node.mixed or self.root(node.one) != self.root(me)
             if at == n:
                 node.ends.append(me)
                 return
             child = node.below.get(int(x[at]))
             if child is None:
-                child = node.below[int(x[at])] = _Node(x[at:], n)
+                child = node.below[int(x[at])] = _Node(x[at:], n, me)
                 child.ends.append(me)
                 return
             run = child.run
@@ -152,8 +157,8 @@ class PrefixTree:
             differ = np.flatnonzero(run[:k] != x[at : at + k])
             same = int(differ[0]) if len(differ) else k
             if same < len(run):
-                upper = _Node(run[:same], n)
-                upper.least, upper.most = child.least, child.most
+                upper = _Node(run[:same], n, child.one)
+                upper.least, upper.most, upper.mixed = child.least, child.most, child.mixed
                 child.run = run[same:]
                 upper.below[int(run[same])] = child
                 node.below[int(x[at])] = upper
@@ -374,7 +379,10 @@ def _join(rows: DataFrame, tokens: DataFrame, frequent, size: int) -> DataFrame:
 
     # Sets that tokens connect, directly or not, are compared in one cell if it is small.
     reach = components(met.select(F.col("rep").alias("a"), F.col("first").alias("b")))
-    wide = stored(reach.groupBy("component").count().where(f"count > {BLOCK}").select("component"))
+    sizes = reach.join(sets, F.col("node") == F.col("rep")).groupBy("component").agg(
+        F.count(F.lit(1)).alias("c"), F.sum(F.octet_length("set") / 8).alias("tokens")
+    )
+    wide = stored(sizes.where(f"c > {BLOCK} OR tokens > {BLOCK_TOKENS}").select("component"))
     cells = reach.join(wide, "component", "left_anti").select(
         F.concat(F.lit("c"), "component").alias("cell"),
         F.col("node").alias("rep"),
