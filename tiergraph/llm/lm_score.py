@@ -21,7 +21,7 @@ DISCOUNT = 0.5
 #: log2 of the bits of the filter of model keys: 8 MB at any input size.
 KEY_BITS = 26
 #: Counts are merged within a task up to this many, then handed on.
-MERGE = 4_000_000
+MERGE = 1_500_000
 #: Entries of a model that is broadcast (16 bytes each); larger ones are joined by key.
 BROADCAST_ENTRIES = 4_000_000
 
