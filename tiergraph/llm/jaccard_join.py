@@ -26,6 +26,8 @@ DEPTH, SHARED = 48, 7
 SHORT = 150
 #: Rounds of dropping tokens and sets that cannot link; more rounds drop more, none a link.
 REFINEMENTS = 2
+#: Bits of a leaf's bitmap.
+BITMAP = 2_048
 #: Sets and tokens (8 bytes each) of one prefix tree; more are compared block by block.
 BLOCK, BLOCK_TOKENS = 4_000, 4_000_000
 FREQUENT = U64(1 << 63)
@@ -67,27 +69,34 @@ def signature(tokens: np.ndarray) -> np.ndarray:
 
 
 class _Node:
-    __slots__ = ("run", "below", "ends", "least", "most", "one", "mixed")
+    __slots__ = ("run", "below", "ends", "least", "most", "one", "mixed", "bits")
 
-    def __init__(self, run: np.ndarray, size: int, one: int) -> None:
-        self.run, self.least, self.most = run, size, size
+    def __init__(self, run: np.ndarray, size: int, one: int, bits: int) -> None:
+        self.run, self.least, self.most, self.bits = run, size, size, bits
         #: A set below, and whether another below was of a different group when it came.
         self.one, self.mixed = one, False
         self.below: dict[int, _Node] = {}
         self.ends: list[int] = []
 
 
+def _bitmap(tokens: np.ndarray) -> int:
+    flags = np.zeros(BITMAP, bool)
+    flags[(tokens % U64(BITMAP)).astype(np.int64)] = True
+    return int.from_bytes(np.packbits(flags).tobytes(), "big")
+
+
 class PrefixTree:
     """Ordered sets merged along common beginnings; joins each new set to those inside.
 
     A node holds a run of tokens, so a probe compares a shared beginning once for all
     sets below. The sizes below bound what can still be shared; branches that cannot
     reach the threshold are passed over, as are branches whose sets are all connected to
-    the probe already; a search ends once one group is left.
+    the probe already; a search ends once one group is left. At a leaf, every bit that
+    only one of two bitmaps has is a token that the other set lacks.
     """
 
     def __init__(self) -> None:
-        self.top = _Node(np.zeros(0, U64), 0, 0)
+        self.top = _Node(np.zeros(0, U64), 0, 0, 0)
         self.top.least, self.top.most = 1 << 60, 0
         self.parent: list[int] = []
         self.groups = 0
@@ -117,12 +126,17 @@ class PrefixTree:
         return me
 
     def _search(self, x: np.ndarray, me: int) -> None:
-        n = len(x)
+        n, bits = len(x), _bitmap(x)
         stack = [(node, 0, 0, 0) for node in self.top.below.values()]
         while stack and self.groups > 1:
             node, common, depth, at = stack.pop()
             if not node.mixed and self.root(node.one) == self.root(me):
                 continue
+            if not node.below:
+                m = node.most
+                most = min(n - (bits & ~node.bits).bit_count(), m - (node.bits & ~bits).bit_count())
+                if not similar(most, n, m):
+                    continue
             run = node.run
             to = int(np.searchsorted(x, run[-1], "right"))
             if to > at:
@@ -149,7 +163,7 @@ class PrefixTree:
                 return
             child = node.below.get(int(x[at]))
             if child is None:
-                child = node.below[int(x[at])] = _Node(x[at:], n, me)
+                child = node.below[int(x[at])] = _Node(x[at:], n, me, _bitmap(x))
                 child.ends.append(me)
                 return
             run = child.run
@@ -157,7 +171,7 @@ class PrefixTree:
             differ = np.flatnonzero(run[:k] != x[at : at + k])
             same = int(differ[0]) if len(differ) else k
             if same < len(run):
-                upper = _Node(run[:same], n, child.one)
+                upper = _Node(run[:same], n, child.one, 0)
                 upper.least, upper.most, upper.mixed = child.least, child.most, child.mixed
                 child.run = run[same:]
                 upper.below[int(run[same])] = child
