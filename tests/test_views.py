@@ -89,13 +89,25 @@ def test_transitions(spark):
     assert got == {"Keep": ("retained", "P1 · P0", "P2", ["new1"], True),
                    "Win": ("gained", None, "W1 · W2", ["new1", "new2"], False),
                    "Lose": ("lost", None, None, [], False)}
-    paged = transitions.side_products(roles, cat, page_size=1, group_limit=1).filter("id = 'Keep' and side = 'from'")
-    assert [r.products for r in paged.orderBy("page").collect()] == ["P1", "P0"]
+    rows = transitions.side_products(roles, cat).filter("id = 'Keep' and side = 'from'")
+    assert [r["product"] for r in rows.orderBy("ord").collect()] == ["P1", "P0"]
     counts = {r.transition: (r.retained, r.gained, r.lost) for r in transitions.transition_counts(
         transitions.transition_status(members, cat), cat).collect()}
     assert counts == {"t": (1, 1, 1), "empty": (0, 0, 0)}
 
 
+def test_products_that_differ_in_the_tail_only(spark):
+    members = spark.createDataFrame([("A", "chain", c) for c in ("o", "n")], "id string, facet string, value string")
+    roles = spark.createDataFrame(
+        [("A", "o", f"P{i}", i) for i in range(4)] + [("A", "n", f"P{i}", 10 + i) for i in range(2)],
+        "company string, chain string, product string, ord int")
+    cat = dims.transitions(spark, [("t", ("o",), ("n",))])
+    groups = spark.createDataFrame([("A", "power")], "id string, primary string")
+    row = transitions.transition(members, roles, cat, groups, dims.taxonomy(spark)).first()
+    assert row.product_changed and (row.product_from, row.product_to) == ("P0 · P1 · P2 · P3", "P0 · P1")
+    assert (row.primary, row.group_place >= 100) == ("power", True)
+
+
 @pytest.mark.parametrize("tier,company,product,want", [
     ("ai_lab", "Cursor", "editor", ("application", "AI-Native Vertical Apps", True)),
     ("hyperscaler", "Oracle", "cloud", ("cloud_infra", "Hyperscaler Cloud", False)),

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tiergraph.functions.display import DOT
-from tiergraph.operators.ordering import GROUP_LIMIT, joined_pages
 
 
 def transition_status(members: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -32,46 +31,57 @@ def transition_status(members: DataFrame, catalogue: DataFrame) -> DataFrame:
     )
 
 
-def side_products(
-    roles: DataFrame, catalogue: DataFrame, page_size: int = 10_000, group_limit: int = GROUP_LIMIT
-) -> DataFrame:
-    """Distinct products of a company on each side of each transition, joined in order."""
-    distinct = (
+def side_products(roles: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Distinct products of a company on each side of each transition, first seen first."""
+    return (
         roles.filter(F.col("product") != "")
-        .join(F.broadcast(catalogue.select("transition", "side", "chain")), "chain")
+        .join(catalogue.select("transition", "side", "chain"), "chain")
         .groupBy("transition", "side", F.col("company").alias("id"), "product")
         .agg(F.min("ord").alias("ord"))
     )
-    return joined_pages(
-        distinct, ["transition", "side", "id"], "product", [F.col("ord")], DOT, "products",
-        page_size, group_limit,
-    )
 
 
 def transition(
     members: DataFrame,
     roles: DataFrame,
     catalogue: DataFrame,
-    page_size: int = 10_000,
-    group_limit: int = GROUP_LIMIT,
+    groups: DataFrame | None = None,
+    taxonomy: DataFrame | None = None,
 ) -> DataFrame:
     """Status rows with the products of both sides and whether they differ.
 
-    A side with more than ``page_size`` products continues on further pages;
-    ordinary companies have page 0 only.
+    The products of a side are joined whole, in order. With ``groups`` (``id``,
+    ``primary``) and ``taxonomy`` every row also has its company's primary group and
+    ``group_place``: layers in their order, then domains, then unknown groups; rows
+    are listed by it and the name.
     """
-    pages = side_products(roles, catalogue, page_size, group_limit)
-    sides = pages.groupBy("transition", "id", "page").agg(
+    items = F.array_sort(F.collect_list(F.struct("ord", "product")))
+    joined = F.array_join(F.transform(items, lambda x: x["product"]), DOT)
+    lists = side_products(roles, catalogue).groupBy("transition", "id", "side").agg(
+        joined.alias("products")
+    )
+    sides = lists.groupBy("transition", "id").agg(
         F.max(F.when(F.col("side") == "from", F.col("products"))).alias("product_from"),
         F.max(F.when(F.col("side") == "to", F.col("products"))).alias("product_to"),
     )
     changed = (F.col("status") == "retained") & (F.col("product_from") != F.col("product_to"))
-    return (
+    rows = (
         transition_status(members, catalogue)
         .join(sides, ["transition", "id"], "left")
-        .withColumn("page", F.coalesce("page", F.lit(0)))
         .withColumn("product_changed", F.coalesce(changed, F.lit(False)))
     )
+    if groups is None:
+        return rows
+    place = F.when(F.col("kind") == "layer", F.col("place")).when(
+        F.col("kind") == "domain", F.col("place") + 100
+    )
+    order = taxonomy.select(F.col("slug").alias("primary"), place.alias("_place"))
+    return (
+        rows.join(groups, "id", "left")
+        .join(order, "primary", "left")
+        .withColumn("group_place", F.coalesce("_place", F.lit(150)))
+        .drop("_place")
+    )
 
 
 def transition_counts(status: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -87,5 +97,5 @@ def transition_counts(status: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 
 def node_exposure(status: DataFrame, company: str) -> DataFrame:
-    """One company over all transitions it takes part in."""
+    """One company over all transitions it takes part in, with the columns of ``status``."""
     return status.filter(F.col("id") == company)

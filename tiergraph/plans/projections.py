@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tiergraph.functions import fixed_values as fixed
 from tiergraph.operators.flatten import renest_chains
-from tiergraph.session import cut, spread
+from tiergraph.session import cut
 from tiergraph.sources.dims import taxonomy
 
 # Slugs by ``size mod 18``: 13 layers, 4 domains and one slug outside the vocabulary.
@@ -30,7 +30,7 @@ FACTS = ("lineitem", "orders", "events", "documents", "pages")
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table; a fact table that is one small file is dealt out to all cores."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in FACTS else df
+    return df
 
 
 def epoch_seconds(moment: Column) -> Column:
@@ -429,10 +429,9 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """High-value urgent orders as dated calls of their customer."""
+    """All orders as dated calls of their customer."""
     return (
         _order_places(spark, sf_dir)
-        .filter((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_totalprice") > 350000))
         .select(
             F.col("c_name").alias("company"),
             F.col("n_name").alias("ticker"),
@@ -444,8 +443,8 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calls_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days of all urgent orders."""
-    return table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(
+    """Days of all orders."""
+    return table(spark, sf_dir, "orders").select(
         "o_orderkey", F.col("o_orderdate").cast("date").alias("date")
     )
 
@@ -472,7 +471,7 @@ closes AS (SELECT ticker, idx, close FROM prices JOIN calendar USING (date))"""
 CALLS = """candidates AS (
   SELECT c_name AS company, n_name AS ticker, CAST(o_orderdate AS DATE) AS date,
          'order ' || o_orderkey AS source_label, o_orderkey AS ord
-  FROM order_places WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 350000),
+  FROM order_places),
 calls AS (
   SELECT company, ticker, date, source_label,
          CASE WHEN c_mktsegment IN ('MACHINERY', 'AUTOMOBILE') THEN 'full_capacity' ELSE 'rest' END

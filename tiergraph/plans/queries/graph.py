@@ -434,12 +434,18 @@ def transition_counts(spark, sf_dir):
     return transitions.transition_counts(status, catalogue)
 
 
-@query(with_ctes(PLAYERS, FINE, CATALOGUE, STATUS, """
-SELECT transition, status FROM status WHERE id = 'Supplier#000000001'"""))
+@query(with_ctes(PLAYERS, FINE, CATALOGUE, STATUS, SIDE_PRODUCTS, """
+SELECT s.transition, s.status, a.products AS product_from, b.products AS product_to
+FROM status s
+LEFT JOIN prods a ON a.transition = s.transition AND a.id = s.id AND a.side = 'from'
+LEFT JOIN prods b ON b.transition = s.transition AND b.id = s.id AND b.side = 'to'
+WHERE s.id = 'Supplier#000000001'"""))
 def node_exposure(spark, sf_dir):
-    catalogue = dims.transitions(spark, GENERATIONS)
-    status = transitions.transition_status(graph.memberships(_fine(spark, sf_dir)), catalogue)
-    return transitions.node_exposure(status, "Supplier#000000001").select("transition", "status")
+    fine, catalogue = _fine(spark, sf_dir), dims.transitions(spark, GENERATIONS)
+    rows = transitions.transition(graph.memberships(fine), flatten.product_roles(fine), catalogue)
+    return transitions.node_exposure(rows, "Supplier#000000001").select(
+        "transition", "status", "product_from", "product_to"
+    )
 
 
 # --- reach -----------------------------------------------------------------------------

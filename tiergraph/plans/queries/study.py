@@ -89,7 +89,7 @@ def trading_calendar(spark, sf_dir):
 @query(with_ctes(PRICES, """open_days AS (SELECT DISTINCT date FROM prices WHERE dayofweek(date) BETWEEN 1 AND 5),
 cal AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS idx FROM open_days)""", """
 SELECT o_orderkey, (SELECT max(idx) FROM cal WHERE cal.date <= CAST(o_orderdate AS DATE)) AS t0
-FROM orders WHERE o_orderpriority = '1-URGENT'"""))
+FROM orders"""))
 def asof_day(spark, sf_dir):
     """As-of against weekdays only, so that weekend orders look back."""
     weekdays = pj.prices(spark, sf_dir).filter(F.dayofweek("date").between(2, 6))
@@ -158,7 +158,8 @@ base AS (
 theta AS (
   SELECT *, n - 1 AS nu, atan(abs(mean) / (sd / sqrt(n)) / sqrt(n - 1)) AS th FROM base),
 tails AS (
-  SELECT *, CASE WHEN n < 2 THEN NULL WHEN nu = 1 THEN 1 - 2 * th / pi()
+  SELECT *, CASE WHEN n < 2 THEN NULL WHEN sd = 0 THEN CASE WHEN mean <> 0 THEN 0.0 END
+    WHEN nu = 1 THEN 1 - 2 * th / pi()
     WHEN nu % 2 = 1 THEN 1 - 2 / pi() * (th + sin(th) * list_sum(list_transform(
       range((nu - 1) // 2), lambda k: sqrt(pi()) / 2 * exp(lgamma(k + 1) - lgamma(k + 1.5))
         * pow(cos(th), 2 * k + 1))))

@@ -68,11 +68,3 @@ def cut(df: DataFrame) -> DataFrame:
         spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
     return df.checkpoint(eager=True)
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out when a table comes in fewer splits than there are cores.
-
-    Large tables have more splits than cores and stay as they are read.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

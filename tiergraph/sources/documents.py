@@ -42,14 +42,17 @@ def read_chains(spark: SparkSession, path: str) -> DataFrame:
     """Chain documents of a folder tree, keyed by file stem; ``path`` orders them.
 
     A chain that was written in several parts carries a ``part`` number in its
-    file's folder name; its parts keep one chain id.
+    file's folder name; its parts keep one chain id. In ``path`` the number is padded,
+    so part 10 comes after part 2.
     """
     part = F.regexp_extract("path", r"/part=(\d+)/", 1)
     named = F.regexp_extract("path", r"/chain=([^/]*)/", 1)
+    padded = F.regexp_replace("path", F.lit(r"/part=\d+/"), F.concat(F.lit("/part="), F.lpad(part, 19, "0"), F.lit("/")))
     return (
         _json_documents(spark, path, schemas.CHAIN)
         .withColumn("chain", F.when(named != "", F.url_decode(named)).otherwise(file_stem(F.col("path"))))
         .withColumn("part", F.coalesce(F.nullif(part, F.lit("")).cast("bigint"), F.lit(0)))
+        .withColumn("path", padded)
     )
 
 
