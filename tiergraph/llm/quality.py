@@ -46,17 +46,25 @@ def encode(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     begins = offsets[doc].copy()
     later = np.arange(total) > first[doc]
     begins[later] = starts[word[later]]
-    sizes = np.diff(np.append(begins, len(joined)))
-    at = np.repeat(np.arange(total), np.maximum(sizes, 0))
-    kinds = np.bincount(at * KINDS + _KIND[joined], minlength=total * KINDS)
+    # The separators belong to no text, so a text's features don't depend on its neighbours.
+    real = np.ones(len(joined), bool)
+    real[offsets[1:-1] - 1] = False
+    at = np.repeat(np.arange(total), np.diff(np.append(begins, len(joined))))
+    sizes = np.bincount(at[real], minlength=total)
+    kinds = np.bincount(at[real] * KINDS + _KIND[joined[real]], minlength=total * KINDS)
+    both = real[:-1] & real[1:]
     pair = (joined[:-1].astype(np.int64) * 37 + joined[1:] * 101) % PAIRS
-    pairs = np.bincount(at[:-1] * PAIRS + pair, minlength=total * PAIRS)
+    pairs = np.bincount(at[:-1][both] * PAIRS + pair[both], minlength=total * PAIRS)
     of = np.searchsorted(word, np.arange(len(hashes)), "right") - 1
     words = np.bincount(of, minlength=total).astype(np.float64)
     tagged = mix(hashes + of.astype(U64) * U64(0x9E3779B97F4A7C15))
     _, kept = np.unique(tagged, return_index=True)
     distinct = np.bincount(of[kept], minlength=total)
-    same = [np.bincount(of[k:][hashes[k:] == hashes[:-k]], minlength=total) for k in (1, 2)]
+    text = np.repeat(np.arange(len(texts)), n_words)
+    same = [
+        np.bincount(of[k:][(hashes[k:] == hashes[:-k]) & (text[k:] == text[:-k])], minlength=total)
+        for k in (1, 2)
+    ]
     size = np.maximum(sizes, 1)
     n = np.maximum(words, 1)
     measures = np.stack(
