@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,7 +58,15 @@ def checkpoint_root(spark: SparkSession) -> str:
         return current
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    return tempfile.mkdtemp(prefix="tiergraph-checkpoint-")
+    return _local_folder()
+
+
+@functools.cache
+def _local_folder() -> str:
+    """One temporary folder for a local session, removed when the process ends."""
+    path = tempfile.mkdtemp(prefix="tiergraph-checkpoint-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
