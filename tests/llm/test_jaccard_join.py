@@ -6,6 +6,7 @@ import pytest
 
 from llm.samples import docs, edited, prose
 from tiergraph.llm import jaccard_join
+from tiergraph.llm import shingles as shingles_module
 from tiergraph.llm.components import components
 from tiergraph.llm.shingles import U64, shingle_sets
 
@@ -114,6 +115,13 @@ def test_shingle_hashes_follow_the_words():
     assert (next(shingle_sets([long])) == list(shingle_sets([b"x", long, None]))[1]).all()
 
 
+def test_long_texts_are_hashed_in_segments(monkeypatch):
+    text = (prose(3, 3_000) + " " + "z" * 9_000 + "  tail\n").encode()
+    whole = list(shingle_sets([text, b"", text[:100]]))
+    monkeypatch.setattr(shingles_module, "SEGMENT", 64)
+    assert all((a == b).all() for a, b in zip(whole, shingle_sets([text, b"", text[:100]])))
+
+
 def test_components_of_chains_and_hubs(spark):
     pairs = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(7, 7), (300, 299)]
     got = dict(map(tuple, components(spark.createDataFrame(pairs, "a long, b long")).collect()))

@@ -44,8 +44,28 @@ class _Powers:
 _POWERS = _Powers()
 
 
+#: Bytes whose words are hashed at once; a longer text takes several steps.
+SEGMENT = 4 << 20
+
+
 def word_hashes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start offsets and 64-bit hashes of the words of a byte array."""
+    """Start offsets and 64-bit hashes of the words of a byte array.
+
+    Wide intermediate arrays are as long as a segment or the longest word.
+    """
+    found, at = [], 0
+    while at < len(text) or not found:
+        end = at + SEGMENT
+        while end < len(text) and not SPACE[text[end]]:
+            ahead = np.flatnonzero(SPACE[text[end : end + 4096]])
+            end += int(ahead[0]) if len(ahead) else 4096
+        starts, hashes = _hash_segment(text[at:end])
+        found.append((starts + at, hashes))
+        at = end
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def _hash_segment(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     inside = np.zeros(len(text) + 2, bool)
     inside[1:-1] = ~SPACE[text]
     edges = np.flatnonzero(inside[1:] != inside[:-1])
