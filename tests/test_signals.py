@@ -177,3 +177,11 @@ def test_display(spark):
 def test_symbols(spark, ticker, exchange, want):
     df = spark.createDataFrame([(ticker, exchange)], "t string, e string")
     assert df.select(market.market_symbol(F.col("t"), F.col("e"))).first()[0] == want
+
+
+def test_patterns_without_a_limit_are_refused(spark):
+    signals.check_bounded(fixed.BADGE_RULES)
+    signals.check_bounded([("a", r"x{0,9}[*+]\+\*")])
+    for pattern in (r"a\s*b", "a+", "a{2,}"):
+        with pytest.raises(ValueError):
+            signals.check_bounded([("a", pattern)])

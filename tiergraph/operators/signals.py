@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +20,14 @@ Rules = Sequence[tuple[str, str]]
 MAX_SPAN = 128
 
 
+def check_bounded(rules: Rules) -> None:
+    """Refuse patterns that repeat without a limit; a seam cannot be cut to their length."""
+    for key, pattern in rules:
+        plain = re.sub(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]", "x", pattern)
+        if re.search(r"[*+]|\{\d*,\}", plain):
+            raise ValueError(f"rule {key!r} has a repetition without a limit")
+
+
 def _spoken() -> Column:
     blank = F.lit("")
     return F.concat(F.coalesce("signal", blank), F.lit(" "), F.coalesce("figure", blank))
@@ -52,8 +61,10 @@ def node_badges(
     A match may run across signals. Since no pattern matches more than
     ``max_span`` characters, it is enough to test every signal by itself and the
     seams between neighbours: overlapping runs of signals of which only the ends
-    are kept. A company's texts are never put together whole.
+    are kept. A company's texts are never put together whole. Patterns that repeat
+    without a limit are refused; ``max_span`` has to cover the longest match of others.
     """
+    check_bounded(rules)
     single = signals.groupBy("company").agg(*_hits(_spoken(), rules))
     spoken = signals.select("company", "ord", _spoken().alias("_t"))
     # ``;`` and a line feed keep a pattern from matching across the removed middle.

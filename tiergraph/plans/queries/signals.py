@@ -17,7 +17,7 @@ RULES = (
     ("article", r"\bthe (of|and)\b|that.{0,12}tion\b"),
     ("german", r"der [^.;]{0,20}(und|von)\b"),
     ("source", r"src1[0-9]?\b"),
-    ("seam", r"\.\s*src[0-9]{1,2} [a-z]"),
+    ("seam", r"\.\s{0,3}src[0-9]{1,2} [a-z]"),
 )
 
 
