@@ -20,8 +20,10 @@ _FIRST, _SECOND, _WORD = U64(0x9FB21C651E98DF25), U64(0xD6E8FEB86659FD93), U64(0
 DISCOUNT = 0.5
 #: log2 of the bits of the filter of model keys: 8 MB at any input size.
 KEY_BITS = 26
+#: Bytes of text that are put into arrays at once.
+SLICE = 1 << 20
 #: Counts are merged within a task up to this many, then handed on.
-MERGE = 1_500_000
+MERGE = 1_000_000
 #: Entries of a model that is broadcast (16 bytes each); larger ones are joined by key.
 BROADCAST_ENTRIES = 4_000_000
 
@@ -76,7 +78,7 @@ def _count(rows: DataFrame, wanted=None) -> DataFrame:
         bits = None if wanted is None else wanted.value
         held, parts = 0, []
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 _, before, word = sequences(text_bytes(part["text"]))
                 grams = np.stack([
                     np.concatenate([word_key(word), pair_key(before, word)]),
@@ -246,7 +248,7 @@ def _by_broadcast(rows: DataFrame, model: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, values = held.value
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 doc, before, word = sequences(text_bytes(part["text"]))
                 sums = np.zeros((part.num_rows, 2))
                 for grams in (word_key(word), pair_key(before, word)):
@@ -272,7 +274,7 @@ def _by_join(rows: DataFrame, model: DataFrame) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 doc, before, word = sequences(text_bytes(part["text"]))
                 key = np.concatenate([word_key(word), pair_key(before, word)])
                 both = np.concatenate([doc, doc])
