@@ -16,10 +16,12 @@ from tiergraph.llm.components import components
 from tiergraph.llm.shingles import U64, shingle_sets
 
 #: Slots of the table of shingle counts; its sum over all documents orders the shingles.
-SLOT_BITS = 20
-CHUNK = 1 << 14
+SLOT_BITS = 22
+CHUNK = 1 << 16
+#: Shingles that a task collects before it counts them.
+COLLECT = 2_000_000
 #: A slot this far above the mean marks its shingles as frequent.
-FREQUENT_FACTOR, FREQUENT_LEAST = 4, 64
+FREQUENT_FACTOR, FREQUENT_LEAST = 2, 64
 #: Signature tokens of a class, and how many of them similar sets share. See ``signature``.
 DEPTH, SHARED = 48, 7
 #: Sets up to this size only meet sets for which the first rule of ``signature`` holds.
@@ -184,24 +186,35 @@ def _counts(docs: DataFrame, size: int) -> np.ndarray:
     """How many documents have a shingle of each slot, as one fixed-size table."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = np.zeros(1 << SLOT_BITS, np.int64)
+        slots = np.zeros(1 << SLOT_BITS, np.int32)
+        held: list[np.ndarray] = []
+
+        def tally() -> None:
+            found = np.bincount(np.concatenate(held), minlength=len(slots))
+            np.add(slots, found, out=slots, casting="unsafe")
+            held.clear()
+
         for batch in batches:
             for part in slices(batch, "text"):
-                found = list(shingle_sets(text_bytes(part.column("text")), size))
-                at = (np.concatenate(found) >> U64(64 - SLOT_BITS)).astype(np.int64)
-                slots += np.bincount(at, minlength=len(slots))
+                for s in shingle_sets(text_bytes(part.column("text")), size):
+                    held.append((s >> U64(64 - SLOT_BITS)).astype(np.int32))
+                if sum(map(len, held)) > COLLECT:
+                    tally()
+        if held:
+            tally()
         chunks = slots.reshape(-1, CHUNK)
         yield pa.RecordBatch.from_pydict({
             "chunk": pa.array(range(len(chunks)), pa.int32()),
-            "counts": pa.array([c.astype(np.uint32).tobytes() for c in chunks], pa.binary()),
+            "counts": pa.array([pa.compress(c.tobytes(), "zstd", asbytes=True) for c in chunks], pa.binary()),
         })
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for chunk, counts in zip(batch["chunk"].to_pylist(), batch["counts"].to_pylist()):
+            for chunk, packed in zip(batch["chunk"].to_pylist(), batch["counts"].to_pylist()):
+                counts = pa.decompress(packed, 4 * CHUNK, "zstd", asbytes=True)
                 sums.setdefault(chunk, np.zeros(CHUNK, np.int64))
-                sums[chunk] += np.frombuffer(counts, np.uint32)
+                sums[chunk] += np.frombuffer(counts, np.int32)
         yield pa.RecordBatch.from_pydict({
             "chunk": pa.array(list(sums), pa.int32()),
             "counts": pa.array([c.tobytes() for c in sums.values()], pa.binary()),
