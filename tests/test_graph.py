@@ -186,11 +186,11 @@ def test_graph_survives_writing(spark, g, tmp_path):
 
 
 def test_chain_ids_of_digits_stay_texts(spark, g, tmp_path):
-    many = g.edges.limit(1).withColumn("chain", F.explode(F.transform(F.sequence(F.lit(1), F.lit(1200)), lambda i: F.lpad(i.cast("string"), 3, "0"))))
+    many = g.edges.limit(1).withColumn("chain", F.explode(F.transform(F.sequence(F.lit(1), F.lit(1200)), lambda i: F.lpad(i.cast("string"), 4, "0"))))
     sinks.write_graph(dataclasses.replace(g, edges=many), str(tmp_path / "g"))
     back = sinks.read_graph(spark, str(tmp_path / "g")).edges
     assert back.columns == many.columns and back.schema["chain"].dataType.typeName() == "string"
-    assert back.filter("chain = '007'").count() == 1 and back.select("chain").distinct().count() == 1200
+    assert back.filter("chain = '0007'").count() == 1 and back.select("chain").distinct().count() == 1200
 
 
 def edges(spark, pairs):
