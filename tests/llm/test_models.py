@@ -78,6 +78,28 @@ def test_losses_match_plain_models_both_ways(spark):
         assert all(abs(r["difference"] - r["target_loss"] + r["background_loss"]) < 1e-9 for r in got)
 
 
+class Separate(Naive):
+    """Two models over one vocabulary, each with all pairs of its own texts."""
+
+    def loss(self, text, k):
+        known = self.vocabulary | {"<s>"}
+        self.pairs = {(h, w) for h, w in self.grams[k] if h in known and w in self.vocabulary}
+        return super().loss(text, k)
+
+
+def test_each_model_has_the_pairs_of_its_own_texts(spark):
+    target = ["a b", "a b", "b c", "c a", "d", "d d", "once d"]
+    background = ["b a d c"] * 20 + ["c d a b x a", "a x once b", "", "d b a d c"]
+    source = docs(spark, [*enumerate(background), (50, None)])
+    model, rates = lm_score.fit(spark.createDataFrame([(t,) for t in target], "text string"), source)
+    texts = [*background, None]
+    separate = Separate(target, texts)
+    want = sorted((separate.loss(t, 0), separate.loss(t, 1)) for t in texts)
+    for most in (10**6, 0):
+        got = lm_score.score(source, model, rates, broadcast_entries=most).collect()
+        assert np.allclose(sorted((r["target_loss"], r["background_loss"]) for r in got), want, atol=1e-5)
+
+
 def test_scoring_with_empty_sides(spark):
     none = spark.createDataFrame([], "text string")
     model, rates = lm_score.fit(none, docs(spark, [(1, "a b"), (2, None)]))

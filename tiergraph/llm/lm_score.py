@@ -59,9 +59,10 @@ def sequences(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def _count(rows: DataFrame, wanted=None) -> DataFrame:
-    """``key``, ``before`` (null for single words), ``word``, ``c``: n-grams of all texts.
+    """``key``, ``before`` (0 for single words), ``word``, ``c``: n-grams of all texts.
 
-    With ``wanted``, a bit table of keys, n-grams outside of it are left out.
+    Without ``wanted`` single words alone; with it, a bit table of the keys of words, all
+    n-grams whose words are (or may be) among them. The begin of a text always is.
     """
 
     def merged(parts: list[np.ndarray]) -> pa.RecordBatch:
@@ -80,13 +81,18 @@ def _count(rows: DataFrame, wanted=None) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 _, before, word = sequences(text_bytes(part["text"]))
-                grams = np.stack([
-                    np.concatenate([word_key(word), pair_key(before, word)]),
-                    np.concatenate([np.zeros_like(word), before]), np.concatenate([word, word]),
-                ])
-                if bits is not None:
-                    slot = (grams[0] >> U64(64 - KEY_BITS)).astype(np.int64)
-                    grams = grams[:, (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0]
+                single = word_key(word)
+                if bits is None:
+                    grams = np.stack([single, np.zeros_like(word), word])
+                else:
+                    slot = (single >> U64(64 - KEY_BITS)).astype(np.int64)
+                    known = (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
+                    both = known & np.where(before == BEGIN, True, np.roll(known, 1))
+                    grams = np.stack([
+                        np.concatenate([single[known], pair_key(before[both], word[both])]),
+                        np.concatenate([np.zeros_like(word[known]), before[both]]),
+                        np.concatenate([word[known], word[both]]),
+                    ])
                 parts.append(grams)
                 held += grams.shape[1]
                 if held >= MERGE:
@@ -120,30 +126,41 @@ def fit(target: DataFrame, background: DataFrame, text_col: str = "text", least:
     """The shared model table: ``key``, ``target``, ``background``, and the rate of unknown words.
 
     The vocabulary is the words that all target texts together have at least ``least``
-    times, the pairs of them likewise; both models use it, and every other word is one
-    unknown word to both. Pair counts are discounted and interpolated with word counts.
+    times; both models use it, and every other word is one unknown word to both. Each
+    model counts every pair of such words (or of the begin of a text and one) that its
+    own texts have, discounts over these pairs and interpolates with word counts.
     Log rates are kept as a sum over n-grams: a word brings the logarithm of its rate
-    and of the weight it leaves to later words, a listed pair corrects both. So a text's
-    loss is the sum of the values of its n-grams, and the table may be joined in any
-    parts. All texts are counted; the table grows with the corpora.
+    and of the weight it leaves to later words, a pair of either model corrects both. So
+    a text's loss is the sum of the values of its n-grams, and the table may be joined in
+    any parts. All texts are counted; the table grows with both corpora.
     """
-    rows = target.select(F.col(text_col).alias("text"))
-    listed = stored(_count(rows).where(f"c >= {least}").withColumnRenamed("c", "ct"))
-    seen = _count(background.select(F.col(text_col).alias("text")), _key_bits(listed))
+    sides = [f.select(F.col(text_col).alias("text")) for f in (target, background)]
+    names = ("ct", "cb")
+    listed = stored(_count(sides[0]).where(f"c >= {least}").select("key"))
+    bits = _key_bits(listed)
+    counts = [
+        _count(f, bits).select(
+            "key", "before", "word", *((F.col("c") if c == own else F.lit(0).cast("long")).alias(c) for c in names)
+        )
+        for own, f in zip(names, sides)
+    ]
     both = stored(
-        listed.join(seen.select("key", F.col("c").alias("cb")), "key", "left").fillna(0, ["cb"])
+        counts[0].unionByName(counts[1]).groupBy("key").agg(
+            F.first("before").alias("before"), F.first("word").alias("word"),
+            *(F.sum(c).alias(c) for c in names),
+        )
     )
-    words = both.where("before = 0")
-    pairs = both.where("before <> 0")
-    totals = [_tokens(f.select(F.col(text_col).alias("text"))) for f in (target, background)]
+    # The bit table lets some other words pass; their counts in the target tell them.
+    words = both.where(f"before = 0 AND ct >= {least}")
+    pairs = both.where("before <> 0").join(words.select("word"), "word", "left_semi")
+    totals = [_tokens(f) for f in sides]
     known = words.agg(F.count(F.lit(1)), F.sum("ct"), F.sum("cb")).first()
     size = (known[0] or 0) + 1
-    names = ("ct", "cb")
     unknown = {
         c: float(np.log((n - (k or 0) + 1) / (n + size))) for c, n, k in zip(names, totals, known[1:])
     }
     rate = {c: F.log((F.col(c) + 1) / F.lit(float(n + size))) for c, n in zip(names, totals)}
-    # What listed pairs leave of a context to single words.
+    # What a model's pairs leave of a context to single words.
     used = pairs.groupBy("before").agg(
         *(F.sum(F.greatest(F.col(c) - DISCOUNT, F.lit(0.0))).alias(f"u{c}") for c in names)
     )
