@@ -109,6 +109,16 @@ def test_blocks_of_a_page():
     assert blocks("<article>1 < 2 &amp; 3 &am <unclosed") == ["1 < 2 & 3 &am <unclosed"]
 
 
+def test_only_whole_attributes_declare_noise():
+    assert blocks('<p>See <a href="/hidden-falls">Hidden Falls</a></p>') == ["See Hidden Falls"]
+    assert blocks("<p>some <b title='hidden gems'>gems</b> <i data-role=\"search\" data-id=ad x:class='nav'>stay</i>") == ["some gems stay"]
+    assert blocks('<div style="overflow:hidden"><article><p>whole</article></div>') == ["whole"]
+    assert blocks('<div data-x=\'class="ad"\' title="a id=nav b"><p>kept</div><p \'hidden\'>too') == ["kept", "too"]
+    gone = ("hidden", "HIDDEN=''", "x=1 hidden", 'a="b"hidden', "class = ad", "class='ad'", "role=search", "href=/a/ id=nav", "aria-hidden='true'")
+    assert [blocks(f"<div {a}>x</div><p>y") for a in gone] == [["y"]] * len(gone)
+    assert blocks("<div id=x id=nav>kept</div>") == ["kept"]
+
+
 def test_branches_that_a_site_repeats_are_removed(spark):
     def page(host, i, k=0):
         return (f"http://{host}/{i}", f"<body><div class='x7'><p>Same words here</p></div><div class='c'><p>Text {i}.{k}</p>"

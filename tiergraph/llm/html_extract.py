@@ -64,7 +64,9 @@ TOKEN = re.compile(
     r"<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>[^\"'>]*(?:(?:\"[^\"]*\"|'[^']*')[^\"'>]*)*)>",
     re.S,
 )
-ATTR = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+#: The next attribute, name and value; quoted text without a name is passed over.
+ATTR = re.compile(r"\"[^\"]*\"|'[^']*'|([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*))?")
+ATTRS = frozenset("class id role itemprop hidden aria-hidden".split())
 DIGITS = re.compile(r"\d+")
 NAME = re.compile(r"[a-z]+")
 
@@ -169,8 +171,16 @@ class Page:
         if not attrs or attrs.isspace():
             return False, False, ""
         noise, main, name = False, False, ""
+        seen: set[str] = set()
         for key, value in ATTR.findall(attrs):
-            key, value = key.lower(), value.strip("\"'").lower()
+            key, value = key.lower(), value.lower()
+            # Of a repeated attribute the first counts.
+            if key not in ATTRS or key in seen:
+                continue
+            seen.add(key)
+            if value[:1] in ("'", '"'):
+                value = value[1:-1]
+            value = value.strip()
             if key == "role":
                 noise, main = noise or value in NOISE_ROLES, main or value == "main"
             elif key == "itemprop":
