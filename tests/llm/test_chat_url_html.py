@@ -119,6 +119,23 @@ def test_only_whole_attributes_declare_noise():
     assert blocks("<div id=x id=nav>kept</div>") == ["kept"]
 
 
+def test_names_that_only_mention_noise_keep_the_text():
+    for around in ('div class="layout with-sidebar"', 'div id="page" class="has-nav"', 'div class="x share-enabled"',
+                   'div class="page--sidebar"', 'div class="post tag-notices category-legal"', 'div class="sidebar widget"'):
+        assert blocks(f"<{around}><article><p>whole</article><p>more</{around.split()[0]}>") == ["whole"]
+        if "widget" not in around:
+            assert blocks(f"<{around}><p>whole</div><p>more") == ["whole", "more"]
+    for tag in ("article", "main"):
+        for name in ("post category-legal", "tag-notices", "promo", "comments"):
+            assert blocks(f'<{tag} class="{name}"><p>whole</{tag}>') == ["whole"]
+    assert blocks('<div class="sidebar"><div role="main"><p>whole</div></div>') == ["whole"]
+    assert blocks('<span class="widget"><article><p>whole</article></span>') == ["whole"]
+    assert blocks('<div class="notice"><p>no</div><div class="widget"><main><div class="ad">no</div><p>whole</main></div>') == ["whole"]
+    assert blocks('<article><p>whole<div class="comments"><article class="comment"><p>nice</article></div></article>') == ["whole"]
+    gone = ("nav", "main-nav", "cookie-notice", "ad-slot", "ad_1", "sidebar-inner", "menu__item", "nav--main", "x share")
+    assert [blocks(f'<div class="{g}">x</div><p>y') for g in gone] == [["y"]] * len(gone)
+
+
 def test_branches_that_a_site_repeats_are_removed(spark):
     def page(host, i, k=0):
         return (f"http://{host}/{i}", f"<body><div class='x7'><p>Same words here</p></div><div class='c'><p>Text {i}.{k}</p>"

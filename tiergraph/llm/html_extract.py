@@ -47,6 +47,12 @@ NOISE_NAMES = frozenset(
     "discussion share sharing social related recommended pagination pager toolbar copyright legal "
     "disclaimer skip".split()
 )
+#: Parts of a compound name that only say a noise name holds something, or belongs to something else.
+CONTAINERS = frozenset(
+    "area bar block blocks body box button buttons container content group icons inner item items "
+    "link links list outer panel section slot text title top bottom unit wrap wrapper".split()
+)
+OTHERS = frozenset("has with without no not is cat category categories tag tags type format topic".split())
 MAIN_TAGS = frozenset(["article", "main"])
 MAIN_NAMES = frozenset(
     "article-body articlebody article-content article-text post-body post-content entry-content "
@@ -71,15 +77,28 @@ DIGITS = re.compile(r"\d+")
 NAME = re.compile(r"[a-z]+")
 
 
+def noise_name(word: str) -> bool:
+    """Whether a class or id declares noise: it is a noise name, ends in one, or is one with words for
+    its box (``ad-slot``); what a page has or is filed under (``has-nav``) and modifiers do not."""
+    parts = NAME.findall(word.split("--")[0])
+    if not parts or not OTHERS.isdisjoint(parts[:-1]):
+        return False
+    return parts[-1] in NOISE_NAMES or parts[0] in NOISE_NAMES and CONTAINERS.issuperset(parts[1:])
+
+
 def _hash(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
 class _Element:
-    __slots__ = ("tag", "path", "noise", "main", "branch", "kids")
+    __slots__ = ("tag", "path", "noise", "main", "branch", "kids", "named")
 
-    def __init__(self, tag: str, path: str, noise: bool, main: bool, branch: tuple[str, ...]) -> None:
+    def __init__(
+        self, tag: str, path: str, noise: bool, main: bool, branch: tuple[str, ...], named: int | None = None
+    ) -> None:
         self.tag, self.path, self.noise, self.main, self.branch = tag, path, noise, main, branch
+        #: Where the element begins if a class or id declares it as noise.
+        self.named = named
         self.kids: list[str] = []
 
 
@@ -91,9 +110,14 @@ class Page:
     Elements that HTML or their names declare as navigation, advert, form and the like
     have no importance and do not enter the tree. End tags may be missing, and a page
     may break off anywhere.
+
+    Class and id names never declare a main element or what is around it as noise: such
+    elements are added to ``spared`` (by where they begin), for a second pass. Articles
+    inside of an article are its comments or teasers and spare nothing.
     """
 
-    def __init__(self, source: str) -> None:
+    def __init__(self, source: str, spared: frozenset[int] = frozenset()) -> None:
+        self.known, self.spared = spared, set(spared)
         self.blocks: list[tuple[str, bool, tuple[str, ...]]] = []
         self.nodes: dict[str, tuple[list[str], set[str]]] = {}
         self.stack = [_Element("", "", False, False, ())]
@@ -113,7 +137,7 @@ class Page:
             if m["end"]:
                 self._close(tag)
                 continue
-            self._open(tag, m["attrs"])
+            self._open(tag, m["attrs"], m.start())
             if tag in RAW and not m["attrs"].endswith("/"):
                 ends = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
                 at = ends.end() if ends else len(source)
@@ -137,9 +161,10 @@ class Page:
                 top = self.stack[-1]
                 self.blocks.append((text, top.main, top.branch))
 
-    def _open(self, tag: str, attrs: str) -> None:
+    def _open(self, tag: str, attrs: str, at: int) -> None:
+        noise, main, name, doubtful = self._named(attrs)
         if tag in INLINE:
-            if not self._named(attrs)[0]:
+            if not (noise or doubtful and at not in self.known):
                 return
         elif tag in ("br", "wbr", "img"):
             self.words.append(" " if tag == "br" else "")
@@ -152,9 +177,14 @@ class Page:
             self._close_within({"p"}, {"table", "td", "th", "button"})
         if tag in SIBLINGS:
             self._close_within(*SIBLINGS[tag])
-        noise, main, name = self._named(attrs)
         top = self.stack[-1]
         inside_main = top.main
+        named = at if doubtful else None
+        if tag in MAIN_TAGS and all(e.tag != "article" for e in self.stack) or main and not inside_main:
+            self.spared.update(e.named for e in self.stack if e.named is not None)
+            if doubtful:
+                self.spared.add(at)
+        noise = noise or doubtful and at not in self.known
         # Inside the main text a header is its heading, not the site's.
         noise = noise or tag in RAW or (tag in NOISE_TAGS and not (tag == "header" and inside_main))
         noise = top.noise or noise and tag not in ("html", "body")
@@ -163,14 +193,14 @@ class Page:
         top.kids.append(key)
         branch = top.branch if noise or (tag in RUNNING and inside_main) else (*top.branch, path)
         self.stack.append(
-            _Element(tag, path, noise, inside_main or tag in MAIN_TAGS or main, branch)
+            _Element(tag, path, noise, inside_main or tag in MAIN_TAGS or main, branch, named)
         )
 
-    def _named(self, attrs: str) -> tuple[bool, bool, str]:
-        """Noise by its names, main by its names, and the class for the path."""
+    def _named(self, attrs: str) -> tuple[bool, bool, str, bool]:
+        """Noise by its attributes, main by its attributes, the class for the path, noise by class or id."""
         if not attrs or attrs.isspace():
-            return False, False, ""
-        noise, main, name = False, False, ""
+            return False, False, "", False
+        noise, main, name, doubtful = False, False, "", False
         seen: set[str] = set()
         for key, value in ATTR.findall(attrs):
             key, value = key.lower(), value.lower()
@@ -192,11 +222,10 @@ class Page:
             else:
                 for word in value.split():
                     main = main or word in MAIN_NAMES
-                    parts = NAME.findall(word)
-                    noise = noise or (not main and any(p in NOISE_NAMES for p in parts))
+                    doubtful = doubtful or noise_name(word)
                 if key == "class" or not name:
                     name = DIGITS.sub("0", value)[:60]
-        return noise, main, name
+        return noise, main, name, doubtful and not main
 
     def _close_within(self, tags: set[str], stops: set[str]) -> None:
         for i in range(len(self.stack) - 1, 0, -1):
@@ -231,6 +260,8 @@ class Page:
 def parsed(source: str | None) -> tuple[list[dict], list[dict]]:
     """Candidate blocks and site-tree nodes of a page as plain rows."""
     page = Page(source or "")
+    if page.spared:
+        page = Page(source or "", frozenset(page.spared))
     has_main = any(main for _, main, _ in page.blocks)
     known: dict[str, int] = {}
 
@@ -319,7 +350,8 @@ def extract(
 
     Pages are parsed once, to blocks of text and to the nodes of their site's style tree
     (the DOMs of one host merged along equal paths). Blocks below navigation, adverts,
-    forms and the like are gone by name; if a page has a main element, blocks outside of
+    forms and the like are gone by name, but names spare main elements and what is around
+    them, and a name that only mentions noise leaves it to importance; if a page has a main element, blocks outside of
     it as well. Branches of low importance on a site of at least ``LEAST_PAGES`` pages,
     whose content as a whole differs from page to page, are removed from each page.
 
