@@ -54,6 +54,20 @@ def test_hits_match_brute_force_in_one_block_and_in_many(spark):
         assert all(r["n_hit"] == sum(b - a for a, b in r["spans"]) for r in got)
 
 
+def test_short_and_overlapping_items_do_not_shorten_spans(spark):
+    long = prose(21, 40).split()
+    items = [(1, " ".join(long)), (2, " ".join(long[3:8])), (3, " ".join(long[5:30])), (4, " ".join(long[20:34]))]
+    texts = [(1, " ".join([*long, *prose(22, 760).split()])), (2, " ".join(long)), (3, "x " + " ".join(long[2:20]) + " y")]
+    source, bench = docs(spark, texts), spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    want = {i: expected(t, items) for i, t in texts}
+    assert want[1][:2] == (800, 40)
+    for size in (4 << 20, 1):
+        got = decontaminate.contamination(source, bench, block_bytes=size)
+        rows = got.withColumn("c", decontaminate.contaminated()).collect()
+        assert {r["id"]: (r["n_words"], r["n_hit"], r["items"]) for r in rows} == want
+        assert all(r["c"] for r in rows)
+
+
 def test_drop_keeps_clean_rows_whole(spark):
     source, bench = docs(spark, rows()), spark.createDataFrame(ITEMS, "item_id long, text string")
     kept = decontaminate.drop_contaminated(source, bench)

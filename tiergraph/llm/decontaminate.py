@@ -69,7 +69,7 @@ class WindowTable:
                     if own[stop - size : stop] == seen:
                         found.add(name)
                         if spans and spans[-1][1] >= end - size and spans[-1][0] <= end - size:
-                            spans[-1] = (spans[-1][0], end)
+                            spans[-1] = (spans[-1][0], max(spans[-1][1], end))
                         else:
                             spans.append((end - size, end))
             end += 1
