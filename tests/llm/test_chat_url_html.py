@@ -88,6 +88,17 @@ def test_captures_are_judged_at_fetch_time(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], shape), entries(spark)).count() == 0
 
 
+def test_paths_of_entries_keep_their_case(spark):
+    listed = [("s", " Example.COM/Ads/Spring ", "2024-01-01", "add"), ("s", "example.com/News", "2024-01-01", "add"),
+              ("s", "example.com/news", "2024-01-03", "add"), ("h", "UPPER.org", "2024-01-01", "add")]
+    day = dt.date(2024, 1, 2)
+    urls = {"http://EXAMPLE.com/Ads/Spring/x": "example.com/Ads/Spring", "http://example.com/ads/spring": None,
+            "http://example.com/News": "example.com/News", "http://example.com/news": None, "http://Upper.org/A": "upper.org"}
+    captures = spark.createDataFrame([(i, u, day) for i, u in enumerate(urls)], "page_id long, url string, fetched_at date")
+    got = {r["url"]: r["pattern"] for r in url_filter.filter_urls(captures, entries(spark, listed)).collect()}
+    assert got == urls
+
+
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style></head><body class="has-sidebar">
 <header><h1>Site</h1></header><nav><ul><li>menu</ul></nav><div class="cookie-notice">We use cookies</div>
 <div id="sidebar"><p>side</p></div><main><article><header><h1>Title &amp; more</h1></header>

@@ -44,19 +44,24 @@ def intervals(
     date_col: str = "listed_on",
     action_col: str = "action",
     list_col: str = "list",
+    path_case: bool = False,
 ) -> DataFrame:
     """``list``, ``pattern``, ``valid_from``, ``valid_to``: when each pattern is listed.
 
     An ``add`` opens an interval that the next ``remove`` closes (end exclusive; null
     while open). A second ``add`` or ``remove`` changes nothing; of both on one date the
-    removal counts. Entries without pattern, date or a known action are ignored. Days
+    removal counts. Patterns are lower-cased; with ``path_case`` only their hosts, for
+    paths differ by case. Entries without pattern, date or a known action are ignored. Days
     are collapsed before rows are dealt out, so even a pattern that most entries name
     brings one row a day.
     """
+    named = F.trim(F.col(pattern_col))
+    host = F.substring_index(named, "/", 1)
+    path = F.substring(named, F.length(host) + 1, F.length(named))
     days = (
         entries.select(
             F.col(list_col).alias("list"),
-            F.lower(F.trim(F.col(pattern_col))).alias("pattern"),
+            (F.concat(F.lower(host), path) if path_case else F.lower(named)).alias("pattern"),
             F.col(date_col).alias("day"),
             F.col(action_col).alias("action"),
         )
@@ -86,7 +91,8 @@ def filter_urls(
 
     Returns one row per input row: ``id``, ``url``, ``fetched_at``, ``blocked``,
     ``n_active`` (entries that hit), and the most specific of them (longest pattern, then
-    first list by name): ``pattern``, ``list``, ``valid_from``.
+    first list by name): ``pattern``, ``list``, ``valid_from``. Hosts meet in any case,
+    paths in their own.
 
     Keys of captures pass a fixed-size filter of all patterns before they are joined, so
     only possible hits are shuffled; the busy key of a large host is a join partition
@@ -97,7 +103,7 @@ def filter_urls(
     rows = captures.select(
         F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(time_col).alias("fetched_at")
     )
-    spans = stored(intervals(entries))
+    spans = stored(intervals(entries, path_case=True))
     keys = rows.where("url IS NOT NULL AND fetched_at IS NOT NULL").distinct().withColumn(
         "pattern", F.explode(lookup_keys(F.col("url")))
     )
