@@ -68,6 +68,25 @@ def test_short_and_overlapping_items_do_not_shorten_spans(spark):
         assert all(r["c"] for r in rows)
 
 
+def test_blocks_are_read_as_they_are_searched(spark, monkeypatch):
+    taken, at_passes, stored = [], [], decontaminate.stored
+
+    def blocks(benchmark, most):
+        for i in range(4):
+            taken.append(i)
+            yield [(str(i), f"word{i}".encode())]
+
+    def noted(rows):
+        at_passes.append(len(taken))
+        return stored(rows)
+
+    monkeypatch.setattr(decontaminate, "_blocks", blocks)
+    monkeypatch.setattr(decontaminate, "stored", noted)
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    got = decontaminate.contamination(docs(spark, [(1, "word0 x word3 word2")]), bench).first()
+    assert at_passes == [2, 3, 4] and got["items"] == ["0", "2", "3"] and got["n_hit"] == 3
+
+
 def test_drop_keeps_clean_rows_whole(spark):
     source, bench = docs(spark, rows()), spark.createDataFrame(ITEMS, "item_id long, text string")
     kept = decontaminate.drop_contaminated(source, bench)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -123,7 +124,8 @@ def contamination(
     """Where windows of ``window`` consecutive item words occur in documents.
 
     The items are taken as broadcast blocks of at most ``block_bytes``, so what an
-    executor holds does not grow with the benchmark; each further block is another pass
+    executor holds does not grow with the benchmark, and the driver two blocks and one
+    partition of it; each further block is another pass
     over the documents. Documents are never shuffled, whatever their number or skew.
 
     Returns one row per input row: ``id``, ``n_words``, ``spans`` (disjoint word ranges
@@ -147,7 +149,7 @@ def contamination(
         T.StructField("items", T.ArrayType(T.StringType())),
     ])
     block: list | None = None
-    for following in [*_blocks(named, block_bytes), None]:
+    for following in chain(_blocks(named, block_bytes), [None]):
         if block is not None:
             last = following is None
             keep = carry or not last
