@@ -125,6 +125,28 @@ def test_member_lists_cover_empty_pairs(study):
     assert sorted(r.companies for r in paged.filter("n_companies > 1").collect()) == ["Alpha; Alpha", "Gap"]
 
 
+def test_member_rows_have_positions_and_no_pages(study):
+    for limit in (1_000_000, 1):
+        rows = es.member_rows(study.members, (6, 9), group_limit=limit).collect()
+        full = sorted((r.position, r.company, r.n_companies) for r in rows if (r.window, r["group"]) == (6, "full_capacity"))
+        assert full == [(0, "Alpha", 3), (1, "Alpha", 3), (2, "Gap", 3)]
+        assert [(r.position, r.company, r.n_companies) for r in rows if (r.window, r["group"]) == (9, "rest")] == [(None, None, 0)]
+
+
+def test_members_of_a_pair_are_one_row_at_any_size(study, monkeypatch):
+    from types import SimpleNamespace
+
+    from tiergraph.plans.queries import study as queries
+
+    pages = es.joined_pages
+    monkeypatch.setattr(es, "joined_pages", lambda *a: pages(*a[:-2], 2, 1))
+    monkeypatch.setattr(queries, "_study", lambda spark, sf_dir: SimpleNamespace(
+        members=study.members.withColumn("window", F.lit(5))))
+    rows = queries.window_members(study.members.sparkSession, "").collect()
+    assert len({(r.window, r["group"]) for r in rows}) == len(rows) == 6
+    assert all(len([c for c in r.companies.split("; ") if c]) == r.n_companies for r in rows)
+
+
 def test_study_is_written_whole(spark, study, tmp_path):
     sinks.write_study(study, str(tmp_path))
     for name in ("events", "universe", "stats", "excluded", "members"):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tiergraph.functions import fixed_values as fixed
 from tiergraph.functions.display import DASH, pct
 from tiergraph.functions.stats import t_test_p
-from tiergraph.operators.ordering import GROUP_LIMIT, joined_pages, upper_median
+from tiergraph.operators.ordering import GROUP_LIMIT, joined_pages, positions, upper_median
 
 CALL = ("company", "ticker", "date")
 
@@ -210,6 +210,32 @@ def window_members(returns: DataFrame) -> DataFrame:
     )
 
 
+def member_rows(
+    members: DataFrame,
+    windows: Sequence[int] = fixed.WINDOWS,
+    groups: Sequence[str] = fixed.GROUPS,
+    group_limit: int = GROUP_LIMIT,
+) -> DataFrame:
+    """One row per member with its position in (window, group) and the pair's count.
+
+    An empty pair has one row without position and company.
+    """
+    spark = members.sparkSession
+    keys = ["window", "group"]
+    pairs = F.broadcast(
+        spark.createDataFrame([(w, g) for w in windows for g in groups], "window int, group string")
+    )
+    order = [F.col(c) for c in ("company", "ticker", "date", "copy")]
+    rows = positions(members, keys, order, group_limit=group_limit).select(*keys, "position", "company")
+    counts = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_companies"))
+    sized = F.broadcast(pairs.join(counts, keys, "left").na.fill(0, ["n_companies"]))
+    empty = sized.filter("n_companies = 0").select(
+        *keys, F.lit(None).cast("bigint").alias("position"), F.lit(None).cast("string").alias("company"),
+        "n_companies",
+    )
+    return rows.join(sized, keys).select(*keys, "position", "company", "n_companies").unionByName(empty)
+
+
 def member_lists(
     members: DataFrame,
     windows: Sequence[int] = fixed.WINDOWS,

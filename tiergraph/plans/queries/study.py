@@ -193,12 +193,27 @@ SELECT w."window", g."group", count(company) AS n_companies,
 FROM (VALUES (5), (10), (20)) w("window") CROSS JOIN (VALUES ('full_capacity'), ('rest')) g("group")
 LEFT JOIN members m ON m."window" = w."window" AND m."group" = g."group" GROUP BY ALL"""))
 def window_members(spark, sf_dir):
-    lists = es.member_lists(_study(spark, sf_dir).members, page_size=1_000_000)
-    return lists.select(
+    # One row a pair, as in SQL, at any size; window_member_rows has no joined cell.
+    names = F.array_join(F.sort_array(F.collect_list("company")), "; ")
+    lists = es.member_rows(_study(spark, sf_dir).members).groupBy("window", "group", "n_companies")
+    return lists.agg(names.alias("companies")).select(
         F.col("window").cast("bigint").alias("window"), "group", "n_companies", "companies"
     )
 
 
+@query(with_ctes(PRICES, CALLS, RETURNS, """
+members AS (SELECT days AS "window", grp AS "group", company FROM returns
+            WHERE measure <> 'jump' AND ret IS NOT NULL)""", """
+SELECT w."window", g."group", company, count(company) OVER (PARTITION BY w."window", g."group") AS n_companies,
+       CASE WHEN company IS NOT NULL
+         THEN row_number() OVER (PARTITION BY w."window", g."group" ORDER BY company) - 1 END AS position
+FROM (VALUES (5), (10), (20)) w("window") CROSS JOIN (VALUES ('full_capacity'), ('rest')) g("group")
+LEFT JOIN members m ON m."group" = g."group" AND m."window" = w."window" """))
+def window_member_rows(spark, sf_dir):
+    rows = es.member_rows(_study(spark, sf_dir).members)
+    return rows.withColumn("window", F.col("window").cast("bigint"))
+
+
 @query(with_ctes(PRICES, CALLS, RETURNS, """
 SELECT '+' || days || 'd window not complete yet' AS reason, count(*) AS n FROM returns
 WHERE measure <> 'jump' AND ret IS NULL GROUP BY days
