@@ -19,7 +19,7 @@ def events(text):
 
 
 class Naive:
-    """The same two models, kept in dictionaries."""
+    """Two models over one vocabulary, each with all pairs of its own texts, in dictionaries."""
 
     def __init__(self, target, background, least=2):
         grams = [Counter(), Counter()]
@@ -32,11 +32,12 @@ class Naive:
                     words[k][w] += 1
                     self.n[k] += 1
         self.vocabulary = {w for w, c in words[0].items() if c >= least}
-        self.pairs = {p for p, c in grams[0].items() if c >= least}
         self.words, self.grams = words, grams
         self.begins = [len(target), len(background)]
 
     def loss(self, text, k):
+        known = self.vocabulary | {"<s>"}
+        pairs = {(h, w) for h, w in self.grams[k] if h in known and w in self.vocabulary}
         total = 0.0
         size = len(self.vocabulary) + 1
         known = sum(self.words[k][w] for w in self.vocabulary)
@@ -47,14 +48,14 @@ class Naive:
 
         def left(h):
             n = self.begins[k] if h == "<s>" else self.words[k][h]
-            used = sum(max(self.grams[k][p] - 0.5, 0) for p in self.pairs if p[0] == h)
+            used = sum(max(self.grams[k][p] - 0.5, 0) for p in pairs if p[0] == h)
             return n, max(1 - used / max(n, 1), 1e-6)
 
         for h, w in events(text):
             context = h == "<s>" or h in self.vocabulary
             n, gamma = left(h) if context else (1, 1.0)
             p = gamma * single(w)
-            if (h, w) in self.pairs:
+            if (h, w) in pairs:
                 p += max(self.grams[k][(h, w)] - 0.5, 0) / max(n, 1)
             total -= math.log(p)
         return total / len(events(text))
@@ -78,22 +79,13 @@ def test_losses_match_plain_models_both_ways(spark):
         assert all(abs(r["difference"] - r["target_loss"] + r["background_loss"]) < 1e-9 for r in got)
 
 
-class Separate(Naive):
-    """Two models over one vocabulary, each with all pairs of its own texts."""
-
-    def loss(self, text, k):
-        known = self.vocabulary | {"<s>"}
-        self.pairs = {(h, w) for h, w in self.grams[k] if h in known and w in self.vocabulary}
-        return super().loss(text, k)
-
-
 def test_each_model_has_the_pairs_of_its_own_texts(spark):
     target = ["a b", "a b", "b c", "c a", "d", "d d", "once d"]
     background = ["b a d c"] * 20 + ["c d a b x a", "a x once b", "", "d b a d c"]
     source = docs(spark, [*enumerate(background), (50, None)])
     model, rates = lm_score.fit(spark.createDataFrame([(t,) for t in target], "text string"), source)
     texts = [*background, None]
-    separate = Separate(target, texts)
+    separate = Naive(target, texts)
     want = sorted((separate.loss(t, 0), separate.loss(t, 1)) for t in texts)
     for most in (10**6, 0):
         got = lm_score.score(source, model, rates, broadcast_entries=most).collect()
