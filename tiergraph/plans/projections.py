@@ -66,8 +66,12 @@ def with_ctes(*parts: str) -> str:
 
 # --- line items as players and edges ---------------------------------------------
 
-LINE_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-SQL_ORD = "(l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+# Two lines may share all four keys; the rest of their columns then decides.
+LINE_ORDER = (
+    "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+    "l_linestatus", "l_returnflag", "l_quantity", "l_extendedprice", "l_shipdate",
+)
+SQL_ORD = f"({', '.join(LINE_ORDER)})"
 
 
 def line_order() -> Column:
@@ -127,9 +131,7 @@ def contract() -> Column:
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One edge per line item: supplier -> customer; open lines carry a contract."""
-    lines = table(spark, sf_dir, "lineitem").select(
-        *LINE_ORDER, "l_returnflag", "l_linestatus", "l_quantity", "l_shipdate"
-    )
+    lines = table(spark, sf_dir, "lineitem").select(*LINE_ORDER)
     orders = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderpriority"
     )
@@ -172,9 +174,7 @@ def order_players(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A line feeds the supplier of the next line of its order and the customer.
     """
-    lines = table(spark, sf_dir, "lineitem").select(
-        *LINE_ORDER, "l_returnflag", "l_linestatus", "l_quantity", "l_shipdate"
-    )
+    lines = table(spark, sf_dir, "lineitem").select(*LINE_ORDER)
     parts = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("l_partkey"), "p_name", "p_type", "p_size"
     )
@@ -234,8 +234,7 @@ ORDER_PLAYERS = f"""order_players AS (
          c_name AS customer, l_returnflag AS relationship,
          CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS n_contracts,
          strftime(l_shipdate, 'Q1 FY%Y (%m-%d-%Y)') AS quarter,
-         lead(s_name) OVER (PARTITION BY l_orderkey
-                            ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS following,
+         lead(s_name) OVER (PARTITION BY l_orderkey ORDER BY {", ".join(LINE_ORDER)}) AS following,
          {SQL_ORD} AS ord
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
   JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"""

@@ -198,23 +198,24 @@ def chain_listing(spark, sf_dir):
     )
 
 
+# A place is one number: column * 1,000,000 + row (orders are far shorter).
 @query(with_ctes(ORDER_PLAYERS, NESTED, LISTED, """
-spot AS (SELECT chain, company, min((col, pos + heads)) AS p FROM listed GROUP BY 1, 2),
-stated AS (
-  SELECT chain, company AS source, following AS target, col, pos + heads AS "row", 0 AS e,
-         0 AS n_contracts FROM listed WHERE following IS NOT NULL AND following <> company
-  UNION ALL SELECT chain, company, customer, col, pos + heads,
-         CASE WHEN following IS NULL THEN 0 ELSE 1 END, n_contracts FROM listed),
-ext AS (
-  SELECT chain, target, row_number() OVER (PARTITION BY chain ORDER BY min((col, "row", e))) - 1 AS n
-  FROM stated s WHERE NOT EXISTS (SELECT 1 FROM spot WHERE spot.chain = s.chain AND spot.company = s.target)
-  GROUP BY 1, 2),
-width AS (SELECT chain, max(col) + 1 AS w FROM listed GROUP BY 1)""", """
+placed AS MATERIALIZED (
+  SELECT chain, company, following, customer, n_contracts, col, pos + heads AS "row",
+         col * 1000000 + pos + heads AS p FROM listed),
+spot AS MATERIALIZED (SELECT chain, company, min(p) AS p FROM placed GROUP BY 1, 2),
+stated AS MATERIALIZED (
+  SELECT chain, company AS source, following AS target, col, "row", 2 * p AS o, 0 AS n_contracts
+  FROM placed WHERE following IS NOT NULL AND following <> company
+  UNION ALL SELECT chain, company, customer, col, "row", 2 * p + 1, n_contracts FROM placed),
+ext AS MATERIALIZED (
+  SELECT chain, target, row_number() OVER (PARTITION BY chain ORDER BY min(o)) - 1 AS n
+  FROM stated s ANTI JOIN spot ON spot.chain = s.chain AND spot.company = s.target GROUP BY 1, 2),
+width AS MATERIALIZED (SELECT chain, max(col) + 1 AS w FROM placed GROUP BY 1)""", """
 SELECT s.chain, s.source, s.target, s.col AS from_col, s."row" AS from_row,
-       coalesce(struct_extract(spot.p, 1), w) AS to_col,
-       coalesce(struct_extract(spot.p, 2), ext.n) AS to_row,
+       coalesce(spot.p // 1000000, w) AS to_col, coalesce(spot.p % 1000000, ext.n) AS to_row,
        s.n_contracts, spot.p IS NULL AS external
-FROM stated s JOIN width USING (chain)
+FROM stated s JOIN width ON width.chain = s.chain
 LEFT JOIN spot ON spot.chain = s.chain AND spot.company = s.target
 LEFT JOIN ext ON ext.chain = s.chain AND ext.target = s.target"""))
 def role_edges(spark, sf_dir):

@@ -175,10 +175,11 @@ def group_stats(spark, sf_dir):
     return _study(spark, sf_dir).stats
 
 
+# The report shows the statistics as stored: the hit rate is rounded to three places first.
 @query(with_ctes(PRICES, CALLS, RETURNS, STATS, """
 SELECT regexp_extract(metric, 'drift[0-9]+_vs_(.*)', 1) AS benchmark, grp AS "group",
        '+' || regexp_extract(metric, 'drift([0-9]+)_vs_', 1) || 'd' AS "window", n,
-       CAST(round(100 * hit) AS BIGINT) || '%' AS hit_rate
+       CAST(round_even(100 * round_even(hit, 3), 0) AS BIGINT) || '%' AS hit_rate
 FROM tails WHERE metric LIKE 'drift%'"""))
 def study_report(spark, sf_dir):
     report = es.study_report(_study(spark, sf_dir).stats, WINDOWS)
