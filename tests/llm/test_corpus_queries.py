@@ -27,7 +27,7 @@ def test_every_operator_is_registered_once():
     import __spark_entry__ as contract
 
     names = contract.queries()
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14)) and "pipeline" in names
 
 
 def test_pipeline_against_brute_force(spark):

@@ -11,15 +11,18 @@ from tiergraph.llm import (
     chat,
     decontaminate,
     exact_dedup,
+    hard_negatives,
     html_extract,
     jaccard_join,
+    line_dedup,
     lm_score,
     pack,
     quality,
     shard,
+    token_align,
     url_filter,
 )
-from tiergraph.llm.common import table
+from tiergraph.llm.common import stored, table
 from tiergraph.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -278,3 +281,64 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model, rates = lm_score.fit(table(spark, sf_dir, "conversations"), docs)
     return lm_score.score(docs, model, rates).withColumnRenamed("id", "doc_id")
+
+
+@query("""
+    WITH raw AS (
+        SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding AS v
+        FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL),
+    q AS (
+        SELECT id, label, list_transform(v, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+        FROM raw WHERE len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    pairs AS (
+        SELECT a.id AS anchor_id, b.id AS other, a.label = b.label AS same, CAST(list_sum(list_transform(
+            range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])) AS BIGINT) AS score
+        FROM q a JOIN q b ON a.id % 50 = 0 AND a.id <> b.id),
+    positives AS (
+        SELECT anchor_id, other AS positive_id, score AS positive_score FROM pairs WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+    SELECT anchor_id, positive_id, row_number() OVER w AS rank, other AS negative_id, positive_score,
+           score AS negative_score
+    FROM positives JOIN pairs USING (anchor_id)
+    WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+    WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)
+    QUALIFY row_number() OVER w <= 3
+""")
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding")
+    return hard_negatives.mine(rows, F.col("id") % 50 == 0)
+
+
+@query()
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    aligned = token_align.align(table(spark, sf_dir, "documents"))
+    aligned = stored(aligned.withColumn("groups_sha256", digest).drop("groups"))
+    counts = stored(token_align.link_counts(aligned, token_align.link_size()))
+    # Every common end closes one group and links the two tokens that end there.
+    rows = token_align.scored(aligned, counts).withColumn("n_links", F.col("n_groups"))
+    return rows.withColumnRenamed("id", "doc_id")
+
+
+LINE_KEY = """translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"""
+
+
+@query(f"""
+    WITH d AS (
+        SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+    lines AS (
+        SELECT r, i, line, {LINE_KEY} AS key
+        FROM (SELECT r, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM d)),
+    shared AS (SELECT key FROM lines WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10),
+    kept AS (
+        SELECT r, string_agg(line, chr(10) ORDER BY i) AS t, count(*) AS n
+        FROM lines ANTI JOIN shared USING (key) GROUP BY r)
+    SELECT doc_id, CAST(len(l) AS BIGINT) AS n_lines, len(l) - coalesce(n, 0) AS n_dropped,
+           sha256(coalesce(t, '')) AS kept_sha256
+    FROM d LEFT JOIN kept USING (r)
+""")
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
