@@ -1,7 +1,8 @@
 """Cross-tokenizer alignment: where the tokens of a byte-level BPE and of pieces end together.
 
-Character offsets of the first tokenizer and the byte spans of the second's proto are coarse
-cuts of a text's bytes. A token inside a multibyte character, or of byte fallback, has no
+Character offsets of the first tokenizer and the spans of the second's pieces (the installed
+library gives those of its former immutable proto as an offset mapping) are coarse cuts of a
+text's bytes. A token inside a multibyte character, or of byte fallback, has no
 cut of its own there, so its end comes from the decoded bytes of the tokens before it. The
 ends that both tokenizers have cut the tokens into groups; each such end links one token of
 either side.
@@ -23,7 +24,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -36,8 +37,10 @@ from tiergraph.llm.common import slices, stored
 TOKENIZERS = "/opt/tokenizers"
 #: A space between two visible characters; what counts as visible is on the safe side.
 CUT = re.compile(r"(?<=[\w!-~]) (?=[\w!-~])")
-#: Different runs a task remembers (about 500 bytes each); longer runs are not kept.
-MOST_RUNS, LONG_RUN = 400_000, 200
+#: Different runs a task remembers (about 300 bytes each); longer runs are not kept.
+MOST_RUNS, LONG_RUN = 700_000, 200
+#: Runs that are tokenized at once.
+LEARNED_AT_ONCE = 16_384
 #: Entries of the count table (17 bytes each) that may be broadcast: 68 MB.
 BROADCAST_PAIRS = 4_000_000
 SPACE = "▁"
@@ -79,47 +82,69 @@ class Pair:
         }
         self.runs_are_free = splits and not any(SPACE in p.lstrip(SPACE) for p in pieces)
 
-    def tokens(self, runs: list[str]) -> Iterator[tuple[list[int], list[int], list[int], list[int]] | None]:
-        """Ids and byte ends of both sides for runs that begin with a space; None where bytes differ."""
+        self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
+
+    def tokens(self, runs: list[str]) -> tuple[list[list[int]], list[list[tuple]], list[list[int]], list[list[tuple]]]:
+        """Ids and character spans of both sides for texts that begin with a space."""
         encoded = self.a.encode_batch(runs, add_special_tokens=False)
-        # The model puts a space before every text itself.
-        protos = self.b.encode([r[1:] for r in runs], return_type="proto", num_threads=1)
-        for run, enc, proto in zip(runs, encoded, protos):
-            raw = run.encode()
-            a, pieces = enc.ids, proto.pieces
-            b = [p.id for p in pieces]
-            a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-            if b"".join(a_parts) != raw or b"".join(b_parts) != raw:
-                yield None
-                continue
-            ends = [end for _, end in enc.offsets]
-            if len(raw) != len(run):
-                at = [0, *accumulate(len(c.encode()) for c in run)]
-                ends = [at[e] for e in ends]
-            yield a, _refined(ends, a_parts), b, _refined([p.end + 1 for p in pieces], b_parts)
-
-
-def _refined(coarse: list[int], parts: list[bytes]) -> list[int]:
-    """Coarse ends, but those inside a character, or of a byte, by the bytes decoded so far."""
-    decoded = list(accumulate(map(len, parts)))
-    return coarse if coarse == decoded else [c if c == d else d for c, d in zip(coarse, decoded)]
-
-
-def groups_of(a: list[int], a_ends: list[int], b: list[int], b_ends: list[int]) -> tuple[list[str], list[tuple[int, int]]]:
-    """Groups as ``a1,a2|b1`` and the links (a, b) that close them."""
-    groups, links = [], []
-    i = j = from_i = from_j = 0
-    while i < len(a) and j < len(b):
-        if a_ends[i] < b_ends[j]:
-            i += 1
-        elif a_ends[i] > b_ends[j]:
-            j += 1
-        else:
-            groups.append(f"{','.join(map(str, a[from_i : i + 1]))}|{','.join(map(str, b[from_j : j + 1]))}")
-            links.append((a[i], b[j]))
-            i, j = i + 1, j + 1
-            from_i, from_j = i, j
-    return groups, links
+        # The model puts a space before every text itself. Its proto's spans, in characters.
+        spans = self.b.encode([r[1:] for r in runs], return_type="offset_mapping", num_threads=1)
+        return (
+            [e.ids for e in encoded], [e.offsets for e in encoded],
+            [m["ids"] for m in spans], [m["offsets"] for m in spans],
+        )
+
+
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Positions ``start .. start + size`` of all ranges behind each other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+class Side:
+    """The tokens of one tokenizer over texts that lie behind each other."""
+
+    def __init__(self, ids: list[list[int]], spans: list[list[tuple]], shift: int, size: np.ndarray, text: Layout):
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.n = n
+        self.of = np.repeat(np.arange(len(ids)), n)
+        self.ids = np.fromiter(chain.from_iterable(ids), np.int64, n.sum())
+        last = np.fromiter((e for _, e in chain.from_iterable(spans)), np.int64, n.sum())
+        coarse = text.byte_at[text.char_start[self.of] + last + shift]
+        self.size = size[self.ids]
+        total = np.cumsum(self.size)
+        before = np.concatenate([[0], total])[np.cumsum(n) - n]
+        decoded = total - before[self.of] + text.byte_start[self.of]
+        # Inside a character, or a byte of one, the coarse cut is not the token's end.
+        self.ends = np.where(coarse == decoded, coarse, decoded)
+        self.whole = np.bincount(self.of, self.size, len(ids)) == text.bytes
+
+    def differs(self, pool: np.ndarray, first: np.ndarray, text: Layout) -> np.ndarray:
+        """Texts whose joined token bytes are not their own bytes."""
+        bad = ~self.whole
+        some = self.whole[self.of]
+        size, ends, ids = self.size[some], self.ends[some], self.ids[some]
+        wrong = pool[_ragged(first[ids], size)] != text.raw[_ragged(ends - size, size)]
+        bad[np.repeat(self.of[some], size)[wrong]] = True
+        return bad
+
+    def keep(self, good: np.ndarray) -> None:
+        some = good[self.of]
+        self.of, self.ids, self.ends = self.of[some], self.ids[some], self.ends[some]
+
+
+class Layout:
+    """Where the characters and bytes of texts lie when they are put behind each other."""
+
+    def __init__(self, texts: list[str]):
+        joined = "".join(texts)
+        self.raw = np.frombuffer(joined.encode(), np.uint8)
+        code = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        width = 1 + (code > 0x7F).astype(np.int64) + (code > 0x7FF) + (code > 0xFFFF)
+        self.byte_at = np.concatenate([[0], np.cumsum(width)])
+        chars = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.char_start = np.cumsum(chars) - chars
+        self.byte_start = self.byte_at[self.char_start]
+        self.bytes = self.byte_at[self.char_start + chars] - self.byte_start
 
 
 class Runs:
@@ -128,40 +153,64 @@ class Runs:
     def __init__(self, pair: Pair):
         self.pair = pair
         self.size_b = len(pair.b_bytes)
+        self.names = [np.array([str(i) for i in range(len(t))], object) for t in (pair.a_bytes, pair.b_bytes)]
+        self.pools = [
+            (np.frombuffer(b"".join(t), np.uint8), np.cumsum(size) - size)
+            for t, size in ((pair.a_bytes, pair.a_size), (pair.b_bytes, pair.b_size))
+        ]
         self._clear()
 
     def _clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.n_a: list[int] = []
-        self.n_b: list[int] = []
         self.groups: list[str] = []
-        self.codes: list[int] = []
-        self.n_links: list[int] = []
+        none = np.zeros(0, np.int64)
+        self.n_a, self.n_b, self.n_links, self.codes = none, none, none, none
         self.long: list[str] = []
 
     def number(self, texts: list[list[str]]) -> None:
         """Learn the runs of some texts; numbers given before may change."""
-        if len(self.at) > MOST_RUNS:
+        if len(self.groups) > MOST_RUNS:
             self._clear()
         for run in self.long:
             # Its number stays taken until the next clearing, its text is let go.
             del self.at[run]
-        new = [r for r in dict.fromkeys(r for runs in texts for r in runs) if r not in self.at]
+        new = [r for r in dict.fromkeys(chain.from_iterable(texts)) if r not in self.at]
         self.long = [r for r in new if len(r) > LONG_RUN]
-        for run, found in zip(new, self.pair.tokens(new)):
-            self.at[run] = len(self.n_a)
-            groups, links = groups_of(*found) if found else ([], [])
-            # -1 marks a run whose bytes differ: its whole text has no tokens.
-            self.n_a.append(len(found[0]) if found else -1)
-            self.n_b.append(len(found[2]) if found else -1)
-            self.groups.append(";".join(groups))
-            self.codes.extend(a * self.size_b + b for a, b in links)
-            self.n_links.append(len(links))
-
-
-def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Positions ``start .. start + size`` of all ranges behind each other."""
-    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        self.at.update(zip(new, range(len(self.groups), len(self.groups) + len(new))))
+        for i in range(0, len(new), LEARNED_AT_ONCE):
+            self._learn(new[i : i + LEARNED_AT_ONCE])
+
+    def _learn(self, new: list[str]) -> None:
+        text = Layout(new)
+        a_ids, a_spans, b_ids, b_spans = self.pair.tokens(new)
+        a = Side(a_ids, a_spans, 0, self.pair.a_size, text)
+        b = Side(b_ids, b_spans, 1, self.pair.b_size, text)
+        good = ~(a.differs(*self.pools[0], text) | b.differs(*self.pools[1], text))
+        a.keep(good)
+        b.keep(good)
+        ends_here = np.zeros((2, len(text.raw) + 1), bool)
+        ends_here[0, a.ends] = True
+        ends_here[1, b.ends] = True
+        common = ends_here[0] & ends_here[1]
+        closes_a, closes_b = common[a.ends], common[b.ends]
+        n_links = np.bincount(a.of[closes_a], minlength=len(new))
+        codes = a.ids[closes_a] * self.size_b + b.ids[closes_b]
+        # Links before a token number its group, the same way on both sides.
+        place = np.concatenate([2 * (np.cumsum(c) - c) + side for side, c in enumerate((closes_a, closes_b))])
+        order = np.argsort(place, kind="stable")
+        place, of = place[order], np.concatenate([a.of, b.of])[order]
+        names = np.concatenate([self.names[0][a.ids], self.names[1][b.ids]])[order]
+        step = np.full(len(order), 3)
+        step[:-1] = np.where(of[1:] != of[:-1], 3, np.where(
+            place[1:] == place[:-1], 0, np.where(place[1:] // 2 == place[:-1] // 2, 1, 2)))
+        pieces = np.empty(2 * len(order), object)
+        pieces[0::2], pieces[1::2] = names, np.array([",", "|", ";", "\n"], object)[step]
+        told = iter("".join(pieces.tolist()).split("\n"))
+        self.groups += [next(told) if ok else "" for ok in good.tolist()]
+        # -1 marks a run whose bytes differ: its whole text has no tokens.
+        add = lambda known, x: np.concatenate([known, x])
+        self.n_a, self.n_b = add(self.n_a, np.where(good, a.n, -1)), add(self.n_b, np.where(good, b.n, -1))
+        self.n_links, self.codes = add(self.n_links, n_links), add(self.codes, codes)
 
 
 def _aligned_batch(batch: pa.RecordBatch, runs: Runs) -> pa.RecordBatch:
@@ -169,31 +218,33 @@ def _aligned_batch(batch: pa.RecordBatch, runs: Runs) -> pa.RecordBatch:
     cut = CUT.split if runs.pair.runs_are_free else lambda t: [t]
     parts = [[" " + p for p in cut(t)] if t else [] for t in texts]
     runs.number(parts)
-    n_runs = np.array([len(p) for p in parts], np.int64)
-    k = np.fromiter((runs.at[r] for p in parts for r in p), np.int64, n_runs.sum())
+    n_runs = np.fromiter(map(len, parts), np.int64, len(parts))
+    numbers = list(map(runs.at.__getitem__, chain.from_iterable(parts)))
+    k = np.array(numbers, np.int64)
     of_text = np.repeat(np.arange(len(parts)), n_runs)
-    n_a, n_b, sizes = (np.array(x, np.int64) for x in (runs.n_a, runs.n_b, runs.n_links))
-    whole = np.bincount(of_text, n_a[k] < 0, len(parts)) == 0
+    whole = np.bincount(of_text, runs.n_a[k] < 0, len(parts)) == 0
+    last = np.cumsum(n_runs)
+    text_groups = [
+        ";".join([runs.groups[i] for i in numbers[e - n : e]]) if ok else ""
+        for ok, n, e in zip(whole.tolist(), n_runs.tolist(), last.tolist())
+    ]
     good = whole[of_text]
     k, of_text = k[good], of_text[good]
     total = lambda x: np.bincount(of_text, x[k], len(parts)).astype(np.int64)
+    sizes = runs.n_links
     first = np.cumsum(sizes) - sizes
-    codes = np.array(runs.codes, np.int64)[_ragged(first[k], sizes[k])]
+    codes = runs.codes[_ragged(first[k], sizes[k])]
     owner = np.repeat(of_text, sizes[k])
-    order = np.lexsort((codes, owner))
-    codes, owner = codes[order], owner[order]
-    new = np.ones(len(codes), bool)
-    new[1:] = (codes[1:] != codes[:-1]) | (owner[1:] != owner[:-1])
-    at = np.flatnonzero(new)
-    times = np.diff(np.append(at, len(codes)))
-    offsets = pa.array(np.searchsorted(owner[at], np.arange(len(parts) + 1)), pa.int32())
-    text_groups = [
-        ";".join([runs.groups[runs.at[r]] for r in p]) if ok and p else "" for p, ok in zip(parts, whole)
-    ]
+    most = len(runs.pair.a_bytes) * runs.size_b
+    both = np.sort(owner * most + codes)
+    at = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if len(both) else np.zeros(0, np.int64)
+    times = np.diff(np.append(at, len(both)))
+    owner, codes = np.divmod(both[at], most)
+    offsets = pa.array(np.searchsorted(owner, np.arange(len(parts) + 1)), pa.int32())
     return pa.RecordBatch.from_arrays(
         [
-            batch.column("id"), pa.array(total(n_a)), pa.array(total(n_b)), pa.array(total(sizes)),
-            pa.array(text_groups), pa.ListArray.from_arrays(offsets, pa.array(codes[at])),
+            batch.column("id"), pa.array(total(runs.n_a)), pa.array(total(runs.n_b)), pa.array(total(sizes)),
+            pa.array(text_groups, pa.string()), pa.ListArray.from_arrays(offsets, pa.array(codes)),
             pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32))),
         ],
         names=["id", "n_a", "n_b", "n_groups", "groups", "links", "times"],
