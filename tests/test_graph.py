@@ -1,10 +1,12 @@
 import dataclasses
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 import samples
-from tiergraph.operators import flatten, graph, listing, reach
+from tiergraph.operators import components, flatten, graph, listing, reach
 from tiergraph.plans import jobs
 from tiergraph.sources import dims, documents, schemas, sinks
 
@@ -89,6 +91,27 @@ def test_counterparties_merge_parallel_edges(g):
     assert sorted((r.other, r.rank) for r in suppliers.collect()) == [("Hynix", None), ("Micro", 1)]
 
 
+def test_counterparty_contracts_follow_the_edges(spark):
+    deal = lambda *s: [(x, None, None, None, None, None) for x in s]
+    shape = ("source string, target string, ord int, contracts array<struct<source:string,signal:string,"
+             "units:string,value:string,date_signed:string,type:string>>")
+    e = spark.createDataFrame(
+        [("a", "b", 3, deal("z", "y")), ("a", "b", 1, deal("k")), ("a", "c", 2, []), ("d", "b", 0, None)], shape)
+    got = graph.counterparty_contracts(e, "out").orderBy("position").collect()
+    assert [(r.id, r.other, r.position, r.contract.source) for r in got] == [
+        ("a", "b", 0, "k"), ("a", "b", 1, "z"), ("a", "b", 2, "y")]
+    assert {(r.id, r.other) for r in graph.counterparty_contracts(e, "in").collect()} == {("b", "a")}
+
+
+def test_edges_of_the_merged_listing(spark, g):
+    rows = listing.group_listing(g.nodes, g.memberships, dims.taxonomy(spark), roles=g.roles, signals=g.signals)
+    micro = rows.filter("label = 'Micro' and not is_header").first()
+    assert micro.n_signals == 2 and micro.product is not None
+    placed = listing.placed_edges(g.edges, rows).filter("source = 'Micro'").first()
+    assert (placed.from_col, placed.from_row) == (micro.col, micro.row)
+    assert "Stranger" not in {r.target for r in listing.placed_edges(g.edges, rows).collect()}
+
+
 def test_broken_isolated_and_external(g, chains):
     assert [r.target for r in graph.broken_edges(g.edges, g.nodes).collect()] == ["Stranger"]
     assert {r.id for r in graph.isolated_nodes(g.nodes, g.edges).collect()} == {"Nameless", "Oddity"}
@@ -169,13 +192,12 @@ def test_role_edges_reach_first_places_and_externals(spark, chains):
 
 
 def test_group_listing_orders_by_sector_then_name(spark, g):
-    for limit in (10**6, 1):
-        rows = listing.group_listing(g.nodes, g.memberships, dims.taxonomy(spark), limit)
-        memory = [(r.row, r.label, r.is_header) for r in
-                  rows.filter("slug = 'memory'").orderBy("row").collect()]
-        assert memory == [(0, "Nameless", False), (1, "DRAM", True), (2, "Micro", False),
-                          (3, "HBM", True), (4, "Hynix", False)]
-        assert rows.filter("slug = 'odd_slug'").count() == 0
+    rows = listing.group_listing(g.nodes, g.memberships, dims.taxonomy(spark))
+    memory = [(r.row, r.label, r.is_header) for r in
+              rows.filter("slug = 'memory'").orderBy("row").collect()]
+    assert memory == [(0, "Nameless", False), (1, "DRAM", True), (2, "Micro", False),
+                      (3, "HBM", True), (4, "Hynix", False)]
+    assert rows.filter("slug = 'odd_slug'").count() == 0
 
 
 def test_graph_survives_writing(spark, g, tmp_path):
@@ -214,6 +236,54 @@ def test_reach_on_a_cycle_with_a_tail(spark, monkeypatch):
     assert counts == {"a": (3, 3), "b": (3, 3), "c": (3, 3), "d": (0, 4), "x": (4, 0)}
 
 
+def closure(pairs, hops=None):
+    """Everything each node reaches, with its distance."""
+    after = {}
+    for a, b in pairs:
+        after.setdefault(a, set()).add(b)
+    out = {}
+    for seed in {x for p in pairs for x in p}:
+        seen, front, d = {seed: 0}, {seed}, 0
+        while front and (hops is None or d < hops):
+            d += 1
+            front = {b for a in front for b in after.get(a, ())} - set(seen)
+            seen |= {n: d for n in front}
+        out[seed] = seen
+    return out
+
+
+@pytest.mark.parametrize("seed,n,m", [(1, 90, 110), (2, 50, 130)])
+def test_reach_of_random_graphs(spark, seed, n, m):
+    r = random.Random(seed)
+    pairs = [(f"n{r.randrange(n)}", f"n{r.randrange(n)}") for _ in range(m)]
+    pairs += [(f"chain{i}", f"chain{i + 1}") for i in range(4)] + [("n1", "chain0"), ("hub", "hub")]
+    e = edges(spark, pairs)
+    names = sorted({x for p in pairs for x in p}) + ["alone"]
+    want = closure(pairs) | {"alone": {"alone": 0}}
+    down = reach.downstream(e, ids(spark, names))
+    assert {tuple(x) for x in down.collect()} == {
+        (s, t, d) for s, to in want.items() for t, d in to.items() if d}
+    near = {(s, t) for s, to in want.items() for t, d in to.items() if 0 < d <= 3}
+    assert {(x.seed, x.node) for x in reach.downstream(e, ids(spark, names), 3).collect()} == near
+    above = Counter(t for s, to in want.items() for t in to if s != t)
+    for block in (65_536, 64):
+        got = reach.reach_counts(e, ids(spark, names), block_seeds=block).collect()
+        assert {x.id: (x.downstream, x.upstream) for x in got} == {s: (len(want[s]) - 1, above[s]) for s in names}
+    got = reach.reach_counts(e, ids(spark, names), max_hops=3).collect()
+    assert {x.id: x.downstream for x in got} == Counter(s for s, _ in near) | {s: 0 for s in names if s not in dict(near)}
+    links = reach.distinct_links(e)
+    found = components.strong_components(links, ids(spark, names)).collect()
+    assert {x.id: x.component for x in found} == {
+        s: min(t for t in want[s] if s in want[t]) for s in names}
+
+
+def test_reach_without_edges_or_seeds(spark):
+    e, none = edges(spark, [("a", "b")]), ids(spark, [])
+    assert reach.downstream(e, none).count() == 0 and reach.reach_counts(e, none).count() == 0
+    got = reach.reach_counts(edges(spark, []), ids(spark, ["a"])).collect()
+    assert [tuple(r) for r in got] == [("a", 0, 0)]
+
+
 def test_ripple_prefers_down(spark):
     e = edges(spark, [("a", "b"), ("b", "a"), ("z", "a"), ("b", "d"), ("q", "r")])
     nodes, seed = ids(spark, "abdzqr"), ids(spark, ["a"])

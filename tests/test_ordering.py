@@ -24,25 +24,24 @@ def test_positions_by_window_and_by_range_agree(spark):
     rows, df = skewed(spark)
     order = [F.col("v"), F.col("id")]
     want = expected(rows)
-    for limit in (10**6, 50):
-        got = ordering.positions(df, ["key"], order, group_limit=limit)
+    for bounded in (True, False):
+        got = ordering.positions(df, ["key"], order, bounded=bounded)
         assert {r.id: r.position for r in got.collect()} == want
 
 
-def test_pages_hold_every_value(spark):
-    rows, df = skewed(spark, 500)
-    pages = ordering.joined_pages(
-        df.withColumn("t", F.col("id").cast("string")), ["key"], "t", [F.col("v"), F.col("id")],
-        ",", page_size=30, group_limit=10,
-    )
-    got = {}
-    for r in pages.orderBy("key", "page").collect():
-        assert len(r.joined.split(",")) <= 30
-        got.setdefault(r.key, []).extend(int(x) for x in r.joined.split(","))
-    want = {}
-    for key, _, i in sorted(rows):
-        want.setdefault(key, []).append(i)
-    assert got == want
+def test_ranges_number_groups_of_all_sizes(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["hot"] * 30 + [f"k{i}" for i in range(40)]), None if rng.random() < 0.1 else rng.randrange(3), i)
+            for i in range(3_000)] + [(None, 0, 3_000 + i) for i in range(30)]
+    df = spark.createDataFrame(rows, "a string, b int, id int").repartition(6)
+    for keys in ([], ["a"], ["a", "b"]):
+        groups = {}
+        for a, b, i in rows:
+            groups.setdefault(tuple({"a": a, "b": b}[k] for k in keys), []).append(i)
+        want = {i: n for ids in groups.values() for n, i in enumerate(sorted(ids))}
+        got = ordering.ranged_positions(df, keys, [F.col("id")])
+        assert {r.id: r.position for r in got.collect()} == want
+    assert ordering.ranged_positions(df.limit(0), ["a"], [F.col("id")]).count() == 0
 
 
 def test_first_rows_limits_before_the_shuffle(spark):

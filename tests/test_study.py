@@ -117,20 +117,11 @@ def test_copies_count_and_events_are_wide(study):
     assert events[0].drift2_vs_IDX == pytest.approx(0.18182) and events[0].drift6_vs_IDX is None
 
 
-def test_member_lists_cover_empty_pairs(study):
-    lists = es.member_lists(study.members, (2, 6, 9))
-    got = {(r.window, r["group"]): (r.n_companies, r.companies) for r in lists.collect()}
-    assert got[(6, "full_capacity")] == (3, "Alpha; Alpha; Gap") and got[(9, "rest")] == (0, "")
-    paged = es.member_lists(study.members, (6,), page_size=2, group_limit=1)
-    assert sorted(r.companies for r in paged.filter("n_companies > 1").collect()) == ["Alpha; Alpha", "Gap"]
-
-
 def test_member_rows_have_positions_and_no_pages(study):
-    for limit in (1_000_000, 1):
-        rows = es.member_rows(study.members, (6, 9), group_limit=limit).collect()
-        full = sorted((r.position, r.company, r.n_companies) for r in rows if (r.window, r["group"]) == (6, "full_capacity"))
-        assert full == [(0, "Alpha", 3), (1, "Alpha", 3), (2, "Gap", 3)]
-        assert [(r.position, r.company, r.n_companies) for r in rows if (r.window, r["group"]) == (9, "rest")] == [(None, None, 0)]
+    rows = es.member_rows(study.members, (6, 9)).collect()
+    full = sorted((r.position, r.company, r.n_companies) for r in rows if (r.window, r["group"]) == (6, "full_capacity"))
+    assert full == [(0, "Alpha", 3), (1, "Alpha", 3), (2, "Gap", 3)]
+    assert [(r.position, r.company, r.n_companies) for r in rows if (r.window, r["group"]) == (9, "rest")] == [(None, None, 0)]
 
 
 def test_members_of_a_pair_are_one_row_at_any_size(study, monkeypatch):
@@ -138,8 +129,6 @@ def test_members_of_a_pair_are_one_row_at_any_size(study, monkeypatch):
 
     from tiergraph.plans.queries import study as queries
 
-    pages = es.joined_pages
-    monkeypatch.setattr(es, "joined_pages", lambda *a: pages(*a[:-2], 2, 1))
     monkeypatch.setattr(queries, "_study", lambda spark, sf_dir: SimpleNamespace(
         members=study.members.withColumn("window", F.lit(5))))
     rows = queries.window_members(study.members.sparkSession, "").collect()
@@ -147,6 +136,25 @@ def test_members_of_a_pair_are_one_row_at_any_size(study, monkeypatch):
     assert all(len([c for c in r.companies.split("; ") if c]) == r.n_companies for r in rows)
 
 
+def test_windows_cross_the_blocks_of_closes(spark):
+    n = 2 * es.BLOCK_DAYS + 40
+    closes = [(t, i, 100.0 + (i * k) % 83) for k, t in ((7, "AA"), (5, "IDX")) for i in range(n) if (i + k) % 19]
+    at = {(t, i): c for t, i, c in closes}
+    calls = [("A", "AA", DAY(2026, 1, 1), "rest", 1, i, None) for i in range(0, n, 3)]
+    shape = "company string, ticker string, date date, `group` string, copies long, t0_idx int, reason string"
+    quoted = es.quoted_calls(
+        spark.createDataFrame(calls, shape).withColumn("date", F.date_add("date", F.col("t0_idx"))),
+        spark.createDataFrame(closes + closes[:5], "ticker string, idx int, close double"), ("IDX",), (5, 20))
+    want = {}
+    for i in range(0, n, 3):
+        for name, a, d in (("jump", 0, 1), ("drift5", 1, 5), ("drift20", 1, 20)):
+            ends = [at.get((t, i + o)) for t in ("AA", "IDX") for o in (a, a + d)]
+            if None not in ends:
+                want[(i, f"{name}_vs_IDX")] = ends[1] / ends[0] - ends[3] / ends[2]
+    got = {((r.date - DAY(2026, 1, 1)).days, r.metric): r.value for r in es.abnormal_returns(quoted, (5, 20)).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_study_is_written_whole(spark, study, tmp_path):
     sinks.write_study(study, str(tmp_path))
     for name in ("events", "universe", "stats", "excluded", "members"):

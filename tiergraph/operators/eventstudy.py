@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 from tiergraph.functions import fixed_values as fixed
 from tiergraph.functions.display import DASH, pct
 from tiergraph.functions.stats import t_test_p
-from tiergraph.operators.ordering import GROUP_LIMIT, joined_pages, positions, upper_median
+from tiergraph.operators.ordering import positions, upper_median
 
 CALL = ("company", "ticker", "date")
+#: Positions of one block of closes.
+BLOCK_DAYS = 256
 
 
 @dataclass
@@ -133,60 +135,105 @@ def placed_calls(calls: DataFrame, prices: DataFrame, calendar: DataFrame) -> Da
     )
 
 
-def call_returns(placed: DataFrame, closes: DataFrame, windows: Sequence[int]) -> DataFrame:
-    """Stock return of every included call per measure (``jump``, ``drift<w>``).
+def price_blocks(closes: DataFrame, reach: int) -> DataFrame:
+    """``(ticker, block, by_day)``: closes of 256 positions and the ``reach`` that follow.
 
-    Each call asks for the few closes it needs and one join on (ticker, idx)
-    answers all of them. ``ret`` is null where the window is incomplete.
+    ``by_day`` maps the place in the block to the close; a gap has no entry. The rows are
+    dealt once, by (ticker, block), so a busy ticker is spread by its blocks.
     """
-    offsets = sorted({0, 1, *(1 + w for w in windows)})
-    asked = (
-        placed.filter(F.col("reason").isNull())
-        .withColumn("offset", F.explode(F.array(*[F.lit(o) for o in offsets])))
-        .withColumn("idx", F.col("t0_idx") + F.col("offset"))
+    at, place = F.floor(F.col("idx") / BLOCK_DAYS), F.col("idx") % BLOCK_DAYS
+    homes = F.array(
+        F.struct(at.alias("block"), place.alias("place")),
+        F.when(place < reach, F.struct((at - 1).alias("block"), (place + BLOCK_DAYS).alias("place"))),
     )
-    at = lambda o: F.col(f"_c{o}")
-    wide = asked.join(closes, ["ticker", "idx"], "left").groupBy(
-        *CALL, "group", "copies", "t0_idx"
-    ).agg(*[F.max(F.when(F.col("offset") == o, F.col("close"))).alias(f"_c{o}") for o in offsets])
-    measures = [("jump", 0, 1)] + [(f"drift{w}", 1, w) for w in windows]
-    return wide.select(
-        *CALL, "group", "copies",
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(name).alias("measure"),
-                        (F.col("t0_idx") + start).alias("idx"),
-                        F.lit(days).alias("days"),
-                        change(at(start), at(start + days)).alias("ret"),
-                    )
-                    for name, start, days in measures
-                ]
-            )
-        ),
+    dealt = closes.select("ticker", "close", F.inline(F.array_compact(homes))).repartition("ticker", "block")
+    return (
+        dealt.groupBy("ticker", "block", "place").agg(F.max("close").alias("close"))
+        .groupBy("ticker", "block")
+        .agg(F.map_from_entries(F.collect_list(F.struct("place", "close"))).alias("by_day"))
     )
 
 
-def abnormal_returns(
-    returns: DataFrame, closes: DataFrame, benchmarks: Sequence[str], windows: Sequence[int]
+def quoted_calls(
+    placed: DataFrame, closes: DataFrame, benchmarks: Sequence[str], windows: Sequence[int]
 ) -> DataFrame:
-    """Stock return minus each benchmark's over the same positions.
+    """Every call with the closes its measures need: its own and those of the benchmarks.
 
-    Benchmark returns number benchmarks x days x windows, all bounded by
-    parameters and the calendar, and are broadcast.
+    A call meets one block of its ticker, which holds all days it may ask for, and one row
+    with the same days of all benchmarks. ``own`` has a close (or null) per offset of
+    ``offsets_of``, ``marks`` the same list per benchmark. The rows of benchmarks number
+    the calendar's blocks, at most two a year, and are broadcast.
     """
-    marks = window_returns(
-        closes.filter(F.col("ticker").isin(*benchmarks)), sorted({1, *windows})
-    ).select(F.col("ticker").alias("benchmark"), "idx", "days", F.col("ret").alias("_bench"))
+    offsets = offsets_of(windows)
+    blocks = price_blocks(closes, offsets[-1] + 1)
+    marks = blocks.filter(F.col("ticker").isin(*benchmarks)).groupBy("block").agg(
+        F.collect_list(F.struct("ticker", "by_day")).alias("_marks")
+    )
+    day = F.col("t0_idx") % BLOCK_DAYS
+    at = lambda by_day: F.array(*[F.try_element_at(by_day, day + o) for o in offsets])
     return (
-        returns.filter(F.col("ret").isNotNull())
-        .join(F.broadcast(marks), ["idx", "days"])
+        placed.withColumn("block", F.floor(F.col("t0_idx") / BLOCK_DAYS))
+        .join(blocks, ["ticker", "block"], "left")
+        .join(F.broadcast(marks), "block", "left")
         .select(
-            *CALL, "group", "copies",
-            F.concat("measure", F.lit("_vs_"), "benchmark").alias("metric"),
-            (F.col("ret") - F.col("_bench")).alias("value"),
+            *CALL, "group", "copies", "t0_idx", "reason", at(F.col("by_day")).alias("own"),
+            F.transform(
+                "_marks", lambda m: F.struct(m["ticker"].alias("benchmark"), at(m["by_day"]).alias("closes"))
+            ).alias("marks"),
+        )
+    )
+
+
+def offsets_of(windows: Sequence[int]) -> list[int]:
+    """Days after t0 whose closes a call's measures read."""
+    return sorted({0, 1, *(1 + w for w in windows)})
+
+
+def _measures(windows: Sequence[int]) -> list[tuple[str, int, int]]:
+    return [("jump", 0, 1)] + [(f"drift{w}", 1, w) for w in windows]
+
+
+def _change_over(closes: Column, offsets: list[int], start: int, days: int) -> Column:
+    close = lambda o: F.get(closes, offsets.index(o))
+    return change(close(start), close(start + days))
+
+
+def call_returns(quoted: DataFrame, windows: Sequence[int]) -> DataFrame:
+    """Stock return of every included call per measure (``jump``, ``drift<w>``).
+
+    ``ret`` is null where the window is incomplete.
+    """
+    offsets = offsets_of(windows)
+    made = [
+        F.struct(
+            F.lit(name).alias("measure"), (F.col("t0_idx") + start).alias("idx"), F.lit(days).alias("days"),
+            _change_over(F.col("own"), offsets, start, days).alias("ret"),
         )
+        for name, start, days in _measures(windows)
+    ]
+    return quoted.filter(F.col("reason").isNull()).select(*CALL, "group", "copies", F.inline(F.array(*made)))
+
+
+def abnormal_returns(quoted: DataFrame, windows: Sequence[int]) -> DataFrame:
+    """Stock return minus each benchmark's over the same days, where both are known."""
+    offsets = offsets_of(windows)
+
+    def against(mark: Column) -> Column:
+        return F.array(*[
+            F.struct(
+                F.concat(F.lit(f"{name}_vs_"), mark["benchmark"]).alias("metric"),
+                (
+                    _change_over(F.col("own"), offsets, start, days)
+                    - _change_over(mark["closes"], offsets, start, days)
+                ).alias("value"),
+            )
+            for name, start, days in _measures(windows)
+        ])
+
+    return (
+        quoted.filter(F.col("reason").isNull())
+        .select(*CALL, "group", "copies", F.inline(F.flatten(F.transform("marks", against))))
+        .filter(F.col("value").isNotNull())
     )
 
 
@@ -214,7 +261,6 @@ def member_rows(
     members: DataFrame,
     windows: Sequence[int] = fixed.WINDOWS,
     groups: Sequence[str] = fixed.GROUPS,
-    group_limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """One row per member with its position in (window, group) and the pair's count.
 
@@ -226,7 +272,7 @@ def member_rows(
         spark.createDataFrame([(w, g) for w in windows for g in groups], "window int, group string")
     )
     order = [F.col(c) for c in ("company", "ticker", "date", "copy")]
-    rows = positions(members, keys, order, group_limit=group_limit).select(*keys, "position", "company")
+    rows = positions(members, keys, order).select(*keys, "position", "company")
     counts = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_companies"))
     sized = F.broadcast(pairs.join(counts, keys, "left").na.fill(0, ["n_companies"]))
     empty = sized.filter("n_companies = 0").select(
@@ -236,35 +282,6 @@ def member_rows(
     return rows.join(sized, keys).select(*keys, "position", "company", "n_companies").unionByName(empty)
 
 
-def member_lists(
-    members: DataFrame,
-    windows: Sequence[int] = fixed.WINDOWS,
-    groups: Sequence[str] = fixed.GROUPS,
-    page_size: int = 10_000,
-    group_limit: int = GROUP_LIMIT,
-) -> DataFrame:
-    """Per (window, group) the count and the sorted names; empty pairs are listed too."""
-    spark = members.sparkSession
-    pairs = F.broadcast(
-        spark.createDataFrame([(w, g) for w in windows for g in groups], "window int, group string")
-    )
-    order = [F.col(c) for c in ("company", "ticker", "date", "copy")]
-    pages = joined_pages(
-        members, ["window", "group"], "company", order, "; ", "companies", page_size, group_limit
-    )
-    counts = members.groupBy("window", "group").agg(F.count(F.lit(1)).alias("n_companies"))
-    return (
-        pairs.join(counts, ["window", "group"], "left")
-        .join(pages, ["window", "group"], "left")
-        .select(
-            "window", "group",
-            F.coalesce("n_companies", F.lit(0)).alias("n_companies"),
-            F.coalesce("page", F.lit(0)).alias("page"),
-            F.coalesce("companies", F.lit("")).alias("companies"),
-        )
-    )
-
-
 # --- statistics ------------------------------------------------------------------
 
 

@@ -14,7 +14,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 class _Facts:
-    """Facts kept so far for one company and year, found again by shared tokens."""
+    """Facts kept so far of one component, found again by shared tokens."""
 
     def __init__(self, similarity: float):
         self.similarity = similarity
@@ -50,7 +50,7 @@ class _Facts:
 def merge_facts(
     batches: Iterator[pd.DataFrame], similarity: float, columns: Sequence[str]
 ) -> Iterator[pd.DataFrame]:
-    """Stream sorted sentences and emit each group's facts when the group ends."""
+    """Stream sorted sentences and emit the facts of each component when it ends."""
     group, facts = None, _Facts(similarity)
 
     def flush() -> pd.DataFrame:
@@ -59,7 +59,7 @@ def merge_facts(
 
     for batch in batches:
         for row in batch.itertuples(index=False):
-            key = (row.company, row.year)
+            key = (row.company, row.year, row.component)
             if key != group:
                 if group is not None:
                     yield flush()

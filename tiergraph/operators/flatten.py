@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiergraph.operators.ordering import largest_group, positions
+from tiergraph.operators.ordering import positions
 from tiergraph.sources import schemas
 
 PART_SIZE = 100_000
@@ -137,15 +137,14 @@ def product_roles(players: DataFrame) -> DataFrame:
 
 
 def renest_chains(
-    players: DataFrame, taxonomy: DataFrame, part_size: int = PART_SIZE
+    players: DataFrame, taxonomy: DataFrame, part_size: int = PART_SIZE, bounded: bool = False
 ) -> DataFrame:
     """Players -> chain documents, the inverse of ``explode_players``.
 
     Layers and domains come in canonical order (unknown slugs last), sectors in
     the order they were first seen, players in walk order. Sub-sectors are not
-    rebuilt. The largest chain is measured first: one with more than
-    ``part_size`` players makes all chains continue in further documents every
-    ``part_size`` players, so no document has to hold a whole huge chain.
+    rebuilt. A chain continues in a further document every ``part_size`` players, so no
+    document has to hold a whole huge chain; ``bounded`` says that every chain fits in one.
     ``players`` needs chain, kind, slug, sector, company, product, connects_to,
     quarterly_data and ord.
     """
@@ -157,7 +156,7 @@ def renest_chains(
             F.coalesce("_place", F.lit(999)).alias("place"),
         ),
     )
-    if largest_group(players, ["chain"]) <= part_size:
+    if bounded:
         parted = ranked.select(
             "*", F.lit(0).cast("bigint").alias("part"), F.col("ord").alias("_at"),
             F.lit(False).alias("_continues"),

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tiergraph.functions import fixed_values as fixed
@@ -62,8 +62,7 @@ def memberships(players: DataFrame) -> DataFrame:
 
 def ordered_memberships(members: DataFrame) -> DataFrame:
     """Memberships with their place in the company's first-seen list of that facet."""
-    window = Window.partitionBy("id", "facet").orderBy("ord")
-    return members.withColumn("place", (F.row_number().over(window) - 1).cast("bigint"))
+    return positions(members, ["id", "facet"], [F.col("ord")], "place")
 
 
 def company_nodes(players: DataFrame) -> DataFrame:
@@ -143,6 +142,21 @@ def counterparties(edges: DataFrame, side: str) -> DataFrame:
     )
 
 
+def counterparty_contracts(edges: DataFrame, side: str) -> DataFrame:
+    """Contracts with every counterparty as rows, numbered in the order of the edges.
+
+    Contracts of parallel edges follow each other, as if their lists were put together.
+    """
+    me, other = ("source", "target") if side == "out" else ("target", "source")
+    rows = edges.select(
+        F.col(me).alias("id"), F.col(other).alias("other"), "ord",
+        F.posexplode("contracts").alias("_at", "contract"),
+    )
+    return positions(rows, ["id", "other"], [F.col("ord"), F.col("_at")], "position").select(
+        "id", "other", "position", "contract"
+    )
+
+
 def supplier_split(parties: DataFrame, k: int = 18) -> DataFrame:
     """All counterparties with contracts, and the first ``k`` without any."""
     deals = parties.filter(F.col("n_contracts") > 0).withColumn("rank", F.lit(None).cast("int"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tiergraph.operators.flatten import _groups
 from tiergraph.operators.graph import primary_group
-from tiergraph.operators.ordering import GROUP_LIMIT, positions
+from tiergraph.operators.ordering import positions
 from tiergraph.sources import schemas
 
 UNKNOWN_PLACE = 999
@@ -58,9 +58,7 @@ def _items(sector: Column) -> Column:
     return F.concat(header(0, sector["sector"]), nested, rows(sector["players"], blank))
 
 
-def chain_listing(
-    chains: DataFrame, taxonomy: DataFrame, group_limit: int = GROUP_LIMIT
-) -> DataFrame:
+def chain_listing(chains: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """Headers and players of every chain with their column and row.
 
     Columns are layers, then domains, in canonical order with unknown slugs last;
@@ -118,7 +116,7 @@ def chain_listing(
             F.struct("part", "_g", "_s", "_i").alias("ord"),
         )
     )
-    rowed = positions(items, ["chain", "kind", "slug"], [F.col("ord")], "row", group_limit)
+    rowed = positions(items, ["chain", "kind", "slug"], [F.col("ord")], "row")
     return rowed.join(columns, ["chain", "kind", "slug"])
 
 
@@ -132,7 +130,7 @@ def first_positions(listing: DataFrame) -> DataFrame:
     )
 
 
-def role_edges(listing: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
+def role_edges(listing: DataFrame) -> DataFrame:
     """Edges between places: from this very role to the target's first place.
 
     Targets that are not listed in the chain stand in one more column, External,
@@ -161,7 +159,7 @@ def role_edges(listing: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
     )
     width = listing.groupBy("chain").agg((F.max("col") + 1).alias("_width"))
     external = (
-        positions(outside, ["chain"], [F.col("ord")], "_row", group_limit)
+        positions(outside, ["chain"], [F.col("ord")], "_row")
         .join(width, "chain")
         .select("chain", "target", F.col("_width").alias("_col"), "_row")
     )
@@ -176,13 +174,18 @@ def role_edges(listing: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
 
 
 def group_listing(
-    nodes: DataFrame, members: DataFrame, taxonomy: DataFrame, group_limit: int = GROUP_LIMIT
+    nodes: DataFrame,
+    members: DataFrame,
+    taxonomy: DataFrame,
+    roles: DataFrame | None = None,
+    signals: DataFrame | None = None,
 ) -> DataFrame:
     """All companies by primary group: headers and companies with column and row.
 
     Inside a column companies sort by first sector, then name, both in locale
     order; each new non-blank sector opens with a header row. Groups outside the
     vocabulary are not listed, companies without any group stand under ``other``.
+    With ``roles`` companies show their first product, with ``signals`` how many they have.
     """
     spark = nodes.sparkSession
     shown = taxonomy.select(
@@ -200,7 +203,7 @@ def group_listing(
         .select("slug", "at", "id", F.coalesce("sector", F.lit("")).alias("sector"))
     )
     locale = [F.collate("sector", "UNICODE"), F.collate("id", "UNICODE"), F.col("id")]
-    placed = positions(listed, ["slug"], locale, "_pos", group_limit)
+    placed = positions(listed, ["slug"], locale, "_pos")
     by_sector = Window.partitionBy("slug").orderBy(F.collate("sector", "UNICODE"), "sector")
     heads = (
         placed.filter(F.col("sector") != "")
@@ -221,5 +224,23 @@ def group_listing(
         "slug", F.lit(True).alias("is_header"), F.col("sector").alias("label"), "sector",
         (F.col("_first") + F.col("_heads") - 1).alias("row"),
     )
+    if roles is not None:
+        first = roles.groupBy(F.col("company").alias("label")).agg(
+            F.coalesce(F.min_by("product", "ord"), F.lit("")).alias("product")
+        )
+        players = players.join(first, "label", "left").na.fill("", ["product"])
+        headers = headers.withColumn("product", F.lit(None).cast("string"))
+    if signals is not None:
+        said = signals.groupBy(F.col("company").alias("label")).agg(F.count(F.lit(1)).alias("n_signals"))
+        players = players.join(said, "label", "left").na.fill(0, ["n_signals"])
+        headers = headers.withColumn("n_signals", F.lit(None).cast("bigint"))
     # One row per group of the fixed vocabulary.
     return players.unionByName(headers).join(F.broadcast(columns), "slug")
+
+
+def placed_edges(edges: DataFrame, listing: DataFrame) -> DataFrame:
+    """Edges from (col, row) to (col, row) of a merged listing; both ends must be listed."""
+    at = lambda end, side: listing.filter(~F.col("is_header")).select(
+        F.col("label").alias(end), F.col("col").alias(f"{side}_col"), F.col("row").alias(f"{side}_row")
+    )
+    return edges.join(at("source", "from"), "source").join(at("target", "to"), "target")

@@ -1,43 +1,39 @@
-"""Dense positions, pages and exact medians that survive a dominant key.
+"""Dense positions and exact medians that survive a dominant key.
 
-A window function puts a whole group into one task. That is right for ordinary
-groups and wrong for a key that owns a large share of all rows, so positions are
-taken from a range sort (which spreads one key over many tasks) whenever a
-measured group is too large for one task.
+A window function puts a whole group into one task. That is right for groups whose size
+is bounded by what they are (the lines of one order) and wrong for a key that may own a
+large share of all rows. Callers say which groups are bounded; all others are numbered
+over a range sort, which spreads one key over many tasks. Nothing is measured first.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tiergraph.session import cut
 
-GROUP_LIMIT = 1_000_000
-
-
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Row count of the biggest group (map-side combined; one number comes back)."""
-    sizes = df.groupBy(*keys).count() if keys else df.groupBy().count()
-    return sizes.agg(F.max("count")).first()[0] or 0
-
 
 def positions(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
     name: str = "position",
-    group_limit: int = GROUP_LIMIT,
+    bounded: bool = False,
 ) -> DataFrame:
     """Add the zero-based rank of every row inside its group.
 
-    ``order`` has to be total inside a group. Groups up to ``group_limit`` rows
-    use one window. Beyond it the rows are sorted by range, each range keeps its
-    own running number, and the counts of the earlier ranges are added.
+    ``order`` has to be total inside a group. ``bounded`` says that no group can outgrow
+    one task.
     """
-    if largest_group(df, keys) <= group_limit:
+    if bounded:
         window = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(name, (F.row_number().over(window) - 1).cast("bigint"))
     return ranged_positions(df, keys, order, name)
@@ -46,64 +42,62 @@ def positions(
 def ranged_positions(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "position"
 ) -> DataFrame:
-    """``positions`` by range sort, for groups of any size."""
-    spark = df.sparkSession
-    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    by = [F.col(k) for k in keys] + list(order)
-    # monotonically_increasing_id is (partition << 33) + row number in partition.
-    ranked = cut(
-        df.repartitionByRange(slices, *by)
-        .sortWithinPartitions(*by)
-        .withColumn("_at", F.monotonically_increasing_id())
-        .withColumn("_slice", F.shiftright("_at", 33))
-    )
-    counts = ranked.groupBy(*keys, "_slice").agg(
-        F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows")
-    )
-    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    offsets = counts.withColumn(
-        "_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
-    ).select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-        F.col("_slice").alias("_s"),
-        "_first",
-        "_before",
-    )
-    match = F.col("_slice") == F.col("_s")
-    for i, key in enumerate(keys):
-        match = match & F.col(key).eqNullSafe(F.col(f"_k{i}"))
-    return (
-        ranked.join(offsets, match)
-        .withColumn(name, (F.col("_at") - F.col("_first") + F.col("_before")).cast("bigint"))
-        .select(*df.columns, name)
-    )
-
-
-def joined_pages(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    order: Sequence[Column],
-    separator: str,
-    name: str = "joined",
-    page_size: int = 10_000,
-    group_limit: int = GROUP_LIMIT,
-) -> DataFrame:
-    """Values of each group joined in order, ``page_size`` of them per row.
+    """``positions`` by a range sort and a segmented prefix sum, for groups of any size.
 
-    Ordinary groups give one row with ``page`` 0; a huge one continues on further
-    pages, so no single cell has to hold it.
+    Every range numbers its groups in one stream. Only a range's first group may go on from
+    earlier ranges; one row per range tells how many of its rows came before.
     """
-    placed = positions(df, keys, order, "_pos", group_limit)
-    return (
-        placed.withColumn("page", F.floor(F.col("_pos") / page_size))
-        .groupBy(*keys, "page")
-        .agg(F.array_sort(F.collect_list(F.struct("_pos", value))).alias("_items"))
-        .withColumn(name, F.array_join(F.transform("_items", lambda x: x[value]), separator))
-        .drop("_items")
-    )
+    by = [F.col(k) for k in keys] + list(order)
+    names = [f"_k{i}" for i in range(len(keys))]
+    keyed = df.select("*", *[F.col(k).alias(n) for k, n in zip(keys, names)])
+    schema = T.StructType([
+        *keyed.schema.fields, T.StructField("_n", T.LongType()), T.StructField("_row", T.LongType()),
+        T.StructField("_head", T.BooleanType()), T.StructField("_slice", T.IntegerType()),
+    ])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slice_no, last, carried, row, head = TaskContext.get().partitionId(), None, 0, 0, True
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            columns = [batch.column(c) for c in names]
+            new = np.zeros(n, bool)
+            for column in columns:
+                a, b = column.slice(1), column.slice(0, n - 1)
+                differs = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(a.is_null(), b.is_null()))
+                new[1:] |= differs.to_numpy(zero_copy_only=False)
+            new[0] = last is not None and [c[0].as_py() for c in columns] != last
+            at = np.arange(n)
+            start = np.maximum.accumulate(np.where(new, at, -1))
+            here = np.where(start < 0, at + carried, at - start)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *batch.columns, pa.array(here), pa.array(at + row), pa.array(head & (start < 0)),
+                    pa.array(np.full(n, slice_no, np.int32)),
+                ],
+                names=schema.fieldNames(),
+            )
+            last, carried, row = [c[n - 1].as_py() for c in columns], int(here[-1]) + 1, row + n
+            head = head and not new.any()
+
+    ranked = cut(keyed.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(number, schema))
+    key = F.array(*[F.to_json(F.struct(F.col(n).alias("k"))) for n in names]) if names else F.lit(0)
+    # One row a range; there are as many as shuffle partitions.
+    ranges = ranked.groupBy("_slice").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("_head").alias("n_head"),
+        F.min_by(key, "_row").alias("first"), F.max_by(key, "_row").alias("last"),
+        F.max_by("_n", "_row").alias("last_n"),
+    ).collect()
+    before, key_before, rows_before = [], None, 0
+    for r in sorted(ranges, key=lambda r: r["_slice"]):
+        goes_on = rows_before if r["first"] == key_before else 0
+        before.append((r["_slice"], goes_on))
+        rows_before = goes_on + r["n"] if r["n_head"] == r["n"] else r["last_n"] + 1
+        key_before = r["last"]
+    offsets = F.broadcast(df.sparkSession.createDataFrame(before, "_slice int, _before long"))
+    place = F.col("_n") + F.when(F.col("_head"), F.col("_before")).otherwise(0)
+    return ranked.join(offsets, "_slice").select(*df.columns, place.alias(name))
 
 
 def first_rows(

@@ -2,32 +2,24 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tiergraph.functions import fixed_values as fixed
 from tiergraph.functions import labels
+from tiergraph.functions import fixed_values as fixed
 from tiergraph.functions import text as tx
+from tiergraph.functions.automata import Automaton, Summary
 from tiergraph.operators.facts import merge_facts
-from tiergraph.operators.ordering import GROUP_LIMIT, first_rows, positions
+from tiergraph.operators.components import connected
+from tiergraph.operators.ordering import first_rows
+from tiergraph.session import cut
 
 Rules = Sequence[tuple[str, str]]
-# No built-in badge pattern can match more characters than this.
-MAX_SPAN = 128
-
-
-def check_bounded(rules: Rules) -> None:
-    """Refuse patterns that repeat without a limit; a seam cannot be cut to their length."""
-    for key, pattern in rules:
-        plain = re.sub(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]", "x", pattern)
-        if re.search(r"[*+]|\{\d*,\}", plain):
-            raise ValueError(f"rule {key!r} has a repetition without a limit")
-
-
 def _spoken() -> Column:
     blank = F.lit("")
     return F.concat(F.coalesce("signal", blank), F.lit(" "), F.coalesce("figure", blank))
@@ -50,47 +42,50 @@ def signal_badges(signals: DataFrame, rules: Rules = fixed.BADGE_RULES) -> DataF
     return _as_list(signals.groupBy("company").agg(*_hits(_spoken(), rules)), rules)
 
 
-def node_badges(
-    signals: DataFrame,
-    rules: Rules = fixed.BADGE_RULES,
-    max_span: int = MAX_SPAN,
-    group_limit: int = GROUP_LIMIT,
-) -> DataFrame:
+def node_badges(signals: DataFrame, rules: Rules = fixed.BADGE_RULES) -> DataFrame:
     """Badges of a company's signals read as one text in order.
 
-    A match may run across signals. Since no pattern matches more than
-    ``max_span`` characters, it is enough to test every signal by itself and the
-    seams between neighbours: overlapping runs of signals of which only the ends
-    are kept. A company's texts are never put together whole. Patterns that repeat
-    without a limit are refused; ``max_span`` has to cover the longest match of others.
+    A match may run across any number of signals and have any length. Every signal is
+    summed up as what it does to the automaton of each rule; the summaries of a range of
+    signals compose inside its task and those of a company's ranges after one small
+    shuffle. Texts are never put together, and a company may fill many ranges.
     """
-    check_bounded(rules)
-    single = signals.groupBy("company").agg(*_hits(_spoken(), rules))
-    spoken = signals.select("company", "ord", _spoken().alias("_t"))
-    # ``;`` and a line feed keep a pattern from matching across the removed middle.
-    ends = F.when(
-        F.length("_t") > 2 * max_span,
-        F.concat(F.substring("_t", 1, max_span), F.lit(";\n;"), F.right("_t", F.lit(max_span))),
-    ).otherwise(F.col("_t"))
-    run = 4 * max_span
-    placed = positions(
-        spoken.select("company", "ord", ends.alias("_t")), ["company"], [F.col("ord")], "_pos",
-        group_limit,
-    )
-    chunk = F.floor(F.col("_pos") / run)
-    overlaps = (F.col("_pos") % run) >= run - max_span
-    seams = (
-        placed.withColumn("_chunk", F.explode(
-            F.array_compact(F.array(chunk, F.when(overlaps, chunk + 1)))
-        ))
-        .groupBy("company", "_chunk")
-        .agg(F.array_sort(F.collect_list(F.struct("_pos", "_t"))).alias("_run"))
-        .withColumn("_joined", F.array_join(F.transform("_run", lambda x: x["_t"]), " "))
-        .groupBy("company")
-        .agg(*_hits(F.col("_joined"), rules))
+    patterns = [pattern for _, pattern in rules]
+    for pattern in patterns:
+        Automaton(pattern)  # refuses what cannot be read in pieces
+
+    def of_ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        machines = [Automaton(p) for p in patterns]
+        company, first, so_far = None, 0, None
+        for batch in batches:
+            out = []
+            for name, at, text in zip(batch["company"], batch["at"], batch["text"]):
+                here = [m.summary(text) for m in machines]
+                if so_far is not None and name == company:
+                    so_far = [a.then(b) for a, b in zip(so_far, here)]
+                    continue
+                if so_far is not None:
+                    out.append((company, first, [s.dump() for s in so_far]))
+                company, first, so_far = name, at, here
+            yield pd.DataFrame(out, columns=["company", "at", "parts"])
+        if so_far is not None:
+            yield pd.DataFrame([(company, first, [s.dump() for s in so_far])], columns=["company", "at", "parts"])
+
+    def of_company(parts: pd.DataFrame) -> pd.DataFrame:
+        rows = [[Summary.load(x) for x in p] for p in parts.sort_values("at")["parts"]]
+        whole = [reduce(Summary.then, column) for column in zip(*rows)]
+        found = [key for (key, _), s in zip(rules, whole) if s.tail_found]
+        return pd.DataFrame([(parts["company"].iloc[0], found)], columns=["company", "badges"])
+
+    ranges = (
+        signals.select("company", "ord", _spoken().alias("text"))
+        .repartitionByRange("company", "ord")
+        .sortWithinPartitions("company", "ord")
+        .select("company", F.monotonically_increasing_id().alias("at"), "text")
+        .mapInPandas(of_ranges, "company string, at long, parts array<string>")
     )
-    either = [F.bool_or(f"_b{i}").alias(f"_b{i}") for i in range(len(rules))]
-    return _as_list(single.unionByName(seams).groupBy("company").agg(*either), rules)
+    # One row a company and range.
+    return ranges.groupBy("company").applyInPandas(of_company, "company string, badges array<string>")
 
 
 def last_data(signals: DataFrame) -> DataFrame:
@@ -136,19 +131,55 @@ def merged_facts(
 
     A sentence joins the first kept fact of the same company and year whose
     current wording shares enough tokens; the longer wording stays and decides
-    later comparisons. The outcome depends on the order, so one (company, year)
-    is read by one task, but as a sorted stream: memory holds the distinct facts,
-    not the rows. Direct repeats are dropped before.
+    later comparisons. A kept fact always carries the wording of some sentence, so
+    only sentences whose own wordings are alike, or linked by a chain of such, can
+    meet: each connected component of alike wordings is replayed by itself, as a
+    stream sorted by place whose memory holds the distinct facts.
     """
-    window = Window.partitionBy("company", "year").orderBy("place")
-    fresh = (
-        sentences.withColumn("_prev", F.lag("text").over(window))
-        .filter(F.col("_prev").isNull() | (F.col("_prev") != F.col("text")))
-        .select("company", "year", "when", "text", "units", "tokens", "place")
+    rows = cut(sentences.select("company", "year", "when", "text", "units", "tokens", "place"))
+    wording = F.xxhash64("company", "year", F.array_sort("tokens")).alias("wording")
+    rows = rows.select("*", wording)
+    components = connected(alike_wordings(rows, similarity))
+    placed = rows.join(components, "wording", "left").withColumn(
+        "component", F.coalesce("component", "wording")
+    )
+    keys = ["company", "year", "component"]
+    stream = placed.repartition(*keys).sortWithinPartitions(*keys, "place").drop("wording")
+    columns = ["company", "year", "when", "text", "units", "place"]
+    schema = T.StructType([rows.schema[c] for c in columns])
+    return stream.mapInPandas(lambda it: merge_facts(it, similarity, columns), schema)
+
+
+def alike_wordings(rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different wordings of a company and year that share enough tokens.
+
+    Two alike sets share one of their rarest tokens: of n tokens in a common order the
+    first ``n - ceil(similarity * n) + 1`` are enough, so only those are joined.
+    """
+    sets = cut(rows.groupBy("wording").agg(
+        F.first("company").alias("company"), F.first("year").alias("year"), F.first("tokens").alias("tokens")
+    ))
+    each = sets.select("wording", F.explode("tokens").alias("token"))
+    ranks = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    ordered = each.join(ranks, "token").groupBy("wording").agg(
+        F.array_sort(F.collect_list(F.struct("n", "token"))).alias("ranked")
+    )
+    size = F.size("ranked")
+    # A hair less than exact keeps rounding from shortening the prefix.
+    prefix = F.slice("ranked", 1, (size - F.ceil(size * similarity - 1e-9) + 1).cast("int"))
+    firsts = sets.join(ordered, "wording").select(
+        "company", "year", "wording", "tokens", F.explode(prefix).alias("p")
+    ).withColumn("token", F.col("p.token")).drop("p")
+    left = firsts.select("company", "year", "token", F.col("wording").alias("a"), F.col("tokens").alias("ta"))
+    right = firsts.select("company", "year", "token", F.col("wording").alias("b"), F.col("tokens").alias("tb"))
+    small, large = F.least(F.size("ta"), F.size("tb")), F.greatest(F.size("ta"), F.size("tb"))
+    return (
+        left.join(right, ["company", "year", "token"])
+        .filter((F.col("a") < F.col("b")) & (small >= large * similarity - 1e-9))
+        .filter(tx.jaccard(F.col("ta"), F.col("tb")) >= similarity)
+        .select("a", "b")
+        .distinct()
     )
-    schema = T.StructType([f for f in fresh.schema.fields if f.name != "tokens"])
-    columns = schema.fieldNames()
-    return fresh.mapInPandas(lambda it: merge_facts(it, similarity, columns), schema)
 
 
 def company_timeline(signals: DataFrame, k: int = 10) -> DataFrame:

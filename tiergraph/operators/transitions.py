@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tiergraph.functions.display import DOT
+from tiergraph.operators.ordering import positions
 
 
 def transition_status(members: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -41,6 +42,30 @@ def side_products(roles: DataFrame, catalogue: DataFrame) -> DataFrame:
     )
 
 
+def product_rows(roles: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """``side_products`` numbered in order inside (transition, side, company)."""
+    keys = ["transition", "side", "id"]
+    return positions(side_products(roles, catalogue), keys, [F.col("ord")])
+
+
+def changed_products(rows: DataFrame) -> DataFrame:
+    """``(transition, id, differs)`` for companies with products on both sides.
+
+    The lists are compared place by place, so a hub's list is never one cell.
+    """
+    side = lambda name: F.max(F.when(F.col("side") == name, F.col("product")))
+    places = rows.groupBy("transition", "id", "position").agg(side("from").alias("a"), side("to").alias("b"))
+    return (
+        places.groupBy("transition", "id")
+        .agg(
+            F.bool_or(~F.col("a").eqNullSafe(F.col("b"))).alias("differs"),
+            F.count("a").alias("_a"), F.count("b").alias("_b"),
+        )
+        .filter("_a > 0 and _b > 0")
+        .select("transition", "id", "differs")
+    )
+
+
 def transition(
     members: DataFrame,
     roles: DataFrame,
@@ -64,11 +89,14 @@ def transition(
         F.max(F.when(F.col("side") == "from", F.col("products"))).alias("product_from"),
         F.max(F.when(F.col("side") == "to", F.col("products"))).alias("product_to"),
     )
-    changed = (F.col("status") == "retained") & (F.col("product_from") != F.col("product_to"))
+    changed = changed_products(product_rows(roles, catalogue))
+    differs = (F.col("status") == "retained") & F.col("differs")
     rows = (
         transition_status(members, catalogue)
         .join(sides, ["transition", "id"], "left")
-        .withColumn("product_changed", F.coalesce(changed, F.lit(False)))
+        .join(changed, ["transition", "id"], "left")
+        .withColumn("product_changed", F.coalesce(differs, F.lit(False)))
+        .drop("differs")
     )
     if groups is None:
         return rows

@@ -97,14 +97,15 @@ def event_study(
     windows: Sequence[int] = fixed.WINDOWS,
 ) -> es.Study:
     """Abnormal returns after calls, by group, against benchmarks and the universe."""
-    # Six result tables share these steps. They hold calls, not prices, so keeping
-    # them is cheap next to joining the prices again for every table.
+    # All result tables are projections of the calls with the closes they need, so those
+    # are kept: one row a call.
     calendar = cut(es.trading_calendar(prices))
     closes = es.indexed_prices(prices, calendar)
-    placed = cut(es.placed_calls(es.assign_group(calls, flagged), prices, calendar))
-    returns = cut(es.call_returns(placed, closes, windows))
-    values = cut(es.abnormal_returns(returns, closes, benchmarks, windows))
-    events = es.wide_events(placed, values, benchmarks, windows)
+    placed = es.placed_calls(es.assign_group(calls, flagged), prices, calendar)
+    quoted = cut(es.quoted_calls(placed, closes, benchmarks, windows))
+    returns = es.call_returns(quoted, windows)
+    values = es.abnormal_returns(quoted, windows)
+    events = es.wide_events(quoted, values, benchmarks, windows)
     copies = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
     values = values.withColumn("copy", copies).drop("copies")
     both = values.unionByName(es.excess_over_universe(values))
@@ -113,7 +114,7 @@ def event_study(
         values=both,
         universe=es.universe_average(values).withColumn("mean", F.bround("mean", 5)),
         stats=es.group_stats(both),
-        excluded=es.exclusions(placed, returns),
+        excluded=es.exclusions(quoted, returns),
         members=es.window_members(returns),
     )
 

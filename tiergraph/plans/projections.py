@@ -169,6 +169,17 @@ EDGES = f"""edges AS (
   JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)"""
 
 
+# Figures of a few parts hold a phrase of a built-in badge.
+FIGURES = {1: "sold out", 2: "guidance raised", 3: "supply agreement", 4: "broke ground"}
+
+
+def figure_of(part: Column) -> Column:
+    figure = F.lit("no specific figure")
+    for rest, phrase in FIGURES.items():
+        figure = F.when(part % 997 == rest, phrase).otherwise(figure)
+    return figure
+
+
 def order_players(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as players of a chain that is their order.
 
@@ -218,7 +229,7 @@ def order_players(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.struct(
                     F.date_format("l_shipdate", "'Q1 FY'yyyy (MM-dd-yyyy)").alias("quarter"),
                     F.col("p_name").alias("signal"),
-                    F.lit("no specific figure").alias("figure"),
+                    figure_of(F.col("l_partkey")).alias("figure"),
                 )
             ).alias("quarterly_data"),
             line_order().alias("ord"),
@@ -233,7 +244,7 @@ ORDER_PLAYERS = f"""order_players AS (
          p_size % 18 AS place, p_type AS sector, s_name AS company, p_name AS product,
          c_name AS customer, l_returnflag AS relationship,
          CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS n_contracts,
-         strftime(l_shipdate, 'Q1 FY%Y (%m-%d-%Y)') AS quarter,
+         strftime(l_shipdate, 'Q1 FY%Y (%m-%d-%Y)') AS quarter, l_partkey % 997 AS figure,
          lead(s_name) OVER (PARTITION BY l_orderkey ORDER BY {", ".join(LINE_ORDER)}) AS following,
          {SQL_ORD} AS ord
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
@@ -242,70 +253,74 @@ ORDER_PLAYERS = f"""order_players AS (
 
 def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One nested chain document per order; kept, since the operators read it repeatedly."""
-    nested = renest_chains(order_players(spark, sf_dir), taxonomy(spark))
+    nested = renest_chains(order_players(spark, sf_dir), taxonomy(spark), bounded=True)
     return cut(nested.withColumn("path", F.col("chain")))
 
 
-# --- trade between nations: a small dense graph made of every line -----------------
+# --- all lines as links of companies ------------------------------------------------
 
 
-def nation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quantity from each supplier nation to each customer nation."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
+def feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of all lines: to the supplier of the order's next line and to the customer."""
+    lines = table(spark, sf_dir, "lineitem").select(*LINE_ORDER)
+    suppliers = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("l_suppkey"), "s_name"
+    )
     orders = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("l_orderkey"), "o_custkey"
+        F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderpriority"
     )
     customers = table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("o_custkey"), "c_nationkey"
-    )
-    suppliers = table(spark, sf_dir, "supplier").select(
-        F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"
-    )
-    keys = (
-        lines.join(orders, "l_orderkey").join(customers, "o_custkey").join(suppliers, "l_suppkey")
-        .groupBy("s_nationkey", "c_nationkey")
-        .agg(F.sum(F.col("l_quantity").cast("bigint")).alias("quantity"))
+        F.col("c_custkey").alias("o_custkey"), "c_name"
     )
-    nation = table(spark, sf_dir, "nation")
-    seller = nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("source"))
-    buyer = nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("target"))
-    return keys.join(seller, "s_nationkey").join(buyer, "c_nationkey").select(
-        "source", "target", "quantity"
+    following = F.lead("s_name").over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER))
+    ends = F.array(
+        F.struct(F.col("following").alias("target"), F.lit(0).alias("e")),
+        F.struct(F.col("c_name").alias("target"), F.lit(1).alias("e")),
     )
+    return (
+        lines.join(suppliers, "l_suppkey")
+        .withColumn("following", following)
+        .join(orders, "l_orderkey").join(customers, "o_custkey")
+        .select(
+            F.col("s_name").alias("source"), F.col("l_returnflag").alias("relationship"),
+            F.col("o_orderpriority").alias("chain"), line_order().alias("line"), F.inline(ends),
+        )
+        .filter(F.col("target").isNotNull())
+        .withColumn("ord", F.struct("line", "e"))
+        .drop("line", "e")
+    )
+
+
+FEEDS = f"""followed AS (
+  SELECT *, lead(s_name) OVER (PARTITION BY l_orderkey ORDER BY {", ".join(LINE_ORDER)}) AS following
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+feeds AS (
+  SELECT s_name AS source, CASE e WHEN 0 THEN following ELSE c_name END AS target,
+         l_returnflag AS relationship, o_orderpriority AS chain, ({SQL_ORD}, e) AS ord
+  FROM followed JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+  CROSS JOIN (VALUES (0), (1)) v(e) WHERE e = 1 OR following IS NOT NULL)"""
+LINKS = FEEDS + """,
+links AS MATERIALIZED (SELECT DISTINCT source, target FROM feeds WHERE source <> target)"""
+REACH = """reach AS (
+  SELECT source AS seed, target AS node FROM links
+  UNION
+  SELECT r.seed, l.target FROM reach r JOIN links l ON r.node = l.source),
+down AS MATERIALIZED (SELECT seed, node FROM reach WHERE seed <> node),
+up AS (SELECT node AS seed, seed AS node FROM down)"""
 
 
-def trade_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs whose quantity lies 1.5 deviations above the seller's average pair."""
-    pairs = nation_pairs(spark, sf_dir)
-    usual = pairs.groupBy("source").agg(
-        (F.avg("quantity") + 1.5 * F.stddev_pop("quantity")).alias("_limit")
-    )
-    return pairs.join(usual, "source").filter(F.col("quantity") > F.col("_limit")).select(
-        "source", "target"
+def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All suppliers and customers."""
+    return sellers(spark, sf_dir).unionByName(
+        table(spark, sf_dir, "customer").select(F.col("c_name").alias("id"))
     )
 
 
-TRADE_LINKS = """pairs AS (
-  SELECT s.n_name AS source, c.n_name AS target, sum(CAST(l_quantity AS BIGINT)) AS quantity
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-  JOIN nation s ON s_nationkey = s.n_nationkey JOIN nation c ON c_nationkey = c.n_nationkey
-  GROUP BY 1, 2),
-links AS (
-  SELECT p.source, p.target FROM pairs p JOIN (
-    SELECT source, avg(quantity) + 1.5 * stddev_pop(quantity) AS lim FROM pairs GROUP BY source
-  ) u ON p.source = u.source WHERE p.quantity > u.lim)"""
-REACH = """reach AS (
-  SELECT source AS seed, target AS node FROM links WHERE source <> target
-  UNION
-  SELECT r.seed, l.target FROM reach r JOIN links l ON r.node = l.source
-  WHERE l.source <> l.target),
-down AS (SELECT seed, node FROM reach WHERE seed <> node),
-up AS (SELECT node AS seed, seed AS node FROM down)"""
+COMPANIES = """companies AS (SELECT s_name AS id FROM supplier UNION ALL SELECT c_name FROM customer)"""
 
 
-def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").select(F.col("n_name").alias("id"))
+def sellers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select(F.col("s_name").alias("id"))
 
 
 def reply_links(spark: SparkSession, sf_dir: str) -> DataFrame:

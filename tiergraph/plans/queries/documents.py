@@ -110,6 +110,10 @@ edges AS (
 deg AS (SELECT id, count(*) AS degree FROM (
   SELECT source AS id FROM edges UNION ALL SELECT target FROM edges) GROUP BY id),
 sig AS (SELECT company AS id, count(DISTINCT (quarter, product)) AS n_signals,
+               concat_ws(',', CASE WHEN bool_or(figure = 1) THEN 'tight' END,
+                         CASE WHEN bool_or(figure = 2) THEN 'guideup' END,
+                         CASE WHEN bool_or(figure = 3) THEN 'lta' END,
+                         CASE WHEN bool_or(figure = 4) THEN 'capex' END) AS badges,
                max(CAST(strptime(right(quarter, 12), '(%m-%d-%Y)') AS DATE)) AS day
         FROM order_players GROUP BY 1),
 prim AS (
@@ -118,7 +122,7 @@ prim AS (
       SELECT *, (chain, CASE kind WHEN 'layer' THEN CASE slug WHEN 'legacy' THEN 999 ELSE place END
                    ELSE 1000 + place END, ord) AS spot FROM order_players) GROUP BY 1)""", """
 SELECT s.id, p."primary", degree, CAST(greatest(4, floor(pow(degree, 1.5))) AS BIGINT) AS size,
-       n_signals, strftime(day, '%Y-%m-%d') AS last_data, '' AS badges,
+       n_signals, strftime(day, '%Y-%m-%d') AS last_data, badges,
        epoch(TIMESTAMP '2001-06-15 12:00:00' - CAST(day AS TIMESTAMP)) / 86400.0 > 180 AS stale,
        s.id IN (SELECT s_name FROM supplier WHERE s_acctbal > 3000) AS has_report
 FROM sig s JOIN deg USING (id) JOIN prim p ON p.id = s.id"""))

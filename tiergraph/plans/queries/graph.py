@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tiergraph.functions import fixed_values as fixed
@@ -12,9 +12,10 @@ from tiergraph.operators import flatten, graph, listing, reach, screener, transi
 from tiergraph.plans import jobs
 from tiergraph.plans import projections as pj
 from tiergraph.plans.projections import (
-    EDGES, MEMBERS, METADATA, PLAYERS, REACH, REPLY_LINKS, TRADE_LINKS, with_ctes,
+    COMPANIES, EDGES, FEEDS, LINKS, MEMBERS, METADATA, PLAYERS, REACH, REPLY_LINKS, SIGNALS, with_ctes,
 )
 from tiergraph.plans.registry import query
+from tiergraph.session import cut
 from tiergraph.sources import dims
 
 TAXONOMY = f"""taxonomy(slug, kind, name, color, place) AS (VALUES {pj.sql_rows(
@@ -143,6 +144,55 @@ def counterparties(spark, sf_dir):
     )
 
 
+@query(with_ctes(EDGES, """
+SELECT * FROM (
+  SELECT 'out' AS side, source AS id, target AS other, c_source, c_units, c_date,
+         row_number() OVER (PARTITION BY source, target ORDER BY ord) - 1 AS position
+  FROM edges WHERE n_contracts > 0
+  UNION ALL
+  SELECT 'in', target, source, c_source, c_units, c_date,
+         row_number() OVER (PARTITION BY source, target ORDER BY ord) - 1
+  FROM edges WHERE n_contracts > 0)"""))
+def counterparty_contracts(spark, sf_dir):
+    """The contracts with every counterparty, in the order of the merged edges."""
+    edges = pj.edges(spark, sf_dir)
+    sides = [
+        graph.counterparty_contracts(edges, side).withColumn("side", F.lit(side))
+        for side in ("out", "in")
+    ]
+    return sides[0].unionByName(sides[1]).select(
+        "side", "id", "other", F.col("contract.source").alias("c_source"),
+        F.col("contract.units").alias("c_units"), F.col("contract.date_signed").alias("c_date"),
+        "position",
+    )
+
+
+@query("""
+WITH lines AS (
+  SELECT o_orderkey, c_name, l_quantity, row_number() OVER (PARTITION BY o_orderkey ORDER BY """
+       + ", ".join(pj.LINE_ORDER) + """) AS r
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)
+SELECT c_name AS source, CAST(o_orderkey AS VARCHAR) AS target, r - 1 AS position,
+       CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS units FROM lines WHERE r <= 3""")
+def top_contracts(spark, sf_dir):
+    """Customer -> order edges whose contracts are the order's lines; three of them are shown."""
+    lines = pj.table(spark, sf_dir, "lineitem").select(*pj.LINE_ORDER)
+    orders = pj.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    customers = pj.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    # The lines of one order, as long as its document.
+    of_order = lines.groupBy("l_orderkey").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct(*pj.LINE_ORDER))),
+        lambda line: F.struct(line["l_quantity"].cast("bigint").cast("string").alias("units")),
+    ).alias("contracts"))
+    edges = of_order.join(orders, "l_orderkey").join(customers, "o_custkey").select(
+        F.col("c_name").alias("source"), F.col("l_orderkey").cast("string").alias("target"), "contracts"
+    )
+    shown = graph.top_contracts(edges).select(
+        "source", "target", F.posexplode("contracts").alias("position", "c")
+    )
+    return shown.select("source", "target", F.col("position").cast("bigint").alias("position"), "c.units")
+
+
 TOP_PARTIES = with_ctes(EDGES, DEGREE, """
 parties AS (
   SELECT source AS id, target AS other, arg_min(relationship, ord) AS relationship,
@@ -193,55 +243,49 @@ def adjacency_size(spark, sf_dir):
     )
 
 
-@query(with_ctes(EDGES, """
-SELECT way, relationship, chain, struct_extract(ord, 1) AS at FROM (
-  SELECT 0 AS way, * FROM edges
-  WHERE source = 'Supplier#000000003' AND target = 'Customer#000000007'
-  UNION ALL
-  SELECT 1, * FROM edges
-  WHERE target = 'Supplier#000000003' AND source = 'Customer#000000007')"""))
+# The first two suppliers, by name, that feed each other.
+MUTUAL = """pair AS (
+  SELECT min((a.source, a.target)) AS p FROM links a
+  JOIN links b ON a.source = b.target AND a.target = b.source)"""
+
+
+@query(with_ctes(LINKS, MUTUAL, """
+SELECT way, source, target, relationship, chain,
+       row_number() OVER (PARTITION BY way ORDER BY ord) - 1 AS position FROM (
+  SELECT CASE WHEN source = struct_extract(p, 1) THEN 0 ELSE 1 END AS way, feeds.* FROM feeds, pair
+  WHERE (source, target) = p OR (target, source) = p)"""))
 def edges_between(spark, sf_dir):
-    found = graph.edges_between(
-        pj.edges(spark, sf_dir), "Supplier#000000003", "Customer#000000007"
+    edges = pj.feeds(spark, sf_dir)
+    links = reach.distinct_links(edges)
+    both = links.join(reach.reversed_edges(links), ["source", "target"])
+    a, b = both.agg(F.min(F.struct("source", "target")).alias("p")).first()["p"]
+    order = Window.partitionBy("way").orderBy("ord")
+    return graph.edges_between(edges, a, b).select(
+        F.col("way").cast("bigint").alias("way"), "source", "target", "relationship", "chain",
+        (F.row_number().over(order) - 1).cast("bigint").alias("position"),
     )
-    return found.select("way", "relationship", "chain", F.col("ord.l_orderkey").alias("at"))
 
 
-@query(with_ctes(TRADE_LINKS, """
-SELECT l.source, l.target FROM links l
-WHERE l.target NOT IN (SELECT n_name FROM nation WHERE n_regionkey < 3)"""))
+@query(with_ctes(FEEDS, """
+SELECT source, target, count(*) AS n FROM feeds WHERE target NOT IN (SELECT s_name FROM supplier)
+GROUP BY 1, 2"""))
 def broken_edges(spark, sf_dir):
-    known = pj.table(spark, sf_dir, "nation").filter("n_regionkey < 3").select(
-        F.col("n_name").alias("id")
-    )
-    return graph.broken_edges(pj.trade_links(spark, sf_dir), known).select("source", "target")
+    """Only suppliers play a part of their own, so customers are unknown targets."""
+    broken = graph.broken_edges(pj.feeds(spark, sf_dir), pj.sellers(spark, sf_dir))
+    return broken.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(with_ctes("""links AS (
-  SELECT s_name AS source, c_name AS target FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-  WHERE l_returnflag = 'R' AND l_quantity > 40)""", """
-SELECT c_name AS id FROM customer
-WHERE c_name NOT IN (SELECT source FROM links UNION SELECT target FROM links)"""))
+@query("""
+SELECT CAST(o_orderkey AS VARCHAR) AS id FROM orders
+WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""")
 def isolated_nodes(spark, sf_dir):
-    # The quantity of a line is its only contract's units.
-    links = pj.edges(spark, sf_dir).filter("relationship = 'R'")
-    lines = pj.table(spark, sf_dir, "lineitem").filter("l_quantity > 40").select(
-        pj.line_order().alias("ord")
+    """Every line links its supplier with its order; orders without lines stand alone."""
+    lines = pj.table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("source"),
+        F.col("l_orderkey").cast("string").alias("target"),
     )
-    names = pj.table(spark, sf_dir, "customer").select(F.col("c_name").alias("id"))
-    return graph.isolated_nodes(names, links.join(lines, "ord", "left_semi"))
-
-
-@query(with_ctes(TRADE_LINKS, """
-SELECT source, target FROM links
-WHERE source IN (SELECT n_name FROM nation WHERE n_regionkey <> 1)
-  AND target IN (SELECT n_name FROM nation WHERE n_regionkey <> 1)"""))
-def resolved_edges(spark, sf_dir):
-    known = pj.table(spark, sf_dir, "nation").filter("n_regionkey <> 1").select(
-        F.col("n_name").alias("id")
-    )
-    return graph.resolved_edges(pj.trade_links(spark, sf_dir), known).select("source", "target")
+    orders = pj.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"))
+    return graph.isolated_nodes(orders, lines)
 
 
 @query(with_ctes(EDGES, """
@@ -401,27 +445,47 @@ SIDE_PRODUCTS = """prods AS (
     FROM fine JOIN catalogue USING (chain) GROUP BY ALL) GROUP BY 1, 2, 3)"""
 
 
-@query(with_ctes(PLAYERS, FINE, CATALOGUE, STATUS, SIDE_PRODUCTS, """
+@query(with_ctes(PLAYERS, MEMBERS, PRIMARY, TAXONOMY, FINE, CATALOGUE, STATUS, SIDE_PRODUCTS, """
 SELECT s.transition, s.id, s.status, a.products AS product_from, b.products AS product_to,
        coalesce(s.status = 'retained' AND a.products <> b.products, false) AS product_changed,
+       p."primary", row_number() OVER (PARTITION BY s.transition ORDER BY coalesce(
+         g.place + CASE g.kind WHEN 'domain' THEN 100 ELSE 0 END, 150), s.id) - 1 AS position,
        coalesce((SELECT string_agg(chain, ',' ORDER BY place) FROM (
           SELECT DISTINCT c.chain, c.place FROM fine f JOIN catalogue c ON f.chain = c.chain
           WHERE c.transition = s.transition AND c.side = 'to' AND f.company = s.id)), '')
          AS to_chains
 FROM status s
 LEFT JOIN prods a ON a.transition = s.transition AND a.id = s.id AND a.side = 'from'
-LEFT JOIN prods b ON b.transition = s.transition AND b.id = s.id AND b.side = 'to'"""))
+LEFT JOIN prods b ON b.transition = s.transition AND b.id = s.id AND b.side = 'to'
+LEFT JOIN prim p ON p.id = s.id LEFT JOIN taxonomy g ON g.slug = p."primary" """))
 def transition(spark, sf_dir):
     fine, catalogue = _fine(spark, sf_dir), dims.transitions(spark, GENERATIONS)
     rows = transitions.transition(
-        graph.memberships(fine), flatten.product_roles(fine), catalogue
+        graph.memberships(fine), flatten.product_roles(fine), catalogue,
+        graph.primary_group(flat_members(spark, sf_dir), "unknown"), dims.taxonomy(spark),
     )
+    order = Window.partitionBy("transition").orderBy("group_place", F.collate("id", "UNICODE"), "id")
     return rows.select(
-        "transition", "id", "status", "product_from", "product_to", "product_changed",
+        "transition", "id", "status", "product_from", "product_to", "product_changed", "primary",
+        (F.row_number().over(order) - 1).cast("bigint").alias("position"),
         F.array_join("to_chains", ",").alias("to_chains"),
     )
 
 
+@query(with_ctes(PLAYERS, FINE, CATALOGUE, """
+firsts AS (
+  SELECT transition, company AS id, side, product, min(ord) AS ord
+  FROM fine JOIN catalogue USING (chain) WHERE product <> '' GROUP BY ALL)""", """
+SELECT transition, id, side, product,
+       row_number() OVER (PARTITION BY transition, id, side ORDER BY ord) - 1 AS position FROM firsts"""))
+def transition_products(spark, sf_dir):
+    """The products of both sides as rows, in the order they are first named."""
+    roles, catalogue = flatten.product_roles(_fine(spark, sf_dir)), dims.transitions(spark, GENERATIONS)
+    return transitions.product_rows(roles, catalogue).select(
+        "transition", "id", "side", "product", "position"
+    )
+
+
 @query(with_ctes(PLAYERS, FINE, CATALOGUE, STATUS, """
 SELECT c.transition, count(*) FILTER (WHERE status = 'retained') AS retained,
        count(*) FILTER (WHERE status = 'gained') AS gained,
@@ -451,33 +515,53 @@ def node_exposure(spark, sf_dir):
 # --- reach -----------------------------------------------------------------------------
 
 
-@query(with_ctes(TRADE_LINKS, """
-SELECT n_name AS seed, n_name AS node, 'self' AS side FROM nation
+@query(with_ctes(LINKS, COMPANIES, """
+SELECT id AS seed, id AS node, 'self' AS side FROM companies
 UNION SELECT source, target, 'out' FROM links UNION SELECT target, source, 'in' FROM links"""))
 def neighbours(spark, sf_dir):
-    return reach.neighbours(pj.trade_links(spark, sf_dir), pj.nations(spark, sf_dir))
+    links = reach.distinct_links(pj.feeds(spark, sf_dir))
+    return reach.neighbours(links, pj.companies(spark, sf_dir))
+
+
+#: Companies that a reader has chosen.
+CHOSEN = ("Supplier#000000001", "Supplier#000000002")
+
 
+def _chosen(spark):
+    return spark.createDataFrame([(c,) for c in CHOSEN], "id string")
 
-@query(with_ctes(TRADE_LINKS, """
-SELECT source, target FROM links
-WHERE source IN ('NATION_1', 'NATION_2') OR target IN ('NATION_1', 'NATION_2')"""))
+
+@query(with_ctes(FEEDS, f"""
+SELECT source, target, count(*) AS n FROM feeds
+WHERE source IN {CHOSEN} OR target IN {CHOSEN} GROUP BY 1, 2"""))
 def touching_edges(spark, sf_dir):
-    seeds = pj.nations(spark, sf_dir).filter("id in ('NATION_1', 'NATION_2')")
-    return reach.touching_edges(pj.trade_links(spark, sf_dir), seeds)
+    touching = reach.touching_edges(pj.feeds(spark, sf_dir), _chosen(spark))
+    return touching.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(with_ctes(TRADE_LINKS, REACH, "SELECT seed, node FROM down"))
+@query(with_ctes(LINKS, REACH, "SELECT seed, node FROM down"))
 def downstream(spark, sf_dir):
-    found = reach.downstream(pj.trade_links(spark, sf_dir), pj.nations(spark, sf_dir))
+    found = reach.downstream(pj.feeds(spark, sf_dir), pj.sellers(spark, sf_dir))
     return found.select("seed", "node")
 
 
-@query(with_ctes(TRADE_LINKS, REACH, "SELECT seed, node FROM up"))
+@query(with_ctes(LINKS, REACH, "SELECT seed, node FROM up"))
 def upstream(spark, sf_dir):
-    found = reach.upstream(pj.trade_links(spark, sf_dir), pj.nations(spark, sf_dir))
+    found = reach.upstream(pj.feeds(spark, sf_dir), pj.companies(spark, sf_dir))
     return found.select("seed", "node")
 
 
+@query(with_ctes(LINKS, """hop1 AS (SELECT source AS seed, target AS node FROM links),
+hop2 AS (SELECT DISTINCT h.seed, l.target AS node FROM hop1 h JOIN links l ON h.node = l.source)""", """
+SELECT seed, node, CAST(min(hops) AS BIGINT) AS hops FROM (
+  SELECT seed, node, 1 AS hops FROM hop1 UNION ALL SELECT seed, node, 2 FROM hop2)
+WHERE seed <> node GROUP BY 1, 2"""))
+def downstream_hops(spark, sf_dir):
+    """What each supplier reaches within two hops."""
+    found = reach.downstream(pj.feeds(spark, sf_dir), pj.sellers(spark, sf_dir), 2)
+    return found.withColumn("hops", F.col("hops").cast("bigint"))
+
+
 @query(with_ctes(REPLY_LINKS, """reach AS (
   SELECT source AS seed, target AS node, 1 AS hops FROM links
   UNION
@@ -491,60 +575,61 @@ def reply_reach(spark, sf_dir):
 
 RIPPLE = """ripple AS (
   SELECT seed, node, min(rank) AS rank FROM (
-    SELECT n_name AS seed, n_name AS node, 0 AS rank FROM nation
-    UNION ALL SELECT seed, node, 1 FROM down UNION ALL SELECT seed, node, 2 FROM up)
+    SELECT s_name AS seed, s_name AS node, 0 AS rank FROM supplier
+    UNION ALL SELECT seed, node, 1 FROM down
+    UNION ALL SELECT u.seed, u.node, 2 FROM up u JOIN supplier ON s_name = u.seed)
   GROUP BY seed, node)"""
 
 
-@query(with_ctes(TRADE_LINKS, REACH, RIPPLE, """
+@query(with_ctes(LINKS, REACH, RIPPLE, """
 SELECT seed, node, CASE rank WHEN 0 THEN 'self' WHEN 1 THEN 'down' ELSE 'up' END AS status
 FROM ripple"""))
 def ripple(spark, sf_dir):
-    links, nodes = pj.trade_links(spark, sf_dir), pj.nations(spark, sf_dir)
-    down = reach.downstream(links, nodes)
-    up = down.select(F.col("node").alias("seed"), F.col("seed").alias("node"))
-    return reach.ripple(nodes, down, up, nodes)
+    links, seeds = cut(reach.distinct_links(pj.feeds(spark, sf_dir))), pj.sellers(spark, sf_dir)
+    down, up = reach.downstream(links, seeds), reach.upstream(links, seeds)
+    return reach.ripple(pj.companies(spark, sf_dir), down, up, seeds)
 
 
-@query(with_ctes(TRADE_LINKS, REACH, RIPPLE, """
-SELECT n_name AS id, CASE rank WHEN 0 THEN 'self' WHEN 1 THEN 'down' WHEN 2 THEN 'up'
-                              ELSE 'unrelated' END AS status
-FROM nation LEFT JOIN ripple ON node = n_name AND seed = 'NATION_3'"""))
+@query(with_ctes(LINKS, REACH, RIPPLE, COMPANIES, f"""
+SELECT id, CASE rank WHEN 0 THEN 'self' WHEN 1 THEN 'down' WHEN 2 THEN 'up'
+                     ELSE 'unrelated' END AS status
+FROM companies LEFT JOIN ripple ON node = id AND seed = '{CHOSEN[0]}'"""))
 def ripple_for(spark, sf_dir):
-    links, nodes = pj.trade_links(spark, sf_dir), pj.nations(spark, sf_dir)
-    seed = nodes.filter("id = 'NATION_3'")
+    links, nodes = cut(reach.distinct_links(pj.feeds(spark, sf_dir))), pj.companies(spark, sf_dir)
+    seed = _chosen(spark).filter(F.col("id") == CHOSEN[0])
     down, up = reach.downstream(links, seed), reach.upstream(links, seed)
-    return reach.ripple_for(nodes, reach.ripple(nodes, down, up, seed), "NATION_3")
+    return reach.ripple_for(nodes, reach.ripple(nodes, down, up, seed), CHOSEN[0])
 
 
-@query(with_ctes(TRADE_LINKS, REACH, """
-SELECT * FROM (
-  SELECT n.n_name AS seed, l.source, l.target,
-    CASE WHEN (l.source = n.n_name OR EXISTS (SELECT 1 FROM down d WHERE d.seed = n.n_name AND d.node = l.source))
-          AND EXISTS (SELECT 1 FROM down d WHERE d.seed = n.n_name AND d.node = l.target) THEN 'down'
-         WHEN EXISTS (SELECT 1 FROM up u WHERE u.seed = n.n_name AND u.node = l.source)
-          AND (l.target = n.n_name OR EXISTS (SELECT 1 FROM up u WHERE u.seed = n.n_name AND u.node = l.target))
-         THEN 'up' END AS status
-  FROM nation n CROSS JOIN links l) WHERE status IS NOT NULL"""))
+@query(with_ctes(LINKS, REACH, f"""seeds AS (SELECT s_name AS seed FROM supplier WHERE s_name IN {CHOSEN}),
+d AS (SELECT * FROM down UNION ALL SELECT seed, seed FROM seeds),
+u AS (SELECT * FROM up UNION ALL SELECT seed, seed FROM seeds),
+ways AS (
+  SELECT s.seed, l.source, l.target, 'down' AS status FROM seeds s JOIN d ON d.seed = s.seed
+  JOIN links l ON l.source = d.node JOIN down e ON e.seed = s.seed AND e.node = l.target
+  UNION ALL
+  SELECT s.seed, l.source, l.target, 'up' FROM seeds s JOIN up e ON e.seed = s.seed
+  JOIN links l ON l.source = e.node JOIN u ON u.seed = s.seed AND u.node = l.target)""", """
+SELECT seed, source, target, min(status) AS status FROM ways GROUP BY 1, 2, 3"""))
 def ripple_edges(spark, sf_dir):
-    links, nodes = pj.trade_links(spark, sf_dir), pj.nations(spark, sf_dir)
-    down = reach.downstream(links, nodes)
-    up = down.select(F.col("node").alias("seed"), F.col("seed").alias("node"))
-    return reach.ripple_edges(links, down, up, nodes)
+    links = cut(reach.distinct_links(pj.feeds(spark, sf_dir)))
+    seeds = pj.sellers(spark, sf_dir).join(_chosen(spark), "id", "left_semi")
+    down, up = reach.downstream(links, seeds), reach.upstream(links, seeds)
+    return reach.ripple_edges(links, down, up, seeds)
 
 
-@query(with_ctes(TRADE_LINKS, REACH, """
-SELECT n_name AS id, (SELECT count(*) FROM down WHERE seed = n_name) AS downstream,
-       (SELECT count(*) FROM up WHERE seed = n_name) AS upstream FROM nation"""))
+@query(with_ctes(LINKS, REACH, COMPANIES, """
+SELECT id, coalesce(d.n, 0) AS downstream, coalesce(u.n, 0) AS upstream FROM companies
+LEFT JOIN (SELECT seed, count(*) AS n FROM down GROUP BY 1) d ON d.seed = id
+LEFT JOIN (SELECT node, count(*) AS n FROM down GROUP BY 1) u ON u.node = id"""))
 def reach_counts(spark, sf_dir):
-    return reach.reach_counts(pj.trade_links(spark, sf_dir), pj.nations(spark, sf_dir))
+    return reach.reach_counts(pj.feeds(spark, sf_dir), pj.companies(spark, sf_dir))
 
 
 # --- listings ---------------------------------------------------------------------------
 
 
-@query(with_ctes(PLAYERS, MEMBERS, PRIMARY.replace("'unknown'", "'other'"), TAXONOMY, """
-listed AS (
+LISTED = """listed AS (
   SELECT p.id, p."primary" AS slug, coalesce(s.sector, '') AS sector FROM prim p
   LEFT JOIN (SELECT id, arg_min(value, ord) AS sector FROM members WHERE facet = 'sector'
              GROUP BY id) s ON s.id = p.id
@@ -554,16 +639,43 @@ placed AS (
          dense_rank() OVER (PARTITION BY slug ORDER BY sector) AS heads FROM listed),
 shown AS (
   SELECT slug, row_number() OVER (ORDER BY min(kind) DESC, min(place)) - 1 AS col
-  FROM placed JOIN taxonomy USING (slug) GROUP BY slug)""", """
-SELECT slug, col, is_header, label, sector, "row" FROM (
-  SELECT slug, false AS is_header, id AS label, sector, pos + heads AS "row" FROM placed
+  FROM placed JOIN taxonomy USING (slug) GROUP BY slug)"""
+PRIMARY_OR_OTHER = PRIMARY.replace("'unknown'", "'other'")
+
+
+def _group_listing(spark, sf_dir):
+    players = pj.players(spark, sf_dir)
+    return listing.group_listing(
+        graph.company_nodes(players), graph.memberships(players), dims.taxonomy(spark),
+        roles=flatten.product_roles(players), signals=pj.signals(spark, sf_dir),
+    )
+
+
+@query(with_ctes(SIGNALS, PLAYERS, MEMBERS, PRIMARY_OR_OTHER, TAXONOMY, LISTED, """
+first AS (SELECT company, arg_min(product, ord) AS product FROM players GROUP BY 1),
+said AS (SELECT company, count(*) AS n FROM signals GROUP BY 1)""", """
+SELECT slug, col, is_header, label, sector, "row", product, n_signals FROM (
+  SELECT slug, false AS is_header, id AS label, sector, pos + heads AS "row",
+         coalesce(product, '') AS product, coalesce(n, 0) AS n_signals
+  FROM placed LEFT JOIN first f ON f.company = id LEFT JOIN said s ON s.company = id
   UNION ALL
-  SELECT slug, true, sector, sector, min(pos) + min(heads) - 1 FROM placed GROUP BY slug, sector)
+  SELECT slug, true, sector, sector, min(pos) + min(heads) - 1, NULL, NULL FROM placed
+  GROUP BY slug, sector)
 JOIN shown USING (slug)"""))
 def group_listing(spark, sf_dir):
-    players = pj.players(spark, sf_dir)
-    return listing.group_listing(
-        graph.company_nodes(players), graph.memberships(players), dims.taxonomy(spark)
+    return _group_listing(spark, sf_dir)
+
+
+@query(with_ctes(FEEDS, PLAYERS, MEMBERS, PRIMARY_OR_OTHER, TAXONOMY, LISTED, """
+spots AS (SELECT id, col, pos + heads AS "row" FROM placed JOIN shown USING (slug))""", """
+SELECT source, target, a.col AS from_col, a."row" AS from_row, b.col AS to_col, b."row" AS to_row,
+       count(*) AS n
+FROM feeds JOIN spots a ON a.id = source JOIN spots b ON b.id = target GROUP BY ALL"""))
+def resolved_edges(spark, sf_dir):
+    """Edges of the merged listing: both ends have a place there."""
+    placed = listing.placed_edges(pj.feeds(spark, sf_dir), _group_listing(spark, sf_dir))
+    return placed.groupBy("source", "target", "from_col", "from_row", "to_col", "to_row").agg(
+        F.count(F.lit(1)).alias("n")
     )
 
 

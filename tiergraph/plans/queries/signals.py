@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tiergraph.functions import display, labels
+from tiergraph.functions import fixed_values as fixed
 from tiergraph.functions import text as tx
 from tiergraph.operators import graph, signals
 from tiergraph.plans import projections as pj
@@ -18,12 +19,14 @@ RULES = (
     ("german", r"der [^.;]{0,20}(und|von)\b"),
     ("source", r"src1[0-9]?\b"),
     ("seam", r"\.\s{0,3}src[0-9]{1,2} [a-z]"),
+    ("far", r"src1[0-9]? [^0-9]{0,90}src2[0-9]? "),
+    ("across", r"src1 [\s\S]*src2 [\s\S]*src3 "),
 )
 
 
-def _rule_list(text: str) -> str:
+def _rule_list(text: str, rules=RULES) -> str:
     hits = ", ".join(
-        f"CASE WHEN bool_or(regexp_matches({text}, '(?i){p}')) THEN '{k}' END" for k, p in RULES
+        f"CASE WHEN bool_or(regexp_matches({text}, '(?i){p}')) THEN '{k}' END" for k, p in rules
     )
     return f"array_to_string(list_filter([{hits}], lambda x: x IS NOT NULL), ',')"
 
@@ -82,6 +85,37 @@ def node_badges(spark, sf_dir):
     return found.select("company", F.array_join("badges", ",").alias("badges"))
 
 
+# Halves of the built-in phrases; which ones follow each other depends on an order's lines.
+SAID = ("sold", "demand will", "long-term", "raising the", "new", "multi-year", "capacity", "we",
+        "increased our", "supply is", "broke", "")
+NOTED = ("out", "exceed supply", "agreement", "guidance", "fab", "commitment", "expansion", "full-year",
+         "tight", "ground", "; noted")
+
+
+@query(f"""
+WITH said AS (
+  SELECT l_orderkey, {", ".join(c for c in pj.LINE_ORDER if c != "l_orderkey")},
+         {pj.sql_list(SAID)}[CAST(l_quantity AS BIGINT) % {len(SAID)} + 1] || ' '
+           || {pj.sql_list(NOTED)}[l_suppkey % {len(NOTED)} + 1] AS t FROM lineitem),
+whole AS (
+  SELECT l_orderkey AS "order", string_agg(t, ' ' ORDER BY {", ".join(pj.LINE_ORDER)}) AS t
+  FROM said GROUP BY 1)
+SELECT "order", {_rule_list('t', fixed.BADGE_RULES)} AS badges FROM whole GROUP BY "order" """)
+def order_badges(spark, sf_dir):
+    """The built-in badges of every order, read as one text over its lines."""
+    pick = lambda words, n: F.element_at(F.array(*map(F.lit, words)), (n % len(words) + 1).cast("int"))
+    said = pj.table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("company"),
+        pick(SAID, F.col("l_quantity").cast("bigint")).alias("signal"),
+        pick(NOTED, F.col("l_suppkey")).alias("figure"),
+        pj.line_order().alias("ord"),
+    )
+    named = said.withColumn("company", F.col("company").cast("string"))
+    return signals.node_badges(named).select(
+        F.col("company").cast("bigint").alias("order"), F.array_join("badges", ",").alias("badges")
+    )
+
+
 @query(with_ctes(SIGNALS, """
 SELECT company, strftime(max(day), '%Y-%m-%d') AS last_data FROM dated GROUP BY company"""))
 def last_data(spark, sf_dir):
