@@ -1,11 +1,13 @@
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import samples
 from tiergraph.functions import text as tx
-from tiergraph.sources import documents, schemas, sinks, tables
+from tiergraph.sources import documents, publication, schemas, sinks, tables
 
 
 def rows(df):
@@ -103,7 +105,24 @@ def test_history_appends(spark, tmp_path):
     assert [r.note for r in tables.load_history(spark, path).collect()] == ["first", "second"]
 
 
-def test_published_views_replace(spark, tmp_path):
-    for n in (3, 2):
-        sinks.publish_views({"v": spark.range(n)}, str(tmp_path / "views"))
-    assert spark.read.parquet(str(tmp_path / "views" / "v")).count() == 2
+def test_runs_are_published_whole_or_not_at_all(spark, tmp_path):
+    path = str(tmp_path / "views")
+    read = lambda name, run=None: publication.published(spark, path, name, run).count()
+    with pytest.raises(ValueError):
+        read("v")
+    assert sinks.publish_views({"v": spark.range(3), "w": spark.range(1)}, path, "one")
+    broken = spark.range(5).select(F.raise_error(F.lit("lost")).alias("x"))
+    with pytest.raises(Exception, match="lost"):
+        sinks.publish_views({"v": spark.range(7), "w": broken}, path, "two")
+    assert read("v") == 3 and read("w") == 1
+    assert sinks.publish_views({"v": spark.range(8), "w": spark.range(2)}, path, "two")
+    assert read("v") == 8 and read("v", "one") == 3
+    assert not sinks.publish_views({"v": spark.range(99)}, path, "one") and read("v", "one") == 3
+    assert [r.run_id for r in publication.manifest(spark, path).orderBy("number").collect()] == ["one", "two"]
+
+
+def test_history_takes_a_row_once(spark, tmp_path):
+    path = str(tmp_path / "history")
+    for _ in range(2):
+        sinks.append_history(spark, path, "2026-06-09 22:20", "first")
+    assert tables.load_history(spark, path).count() == 1

@@ -10,7 +10,7 @@ from tiergraph.operators import calls as call_ops
 from tiergraph.operators import eventstudy as es
 from tiergraph.operators import merge
 from tiergraph.plans import jobs
-from tiergraph.sources import sinks
+from tiergraph.sources import publication, sinks
 
 DAY = datetime.date
 
@@ -156,9 +156,10 @@ def test_windows_cross_the_blocks_of_closes(spark):
 
 
 def test_study_is_written_whole(spark, study, tmp_path):
-    sinks.write_study(study, str(tmp_path))
-    for name in ("events", "universe", "stats", "excluded", "members"):
-        assert spark.read.parquet(str(tmp_path / name)).count() == getattr(study, name).count()
+    path = str(tmp_path)
+    assert sinks.write_study(study, path, "r1") and not sinks.write_study(study, path, "r1")
+    for name in sinks.STUDY_TABLES:
+        assert publication.published(spark, path, name).count() == getattr(study, name).count()
 
 
 def test_call_universe(spark):

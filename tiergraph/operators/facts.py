@@ -53,18 +53,19 @@ def merge_facts(
     """Stream sorted sentences and emit the facts of each component when it ends."""
     group, facts = None, _Facts(similarity)
 
-    def flush() -> pd.DataFrame:
-        rows = [{"company": group[0], "year": group[1], **item} for item in facts.kept]
-        return pd.DataFrame(rows, columns=list(columns))
+    def finished() -> list[dict]:
+        return [{"company": group[0], "year": group[1], **item} for item in facts.kept]
 
     for batch in batches:
+        done: list[dict] = []
         for row in batch.itertuples(index=False):
             key = (row.company, row.year, row.component)
             if key != group:
                 if group is not None:
-                    yield flush()
+                    done += finished()
                 group, facts = key, _Facts(similarity)
             item = {"when": row.when, "text": row.text, "units": row.units, "place": row.place}
             facts.add(item, frozenset(row.tokens))
+        yield pd.DataFrame(done, columns=list(columns))
     if group is not None:
-        yield flush()
+        yield pd.DataFrame(finished(), columns=list(columns))

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from functools import reduce
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -54,29 +53,35 @@ def node_badges(signals: DataFrame, rules: Rules = fixed.BADGE_RULES) -> DataFra
     for pattern in patterns:
         Automaton(pattern)  # refuses what cannot be read in pieces
 
-    def of_ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        machines = [Automaton(p) for p in patterns]
+    def folded(batches: Iterator[pd.DataFrame], read: Callable) -> Iterator[pd.DataFrame]:
+        """Compose the summaries of neighbouring rows of one company, in the order they come."""
         company, first, so_far = None, 0, None
         for batch in batches:
             out = []
-            for name, at, text in zip(batch["company"], batch["at"], batch["text"]):
-                here = [m.summary(text) for m in machines]
+            for name, at, value in zip(*(batch[c] for c in batch.columns)):
+                here = read(value)
                 if so_far is not None and name == company:
                     so_far = [a.then(b) for a, b in zip(so_far, here)]
                     continue
                 if so_far is not None:
-                    out.append((company, first, [s.dump() for s in so_far]))
+                    out.append((company, first, so_far))
                 company, first, so_far = name, at, here
-            yield pd.DataFrame(out, columns=["company", "at", "parts"])
+            yield out
         if so_far is not None:
-            yield pd.DataFrame([(company, first, [s.dump() for s in so_far])], columns=["company", "at", "parts"])
+            yield [(company, first, so_far)]
 
-    def of_company(parts: pd.DataFrame) -> pd.DataFrame:
-        rows = [[Summary.load(x) for x in p] for p in parts.sort_values("at")["parts"]]
-        whole = [reduce(Summary.then, column) for column in zip(*rows)]
-        found = [key for (key, _), s in zip(rules, whole) if s.tail_found]
-        return pd.DataFrame([(parts["company"].iloc[0], found)], columns=["company", "badges"])
+    def of_ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        machines = [Automaton(p) for p in patterns]
+        for rows in folded(batches, lambda text: [m.summary(text) for m in machines]):
+            parts = [(name, at, [s.dump() for s in sums]) for name, at, sums in rows]
+            yield pd.DataFrame(parts, columns=["company", "at", "parts"])
 
+    def of_companies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in folded(batches, lambda parts: [Summary.load(p) for p in parts]):
+            found = [(name, [key for key, s in zip(keys, sums) if s.tail_found]) for name, _, sums in rows]
+            yield pd.DataFrame(found, columns=["company", "badges"])
+
+    keys = [key for key, _ in rules]
     ranges = (
         signals.select("company", "ord", _spoken().alias("text"))
         .repartitionByRange("company", "ord")
@@ -85,7 +90,11 @@ def node_badges(signals: DataFrame, rules: Rules = fixed.BADGE_RULES) -> DataFra
         .mapInPandas(of_ranges, "company string, at long, parts array<string>")
     )
     # One row a company and range.
-    return ranges.groupBy("company").applyInPandas(of_company, "company string, badges array<string>")
+    return (
+        ranges.repartition("company")
+        .sortWithinPartitions("company", "at")
+        .mapInPandas(of_companies, "company string, badges array<string>")
+    )
 
 
 def last_data(signals: DataFrame) -> DataFrame:

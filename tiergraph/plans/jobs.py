@@ -97,14 +97,14 @@ def event_study(
     windows: Sequence[int] = fixed.WINDOWS,
 ) -> es.Study:
     """Abnormal returns after calls, by group, against benchmarks and the universe."""
-    # All result tables are projections of the calls with the closes they need, so those
-    # are kept: one row a call.
+    # All result tables come from the calls with the closes they need (one row a call) and
+    # from the values laid out of them, which the statistics read several times.
     calendar = cut(es.trading_calendar(prices))
     closes = es.indexed_prices(prices, calendar)
     placed = es.placed_calls(es.assign_group(calls, flagged), prices, calendar)
     quoted = cut(es.quoted_calls(placed, closes, benchmarks, windows))
     returns = es.call_returns(quoted, windows)
-    values = es.abnormal_returns(quoted, windows)
+    values = cut(es.abnormal_returns(quoted, windows))
     events = es.wide_events(quoted, values, benchmarks, windows)
     copies = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
     values = values.withColumn("copy", copies).drop("copies")

@@ -8,6 +8,7 @@ from tiergraph.plans.queries import (  # noqa: F401
     documents,
     graph,
     market,
+    publication,
     quality,
     signals,
     study,

@@ -98,9 +98,13 @@ def chain_index(chains: DataFrame) -> DataFrame:
 
 
 def read_timelines(spark: SparkSession, path: str) -> DataFrame:
-    """Timeline documents with their file stem as ``id``."""
+    """Timeline documents with their file stem as ``id``.
+
+    Documents that Spark wrote by ``id`` carry it in the name of their folder.
+    """
+    folder = F.regexp_extract("path", r"/id=([^/]*)/", 1)
     return _json_documents(spark, path, schemas.TIMELINE).withColumn(
-        "id", file_stem(F.col("path"))
+        "id", F.when(folder != "", F.url_decode(folder)).otherwise(file_stem(F.col("path")))
     )
 
 
