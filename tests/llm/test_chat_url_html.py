@@ -163,6 +163,22 @@ def test_branches_that_a_site_repeats_are_removed(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+def test_copies_of_a_page_keep_their_text(spark):
+    def page(i):
+        return f"<div class='menu0'><p>All pages say this</p></div><div class='c'><p>Own text {i}</p></div>"
+
+    other = "<div class='k'><h2>Other form</h2><p>Its only text</p></div>"
+    for copies in (1, 8, 100):
+        rows = [(i, f"http://h.org/{i}", page(i)) for i in range(12)]
+        rows += [(100 + i, f"http://h.org/o{i}", other) for i in range(copies)]
+        # Two forms of pages on one site, each with a part of its own that all its pages share.
+        rows += [(300 + i, f"http://h.org/t{i}", f"<div class='s'><b>Shared</b></div><div class='t'><i>Text {i}</i></div>") for i in range(10)]
+        pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+        got = {r["id"]: r["blocks"] for r in html_extract.extract(pages).collect()}
+        assert all(got[100 + i] == ["Other form", "Its only text"] for i in range(copies))
+        assert got[3] == ["Own text 3"] and got[305] == ["Text 5"]
+
+
 def test_importance_is_low_where_pages_agree(spark):
     rows = [(i, f"http://h.org/{i}", f"<div class='a'><p>same</p></div><div class='b'><p>own {i}</p></div>") for i in range(9)]
     shape = html_extract.T.StructType([

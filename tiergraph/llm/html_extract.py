@@ -343,6 +343,18 @@ def branch_importance(pages: DataFrame) -> DataFrame:
     )
 
 
+def _distinct_pages(parsed_pages: DataFrame) -> DataFrame:
+    """One page of each group of copies on a site; only the numbers of copies are shuffled."""
+    copied = stored(
+        parsed_pages.groupBy("host", "same")
+        .agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("c"))
+        .where("c > 1")
+        .drop("c")
+    )
+    met = parsed_pages.join(copied, ["host", "same"], "left")
+    return met.where(F.coalesce("first", "row") == F.col("row")).drop("first")
+
+
 def extract(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
 ) -> DataFrame:
@@ -355,6 +367,9 @@ def extract(
     it as well. Branches of low importance on a site of at least ``LEAST_PAGES`` pages,
     whose content as a whole differs from page to page, are removed from each page.
 
+    Copies of a page count once in its site's tree, so a page that was fetched many times
+    is not mistaken for what all pages share.
+
     A null html has no blocks; pages without a host form one site. Ids may be null or
     repeated. Other columns are not read. An empty table gives an empty result.
     """
@@ -366,8 +381,14 @@ def extract(
         T.StructField("nodes", NODES),
     ])
     site = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[^:/?#]+:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    parsed_pages = stored(rows.mapInArrow(_parse, shape).withColumn("host", site))
-    branches = stored(branch_importance(parsed_pages))
+    # Equal pages have equal blocks and nodes, so those tell copies of a page.
+    parsed_pages = stored(
+        rows.mapInArrow(_parse, shape)
+        .withColumn("host", site)
+        .withColumn("same", F.xxhash64("blocks", "nodes"))
+        .withColumn("row", F.monotonically_increasing_id())
+    )
+    branches = stored(branch_importance(_distinct_pages(parsed_pages)))
     whole = branches.groupBy("host").agg(F.max("content").alias("whole"))
     low = stored(
         branches.where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE))
@@ -379,6 +400,6 @@ def extract(
         "blocks",
         lambda b: ~F.arrays_overlap(b["branch"], F.coalesce("low", F.array().cast("array<bigint>"))),
     )
-    return parsed_pages.drop("nodes").join(low, "host", "left").select(
+    return parsed_pages.drop("nodes", "same", "row").join(low, "host", "left").select(
         "id", "url", F.transform(kept, lambda b: b["text"]).alias("blocks")
     )
