@@ -9,6 +9,7 @@ from tiergraph.functions import fixed_values as fixed
 from tiergraph.functions.display import contract_summary
 from tiergraph.functions.market import node_size
 from tiergraph.operators import flatten, graph, listing, reach, screener, transitions
+from tiergraph.operators.ordering import positions
 from tiergraph.plans import jobs
 from tiergraph.plans import projections as pj
 from tiergraph.plans.projections import (
@@ -47,6 +48,12 @@ def flat_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.memberships(pj.players(spark, sf_dir))
 
 
+def in_order(rows: DataFrame) -> DataFrame:
+    """Sorted rows with their position, so that the check sees their order."""
+    placed = rows.withColumn("_at", F.monotonically_increasing_id())
+    return positions(placed, [], [F.col("_at")]).drop("_at")
+
+
 # --- merge ---------------------------------------------------------------------------
 
 
@@ -121,10 +128,10 @@ def degree(spark, sf_dir):
 
 
 @query(with_ctes(PLAYERS, MEMBERS, """
-SELECT id, count(*) AS n_chains FROM members WHERE facet = 'chain' GROUP BY id
-HAVING count(*) >= 20"""))
+SELECT id, count(*) AS n_chains, row_number() OVER (ORDER BY count(*) DESC, min(ord)) - 1 AS position
+FROM members WHERE facet = 'chain' GROUP BY id HAVING count(*) >= 20"""))
 def hubs(spark, sf_dir):
-    return graph.hubs(flat_members(spark, sf_dir), 20).select("id", "n_chains")
+    return in_order(graph.hubs(flat_members(spark, sf_dir), 20).select("id", "n_chains"))
 
 
 @query(with_ctes(EDGES, """
@@ -331,12 +338,13 @@ def visible_nodes(spark, sf_dir):
     return graph.visible_nodes(nodes, customer_members(spark, sf_dir), CHAINS, LAYERS, DOMAINS)
 
 
-@query(with_ctes(pj.SCREENER, CUSTOMER_VISIBLE, "SELECT id FROM visible ORDER BY id"))
+@query(with_ctes(pj.SCREENER, CUSTOMER_VISIBLE, """
+SELECT id, row_number() OVER (ORDER BY id) - 1 AS position FROM visible"""))
 def search_names(spark, sf_dir):
     nodes = pj.table(spark, sf_dir, "customer").select(F.col("c_name").alias("id"))
-    return graph.search_names(
+    return in_order(graph.search_names(
         graph.visible_nodes(nodes, customer_members(spark, sf_dir), CHAINS, LAYERS, DOMAINS)
-    )
+    ))
 
 
 LINK_VISIBLE = """seen AS (SELECT id FROM visible UNION SELECT s_name FROM supplier)"""
