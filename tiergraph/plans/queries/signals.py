@@ -191,13 +191,6 @@ def _mention_column():
     return F.element_at(F.array(*shapes), (F.col("event_id") % len(PERIODS) + 1).cast("int"))
 
 
-PERIOD_RE = (
-    r"(?i)\b(Q[1-4]\s*(?:FY\s*)?20\d\d|[12]H\s*20\d\d|H[12]\s*(?:FY\s*)?20\d\d"
-    r"|(?:early|mid|late|end of|exiting|through|by)\s*(?:calendar |CY|fiscal |FY)?\s*20\d\d"
-    r"|CY20\d\d|FY20\d\d|20\d\d)\b"
-)
-
-
 @query(f"""
 WITH said AS (
   SELECT event_id, 'ships ' || replace(replace(replace(
@@ -205,7 +198,7 @@ WITH said AS (
     '{{q}}', CAST(k % 4 + 1 AS VARCHAR)), '{{h}}', CAST(k % 2 + 1 AS VARCHAR)),
     '{{y}}', CAST(k % 9 + 2024 AS VARCHAR)) || ' at scale' AS t
   FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)),
-found AS (SELECT event_id, nullif(regexp_extract(t, '{PERIOD_RE}', 1), '') AS mention FROM said)
+found AS (SELECT event_id, nullif(regexp_extract(t, '{fixed.PERIOD}', 1), '') AS mention FROM said)
 SELECT event_id, mention, CASE WHEN mention IS NULL THEN NULL
   WHEN NOT regexp_matches(mention, '20\\d\\d') THEN 99999
   ELSE CAST(regexp_extract(mention, '20\\d\\d') AS BIGINT) * 10 + CASE
