@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from llm.samples import docs, prose
-from tiergraph.llm import lm_score, quality
+from tiergraph.llm import lm_ranges, lm_score, quality
 
 SF = "/root/testdata/sf0.01"
 
@@ -92,6 +92,42 @@ def test_each_model_has_the_pairs_of_its_own_texts(spark):
         assert np.allclose(sorted((r["target_loss"], r["background_loss"]) for r in got), want, atol=1e-5)
 
 
+@pytest.mark.parametrize("flush, width", [(50, 7), (300, 40), (10**6, 10**6)])
+def test_losses_by_ranges_match_plain_models(spark, monkeypatch, flush, width):
+    monkeypatch.setattr(lm_ranges, "FLUSH", flush)
+    monkeypatch.setattr(lm_ranges, "RANGE", width)
+    r = random.Random(2)
+    words = [f"w{i}" for i in range(40)] + ["É"]
+    make = lambda n: " ".join(r.choice(words[: r.randrange(2, 41)]) for _ in range(n))
+    target = [make(r.randrange(60)) for _ in range(30)] + ["hot hot " * 90]
+    texts = [make(r.randrange(80)) for _ in range(60)] + ["hot " * 2_000, "", None, "unseen w1 unseen"] + ["w1 w2"] * 9
+    source = spark.createDataFrame(
+        [(str(i) if i % 7 else None, t) for i, t in enumerate(texts)], "doc_id string, text string"
+    ).repartition(3)
+    model, rates = lm_score.fit(spark.createDataFrame([(t,) for t in target], "text string"), source)
+    assert model.agg(F.min("n")).first()[0] > 0
+    naive = Naive(target, texts)
+    want = sorted((str(i) if i % 7 else "", naive.loss(t, 0), naive.loss(t, 1)) for i, t in enumerate(texts))
+    for most in (10**6, 60, 0):
+        got = lm_score.score(source, model, rates, broadcast_entries=most).collect()
+        rows = sorted((r["id"] or "", r["target_loss"], r["background_loss"]) for r in got)
+        assert [x[0] for x in rows] == [x[0] for x in want]
+        assert np.allclose([x[1:] for x in rows], [x[1:] for x in want], atol=1e-5)
+
+
+def test_large_vocabularies_are_joined_by_key(spark):
+    target = ["a b", "a b", "b c", "c a", "d", "d d", "once d"]
+    texts = ["b a d c"] * 20 + ["c d a b x a", "a x once b", "", "d b a d c", None]
+    source = docs(spark, list(enumerate(texts)))
+    naive = Naive(target, texts)
+    want = sorted((naive.loss(t, 0), naive.loss(t, 1)) for t in texts)
+    both = spark.createDataFrame([(t,) for t in target], "text string"), source
+    for most in (0, 10**6):
+        model, rates = lm_score.fit(*both, vocabulary=most)
+        got = lm_score.score(source, model, rates).collect()
+        assert np.allclose(sorted((r["target_loss"], r["background_loss"]) for r in got), want, atol=1e-5)
+
+
 def test_scoring_with_empty_sides(spark):
     none = spark.createDataFrame([], "text string")
     model, rates = lm_score.fit(none, docs(spark, [(1, "a b"), (2, None)]))

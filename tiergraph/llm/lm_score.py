@@ -10,52 +10,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tiergraph.llm import lm_ranges
 from tiergraph.llm.common import slices, stored, text_bytes
-from tiergraph.llm.shingles import U64, mix, word_hashes
+from tiergraph.llm.lm_words import BEGIN, DISCOUNT, SLICE, pair_key, sequences, word_key
+from tiergraph.llm.shingles import U64
 
-#: Hashes that stand for the begin and the end of a text.
-BEGIN, END = U64(0x5A17_0F3C_9E4B_21D7), U64(0xC3D2_E1F0_0FED_CBA9)
-_FIRST, _SECOND, _WORD = U64(0x9FB21C651E98DF25), U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F)
-#: Absolute discount of the pair counts.
-DISCOUNT = 0.5
 #: log2 of the bits of the filter of model keys: 8 MB at any input size.
 KEY_BITS = 26
-#: Bytes of text that are put into arrays at once.
-SLICE = 1 << 20
 #: Counts are merged within a task up to this many, then handed on.
 MERGE = 1_000_000
-#: Entries of a model that is broadcast (16 bytes each); larger ones are joined by key.
-BROADCAST_ENTRIES = 4_000_000
-
-
-def word_key(word: np.ndarray) -> np.ndarray:
-    return mix(word * _WORD)
-
-
-def pair_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix(before * _FIRST + word * _SECOND)
-
-
-def sequences(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, word before, word) of every word and of the end of every text.
-
-    Words are runs of other than ASCII white space, A-Z lower-cased.
-    """
-    lowered = [(t or b"").lower() for t in texts]
-    joined = np.frombuffer(b" ".join(lowered), np.uint8)
-    offsets = np.cumsum([0] + [len(t) + 1 for t in lowered])
-    starts, hashes = word_hashes(joined)
-    ends = np.searchsorted(starts, offsets)
-    n = np.diff(ends)
-    doc = np.repeat(np.arange(len(texts)), n + 1)
-    last = np.cumsum(n + 1) - 1
-    word = np.full(len(doc), END)
-    inner = np.ones(len(doc), bool)
-    inner[last] = False
-    word[inner] = hashes
-    before = np.concatenate([[BEGIN], word[:-1]])
-    before[last - n] = BEGIN
-    return doc, before, word
+#: Pairs that are broadcast (16 bytes each): a whole model, or the most frequent of a larger one.
+BROADCAST_ENTRIES = 1_000_000
+#: Words of a vocabulary that is numbered and broadcast (32 bytes each); more are joined by key.
+VOCABULARY = 2_000_000
 
 
 def _count(rows: DataFrame, wanted=None) -> DataFrame:
@@ -122,8 +89,14 @@ def _key_bits(model: DataFrame):
     return model.sparkSession.sparkContext.broadcast(bits.ravel())
 
 
-def fit(target: DataFrame, background: DataFrame, text_col: str = "text", least: int = 2):
-    """The shared model table: ``key``, ``target``, ``background``, and the rate of unknown words.
+def fit(
+    target: DataFrame,
+    background: DataFrame,
+    text_col: str = "text",
+    least: int = 2,
+    vocabulary: int = VOCABULARY,
+) -> tuple[DataFrame, dict]:
+    """The shared model: a table of n-grams, and the rates that ``score`` needs beside it.
 
     The vocabulary is the words that all target texts together have at least ``least``
     times; both models use it, and every other word is one unknown word to both. Each
@@ -133,10 +106,22 @@ def fit(target: DataFrame, background: DataFrame, text_col: str = "text", least:
     and of the weight it leaves to later words, a pair of either model corrects both. So
     a text's loss is the sum of the values of its n-grams, and the table may be joined in
     any parts. All texts are counted; the table grows with both corpora.
+
+    A vocabulary of at most ``vocabulary`` words is numbered and the table holds ranges of
+    pairs (``lm_ranges``); of a larger one, it holds a row for each n-gram. Both give the
+    same losses.
     """
     sides = [f.select(F.col(text_col).alias("text")) for f in (target, background)]
-    names = ("ct", "cb")
     listed = stored(_count(sides[0]).where(f"c >= {least}").select("key"))
+    if listed.count() <= vocabulary:
+        keys = listed.toArrow()["key"].to_numpy().view(U64)
+        return lm_ranges.fit(sides, np.sort(keys))
+    return _fit_by_key(sides, listed, least)
+
+
+def _fit_by_key(sides: list[DataFrame], listed: DataFrame, least: int) -> tuple[DataFrame, dict]:
+    """``key``, ``ct``, ``cb`` of every n-gram of both models, and the rates of unknown words."""
+    names = ("ct", "cb")
     bits = _key_bits(listed)
     counts = [
         _count(f, bits).select(
@@ -165,7 +150,7 @@ def fit(target: DataFrame, background: DataFrame, text_col: str = "text", least:
         *(F.sum(F.greatest(F.col(c) - DISCOUNT, F.lit(0.0))).alias(f"u{c}") for c in names)
     )
     contexts = words.select(F.col("word").alias("before"), *(F.col(c).alias(f"n{c}") for c in names))
-    begins = [_texts(f) for f in (target, background)]
+    begins = [f.count() for f in sides]
     edge = pairs.sparkSession.range(1).select(
         F.lit(int(BEGIN.view(np.int64))).alias("before"),
         *(F.lit(n).alias(f"n{c}") for c, n in zip(names, begins)),
@@ -197,10 +182,6 @@ def fit(target: DataFrame, background: DataFrame, text_col: str = "text", least:
     }
 
 
-def _texts(texts: DataFrame) -> int:
-    return texts.count()
-
-
 def _tokens(rows: DataFrame) -> int:
     """Words and ends of all texts."""
 
@@ -214,7 +195,7 @@ def _tokens(rows: DataFrame) -> int:
 def score(
     docs: DataFrame,
     model: DataFrame,
-    rates: dict[str, list[float]],
+    rates: dict,
     id_col: str = "doc_id",
     text_col: str = "text",
     broadcast_entries: int = BROADCAST_ENTRIES,
@@ -222,9 +203,9 @@ def score(
     """``id``, ``n_tokens``, ``target_loss``, ``background_loss``, ``difference`` of each row.
 
     Losses are nats a token (the end of a text counts as one); a lower difference means
-    closer to the target. A model of at most ``broadcast_entries`` entries is broadcast;
-    a larger one is joined with the n-grams of the documents by key, summed by row.
-    Both ways give the same sums.
+    closer to the target. A model of at most ``broadcast_entries`` pairs is broadcast; of a
+    larger one, its most frequent pairs, at most as many, are, and texts send their other
+    pairs to the ranges of the model. All ways give the same sums.
 
     A null text counts as empty, which is scored by its end alone. Ids may be null or
     repeated: every row is scored. Other columns are not read. An empty target leaves
@@ -234,8 +215,8 @@ def score(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"),
         F.col(text_col).alias("text"),
     )
-    if model.count() <= broadcast_entries:
-        sums = _by_broadcast(rows, model)
+    if "keys" in rates:
+        sums = lm_ranges.sums(rows, model, rates, _shape(rows), broadcast_entries)
     else:
         sums = _by_join(rows, model)
     losses = [
@@ -255,36 +236,6 @@ def _shape(rows: DataFrame) -> T.StructType:
     ])
 
 
-def _by_broadcast(rows: DataFrame, model: DataFrame) -> DataFrame:
-    table = model.toArrow().combine_chunks()
-    keys = table["key"].to_numpy().view(U64)
-    order = np.argsort(keys)
-    values = np.stack([table[c].to_numpy() for c in ("ct", "cb")], axis=1)[order]
-    held = rows.sparkSession.sparkContext.broadcast((keys[order], values))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, values = held.value
-        for batch in batches:
-            for part in slices(batch, "text", SLICE):
-                doc, before, word = sequences(text_bytes(part["text"]))
-                sums = np.zeros((part.num_rows, 2))
-                for grams in (word_key(word), pair_key(before, word)):
-                    distinct, back = np.unique(grams, return_inverse=True)
-                    at = np.searchsorted(keys, distinct)
-                    at[at == len(keys)] = 0
-                    found = keys[at] == distinct if len(keys) else np.zeros(len(distinct), bool)
-                    worth = np.zeros((len(distinct), 2))
-                    worth[found] = values[at[found]]
-                    for k in range(2):
-                        sums[:, k] += np.bincount(doc, worth[back, k], part.num_rows)
-                yield pa.RecordBatch.from_pydict({
-                    "id": part["id"], "n": pa.array(np.bincount(doc, minlength=part.num_rows)),
-                    "ct": pa.array(sums[:, 0]), "cb": pa.array(sums[:, 1]),
-                })
-
-    return rows.mapInArrow(scan, _shape(rows))
-
-
 def _by_join(rows: DataFrame, model: DataFrame) -> DataFrame:
     """The n-grams of each row meet the table by key; the end mark carries each row's length."""
     wanted = _key_bits(model)
