@@ -32,6 +32,8 @@ REFINEMENTS = 2
 BITMAP = 2_048
 #: Sets and tokens (8 bytes each) of one prefix tree; more are compared block by block.
 BLOCK, BLOCK_TOKENS = 4_000, 4_000_000
+#: Bytes of compressed texts that are made sets at once.
+UNPACK = 1 << 20
 FREQUENT = U64(1 << 63)
 
 
@@ -251,57 +253,68 @@ def _sketches(frequent, size: int):
     return scan
 
 
-def _sets(frequent, size: int):
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one: a third of what their sets take."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            texts = [t or b"" for t in text_bytes(part.column("text"))]
+            yield pa.RecordBatch.from_pydict({
+                "rep": part.column("rep"), "size": pa.array([len(t) for t in texts], pa.int64()),
+                "packed": pa.array([pa.compress(t, "zstd", asbytes=True) for t in texts], pa.binary()),
+            })
+
+
+def _link(frequent, shingle_words: int):
+    """Rows in order of ``cell``: a prefix tree for each cell, its groups as links."""
+
+    def unpacked(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for part in slices(batch, "packed", UNPACK):
+            texts = [
+                pa.decompress(t, n, "zstd", asbytes=True) if n else b""
+                for t, n in zip(part["packed"].to_pylist(), part["size"].to_pylist())
+            ]
+            for s in shingle_sets(texts, shingle_words):
+                yield ordered(s, frequent.value)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def finish() -> pa.RecordBatch:
+            least: dict[int, object] = {}
+            for i, name in enumerate(reps):
+                r = tree.root(i)
+                least[r] = min(least.get(r, name), name)
+            pairs = [(name, least[tree.root(i)]) for i, name in enumerate(reps)]
+            pairs = list({p for p in pairs if p[0] != p[1]})
+            return pa.RecordBatch.from_pydict({
+                "a": pa.array([p[0] for p in pairs], kind), "b": pa.array([p[1] for p in pairs], kind),
+            })
+
+        cell, tree, reps, labels, kind = None, None, [], {}, None
         for batch in batches:
-            for part in slices(batch, "text"):
-                sets = shingle_sets(text_bytes(part.column("text")), size)
-                yield pa.RecordBatch.from_pydict({
-                    "rep": part.column("rep"),
-                    "set": pa.array([ordered(s, frequent.value).tobytes() for s in sets], pa.binary()),
-                })
+            kind = batch.schema.field("rep").type
+            names = (batch[c].to_pylist() for c in ("cell", "rep", "label"))
+            for key, rep, label, tokens in zip(*names, unpacked(batch)):
+                if key != cell:
+                    if cell is not None:
+                        yield finish()
+                    cell, tree, reps, labels = key, PrefixTree(), [], {}
+                at = tree.add(tokens, labels.setdefault(label, len(reps)))
+                if labels.setdefault(rep, at) != at:
+                    tree.unite(labels[rep], at)
+                reps.append(rep)
+        if cell is not None:
+            yield finish()
 
     return scan
 
 
-def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of ``cell``: a prefix tree for each cell, its groups as links."""
-
-    def finish() -> pa.RecordBatch:
-        least: dict[int, object] = {}
-        for i, name in enumerate(reps):
-            r = tree.root(i)
-            least[r] = min(least.get(r, name), name)
-        pairs = [(name, least[tree.root(i)]) for i, name in enumerate(reps)]
-        pairs = list({p for p in pairs if p[0] != p[1]})
-        return pa.RecordBatch.from_pydict({
-            "a": pa.array([p[0] for p in pairs], kind), "b": pa.array([p[1] for p in pairs], kind),
-        })
-
-    cell, tree, reps, labels, kind = None, None, [], {}, None
-    for batch in batches:
-        kind = batch.schema.field("rep").type
-        for key, rep, label, packed in zip(*(batch[c].to_pylist() for c in ("cell", "rep", "label", "set"))):
-            if key != cell:
-                if cell is not None:
-                    yield finish()
-                cell, tree, reps, labels = key, PrefixTree(), [], {}
-            at = tree.add(np.frombuffer(packed, U64), labels.setdefault(label, len(reps)))
-            if labels.setdefault(rep, at) != at:
-                tree.unite(labels[rep], at)
-            reps.append(rep)
-    if cell is not None:
-        yield finish()
-
-
-def _links(cells: DataFrame, sets: DataFrame) -> DataFrame:
+def _links(cells: DataFrame, texts: DataFrame, frequent, size: int) -> DataFrame:
     """Links inside cells (``cell``, ``rep``, ``label``), a spanning tree of each group."""
-    kind = sets.schema["rep"].dataType
+    kind = texts.schema["rep"].dataType
     return (
-        cells.join(sets, "rep")
+        cells.join(texts, "rep")
         .repartition("cell")
         .sortWithinPartitions("cell", "label", "rep")
-        .mapInArrow(_link, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+        .mapInArrow(_link(frequent, size), T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
     )
 
 
@@ -337,14 +350,16 @@ def near_groups(
         T.StructField("tokens", T.ArrayType(T.LongType())),
     ])))
     named = sketches.where("n > 0 AND id IS NOT NULL")
-    classes = stored(named.groupBy("mark").agg(F.min("id").alias("rep")))
-    tokens = (
-        named.join(classes, "mark")
-        .where(F.col("id") == F.col("rep"))
-        .dropDuplicates(["rep", "mark"])
-        .select("rep", F.expr(f"least({SHARED}, ceil(0.8 * n))").alias("need"), F.explode("tokens").alias("token"))
+    # One row of each set goes on; signatures move once, with the choice of that row.
+    kept = stored(
+        named.groupBy("mark").agg(F.min(F.struct("id", "n", "tokens")).alias("k"))
+        .select("mark", F.col("k.id").alias("rep"), "k.n", "k.tokens")
+    )
+    classes = kept.select("mark", "rep")
+    tokens = kept.select(
+        "rep", F.expr(f"least({SHARED}, ceil(0.8 * n))").alias("need"), F.explode("tokens").alias("token")
     )
-    links = _join(rows, stored(tokens), frequent, shingle_words)
+    links = _join(rows, stored(tokens), kept.select("rep", "n"), frequent, shingle_words)
     roots = components(links)
     known = named.join(classes, "mark").select("id", "n", "rep")
     linked = (
@@ -357,7 +372,7 @@ def near_groups(
     return linked.unionByName(alone)
 
 
-def _join(rows: DataFrame, tokens: DataFrame, frequent, size: int) -> DataFrame:
+def _join(rows: DataFrame, tokens: DataFrame, counts: DataFrame, frequent, size: int) -> DataFrame:
     met = tokens
     for _ in range(REFINEMENTS):
         # A token that one set has, and then a set with too few tokens left, cannot link.
@@ -394,20 +409,20 @@ def _join(rows: DataFrame, tokens: DataFrame, frequent, size: int) -> DataFrame:
     )
     met = stored(met.join(cell_tokens, "token"))
     needed = stored(met.select("rep").distinct())
-    texts = (
-        maybe_in(rows, needed, {"rep": F.col("id")}, "_maybe").where("_maybe").drop("_maybe")
-        .withColumnRenamed("id", "rep")
-        .join(needed, "rep", "left_semi")
-    )
+    # Some other texts may pass; the join with the cells leaves them behind.
     kind = rows.schema["id"].dataType
-    sets = stored(texts.mapInArrow(_sets(frequent, size), T.StructType([
-        T.StructField("rep", kind), T.StructField("set", T.BinaryType()),
-    ])))
+    texts = stored(
+        maybe_in(rows, needed, {"rep": F.col("id")}, "_maybe").where("_maybe")
+        .select(F.col("id").alias("rep"), "text")
+        .mapInArrow(_packed, T.StructType([
+            T.StructField("rep", kind), T.StructField("size", T.LongType()), T.StructField("packed", T.BinaryType()),
+        ]))
+    )
 
     # Sets that tokens connect, directly or not, are compared in one cell if it is small.
     reach = components(met.select(F.col("rep").alias("a"), F.col("first").alias("b")))
-    sizes = reach.join(sets, F.col("node") == F.col("rep")).groupBy("component").agg(
-        F.count(F.lit(1)).alias("c"), F.sum(F.octet_length("set") / 8).alias("tokens")
+    sizes = reach.join(counts, F.col("node") == F.col("rep")).groupBy("component").agg(
+        F.count(F.lit(1)).alias("c"), F.sum("n").alias("tokens")
     )
     wide = stored(sizes.where(f"c > {BLOCK} OR tokens > {BLOCK_TOKENS}").select("component"))
     cells = reach.join(wide, "component", "left_anti").select(
@@ -415,15 +430,15 @@ def _join(rows: DataFrame, tokens: DataFrame, frequent, size: int) -> DataFrame:
         F.col("node").alias("rep"),
         F.col("node").alias("label"),
     )
-    near = stored(_links(cells, sets))
+    near = stored(_links(cells, texts, frequent, size))
     if wide.isEmpty():
         return near
     members = reach.join(wide, "component", "left_semi").select(F.col("node").alias("rep"))
     met = stored(met.join(members, "rep", "left_semi"))
-    return near.unionByName(_join_wide(met, sets))
+    return near.unionByName(_join_wide(met, texts, frequent, size))
 
 
-def _join_wide(met: DataFrame, sets: DataFrame) -> DataFrame:
+def _join_wide(met: DataFrame, texts: DataFrame, frequent, size: int) -> DataFrame:
     """Links among sets that too many connected ones surround, token by token.
 
     The first round sends a set to one cell, the one of its commonest token, together
@@ -439,7 +454,7 @@ def _join_wide(met: DataFrame, sets: DataFrame) -> DataFrame:
     placed = home.select("rep", "first", place.alias("cell"))
     pivots = placed.select(F.col("first").alias("rep"), "first", "cell").distinct()
     cells = placed.unionByName(pivots).distinct().select("cell", "rep", F.col("rep").alias("label"))
-    near = stored(_links(cells, sets))
+    near = stored(_links(cells, texts, frequent, size))
     label = near.groupBy(F.col("a").alias("rep")).agg(F.min("b").alias("label"))
     labelled = stored(
         met.join(home.select("rep", place.alias("home")), "rep")
@@ -464,4 +479,4 @@ def _join_wide(met: DataFrame, sets: DataFrame) -> DataFrame:
             "label",
         )
     )
-    return near.unionByName(_links(cells, sets))
+    return near.unionByName(_links(cells, texts, frequent, size))
