@@ -6,6 +6,8 @@ from collections import defaultdict
 import pytest
 
 import compare
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from llm.test_decontaminate_and_pack import expected as contamination
 from llm.test_exact_and_shards import lowered
@@ -63,3 +65,14 @@ def test_stages_pass_on_the_columns_of_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
+
+
+def test_stages_take_columns_of_any_name(spark):
+    names = ["_id", "_full", "_s", "_row", "_bits", "_maybe", "id", "component", "row", "spans", "doc"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    more = docs.select("*", *(F.lit(i).alias(n) for i, n in enumerate(names)))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, more, SF)
+        assert kept.columns == more.columns, name
+        same = stage(spark, docs, SF).select("doc_id").exceptAll(kept.select("doc_id"))
+        assert same.count() == 0 and kept.where("_row <> 3 OR _maybe <> 5").count() == 0, name

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from llm.samples import docs, prose
 from tiergraph.llm import exact_dedup, shard
@@ -48,6 +49,17 @@ def test_drop_keeps_columns_and_rows_of_other_texts(spark):
     assert got[(9, "SAME TEXT")] == 1 and not got[(1, "Same Text")] and not got[(None, "Same text")]
 
 
+def test_other_columns_may_have_any_names(spark):
+    names = ["_id", "_full", "_s", "_ROW", "_bits", "_maybe", "_s_", "flag", "a.b"]
+    shape = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
+                          *(T.StructField(n, T.LongType()) for n in names)])
+    values = list(range(10, 10 + len(names)))
+    source = spark.createDataFrame([(1, "A b", *values), (2, "a B", *values), (3, None, *values)], shape)
+    kept = exact_dedup.drop_exact_copies(source)
+    assert kept.columns == source.columns
+    assert sorted(map(tuple, kept.collect())) == [(2, "a B", *values), (3, None, *values)]
+
+
 def test_empty_tables(spark):
     assert exact_dedup.exact_groups(docs(spark, [])).count() == 0
     assert exact_dedup.drop_exact_copies(docs(spark, [])).count() == 0

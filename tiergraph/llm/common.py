@@ -50,28 +50,41 @@ def _slot(*key: Column) -> Column:
     return F.pmod(F.xxhash64(*key), F.lit(1 << FILTER_BITS))
 
 
+def unused(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names like the wanted ones that ``df`` does not have in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def maybe_in(rows: DataFrame, keys: DataFrame, on: dict[str, Column], flag: str) -> DataFrame:
     """Mark the rows whose key may be among ``keys``; never misses one that is.
 
     ``on`` maps the key columns of ``keys`` to expressions over ``rows``. The keys are
     folded to a bitmap of fixed size, the only thing that is broadcast, so the filter
     needs no shuffle of ``rows``. More keys mean more false marks, never wrong ones:
-    callers follow with an exact join of the marked rows.
+    callers follow with an exact join of the marked rows. Columns of ``rows`` may have
+    any names but ``flag``.
     """
-    marks = keys.select(_slot(*(F.col(k) for k in on)).alias("_s"))
-    bits = marks.groupBy(F.shiftright("_s", ROW_BITS).cast("int").alias("_row")).agg(
-        F.bitmap_construct_agg(F.col("_s").bitwiseAND((1 << ROW_BITS) - 1)).alias("_bits")
+    slot, row, held = unused(rows, "_s", "_row", "_bits")
+    marks = keys.select(_slot(*(F.col(k) for k in on)).alias(slot))
+    bits = marks.groupBy(F.shiftright(slot, ROW_BITS).cast("int").alias(row)).agg(
+        F.bitmap_construct_agg(F.col(slot).bitwiseAND((1 << ROW_BITS) - 1)).alias(held)
     )
-    s = F.col("_s")
-    at = s.bitwiseAND((1 << ROW_BITS) - 1).cast("int")
-    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.shiftright(at, 3) + 1, F.lit(1))), 16, 10)
+    at = F.col(slot).bitwiseAND((1 << ROW_BITS) - 1).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col(held), F.shiftright(at, 3) + 1, F.lit(1))), 16, 10)
     one = F.call_function("shiftright", byte.cast("int"), at.bitwiseAND(7)).bitwiseAND(1)
     return (
-        rows.withColumn("_s", _slot(*on.values()))
-        .withColumn("_row", F.shiftright("_s", ROW_BITS).cast("int"))
-        .join(F.broadcast(bits), "_row", "left")
+        rows.withColumn(slot, _slot(*on.values()))
+        .withColumn(row, F.shiftright(slot, ROW_BITS).cast("int"))
+        .join(F.broadcast(bits), row, "left")
         .withColumn(flag, F.coalesce(one == 1, F.lit(False)))
-        .drop("_s", "_row", "_bits")
+        .drop(slot, row, held)
     )
 
 

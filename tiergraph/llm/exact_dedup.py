@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiergraph.llm.common import ascii_lower, maybe_in, stored
+from tiergraph.llm.common import ascii_lower, maybe_in, stored, unused
 
 
 def exact_groups(
@@ -96,16 +96,14 @@ def without(
     """Rows of ``docs`` that ``gone`` does not name; a null matches a null.
 
     ``on`` and ``also`` map columns of ``gone`` to expressions over ``docs``; those of
-    ``also`` are evaluated only for rows that pass the filter made of ``on``.
+    ``also`` are evaluated only for rows that pass the filter made of ``on``. Columns of
+    ``docs`` may have any names.
     """
-    gone = stored(gone)
-    marked = maybe_in(docs, gone, on, "_maybe")
+    wanted = {**on, **(also or {})}
+    flag, *names = unused(docs, "_maybe", *wanted)
+    gone = stored(gone.select(*(F.col(old).alias(new) for old, new in zip(wanted, names))))
+    marked = maybe_in(docs, gone, dict(zip(names, on.values())), flag)
     same = F.lit(True)
-    for name, value in {**on, **(also or {})}.items():
+    for name, value in zip(names, wanted.values()):
         same = same & value.eqNullSafe(F.col(name))
-    return (
-        marked.where("_maybe")
-        .join(gone, same, "left_anti")
-        .unionByName(marked.where("not _maybe"))
-        .select(*docs.columns)
-    )
+    return marked.where(F.col(flag)).join(gone, same, "left_anti").union(marked.where(~F.col(flag))).drop(flag)
