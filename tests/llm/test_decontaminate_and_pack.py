@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 from llm.samples import docs, prose
@@ -45,11 +46,12 @@ def rows():
     return out
 
 
-def test_hits_match_brute_force_in_one_block_and_in_many(spark):
+def test_hits_match_brute_force_in_one_block_and_in_many(spark, monkeypatch):
     source, bench = docs(spark, rows()), spark.createDataFrame(ITEMS, "item_id long, text string")
     want = Counter((i, *(map(str, expected(t, ITEMS)))) for i, t in rows())
-    for size in (4 << 20, 200):
-        got = decontaminate.contamination(source, bench, block_bytes=size).collect()
+    for size, most, run in ((4 << 20, 16, 1), (200, 1, 1), (200, 16, 32 << 20), (90, 3, 2_000)):
+        monkeypatch.setattr(decontaminate, "RUN_BYTES", run)
+        got = decontaminate.contamination(source, bench, block_bytes=size, blocks_a_pass=most).collect()
         assert Counter((r["id"], str(r["n_words"]), str(r["n_hit"]), str(r["items"])) for r in got) == want
         assert all(r["n_hit"] == sum(b - a for a, b in r["spans"]) for r in got)
 
@@ -83,8 +85,31 @@ def test_blocks_are_read_as_they_are_searched(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "_blocks", blocks)
     monkeypatch.setattr(decontaminate, "stored", noted)
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
-    got = decontaminate.contamination(docs(spark, [(1, "word0 x word3 word2")]), bench).first()
-    assert at_passes == [2, 3, 4] and got["items"] == ["0", "2", "3"] and got["n_hit"] == 3
+    for most, passes in ((1, [2, 3, 4]), (2, [3]), (16, [])):
+        taken.clear(), at_passes.clear()
+        got = decontaminate.contamination(docs(spark, [(1, "word0 x word3 word2")]), bench, blocks_a_pass=most).first()
+        assert at_passes == passes and got["items"] == ["0", "2", "3"] and got["n_hit"] == 3
+
+
+def test_repeated_windows_are_compared_once():
+    hot = ["same"] * 20_000
+    items = [("a", " ".join(hot).encode()), *((f"b{i}", b"same " * 40) for i in range(500))]
+    tables = decontaminate.tables_of(items, 13)
+    assert len(tables) == 1 and len(tables[0].names) == 1
+    start, spans, found = time.process_time(), [], set()
+    tables[0].search([w.encode() for w in hot], spans, found)
+    assert decontaminate.merged(spans) == [(0, 20_000)] and found == {name for name, _ in items}
+    assert time.process_time() - start < 2
+
+
+def test_windows_of_one_hash_are_told_apart():
+    table = decontaminate.WindowTable(2)
+    table.add("a", [b"x", b"y"])
+    (alike,) = table.bucket[(b"x", b"y")].values()
+    alike[0] = (0, [b"x", b"z"], 2)
+    spans, found = [], set()
+    table.search([b"x", b"y"], spans, found)
+    assert not spans and not found
 
 
 def test_drop_keeps_clean_rows_whole(spark):

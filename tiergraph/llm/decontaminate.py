@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,6 +15,9 @@ from tiergraph.llm.common import slices, stored, text_bytes
 #: A word of a text whose A-Z are lower-cased, in UTF-8: digits, a-z and everything beyond ASCII.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
+#: Texts that are searched for one block of items after the other before more are read.
+RUN_BYTES = 32 << 20
+
 SPANS = T.ArrayType(T.StructType([
     T.StructField("start", T.LongType()), T.StructField("end", T.LongType()),
 ]))
@@ -31,48 +33,60 @@ class WindowTable:
     The block is the last two words of the position looked at (one word if the windows
     have but one). ``shift`` says how far the search may jump when it sees a block;
     blocks of no window allow the longest jump. Blocks that end a window have shift 0,
-    and their bucket lists the windows to compare, with the first word as a pre-test.
+    and their bucket lists the windows to compare by a hash of all their words. Equal
+    windows are one entry, whether an item repeats itself or items repeat each other.
     """
 
     def __init__(self, size: int) -> None:
         self.size = size
         self.block = min(2, size)
         self.shift: dict[tuple[bytes, ...], int] = {}
-        self.bucket: dict[tuple[bytes, ...], list[tuple[bytes, int, int]]] = {}
-        self.items: list[tuple[str, list[bytes]]] = []
+        #: Per block and hash: number of the window, the words that hold it and where it ends.
+        self.bucket: dict[tuple[bytes, ...], dict[int, list[tuple[int, list[bytes], int]]]] = {}
+        #: Items of every window, by its number.
+        self.names: list[list[str]] = []
 
     def add(self, name: str, words: list[bytes]) -> None:
-        at, size, block = len(self.items), self.size, self.block
-        self.items.append((name, words))
+        size, block = self.size, self.block
         for end in range(block, len(words) + 1):
             key = tuple(words[end - block : end])
             jump = max(0, size - end)
             self.shift[key] = min(jump, self.shift.get(key, jump))
-            if end >= size:
-                self.bucket.setdefault(key, []).append((words[end - size], at, end))
+            if end < size:
+                continue
+            window = words[end - size : end]
+            alike = self.bucket.setdefault(key, {}).setdefault(hash(tuple(window)), [])
+            for number, own, stop in alike:
+                if own[stop - size : stop] == window:
+                    if self.names[number][-1] != name:
+                        self.names[number].append(name)
+                    break
+            else:
+                alike.append((len(self.names), words, end))
+                self.names.append([name])
 
     def search(self, words: list[bytes], spans: list[tuple[int, int]], found: set[str]) -> None:
         """Append the word span of every occurrence, collect the names of its items."""
-        size, block, items = self.size, self.block, self.items
+        size, block = self.size, self.block
         jump_of, longest = self.shift.get, self.size - self.block + 1
         end, n = size, len(words)
+        seen: set[int] = set()
         while end <= n:
             key = (words[end - 2], words[end - 1]) if block == 2 else (words[end - 1],)
             jump = jump_of(key, longest)
             if jump:
                 end += jump
                 continue
-            first, seen = words[end - size], None
-            for start_word, at, stop in self.bucket[key]:
-                if start_word == first:
-                    seen = seen or words[end - size : end]
-                    name, own = items[at]
-                    if own[stop - size : stop] == seen:
-                        found.add(name)
-                        if spans and spans[-1][1] >= end - size and spans[-1][0] <= end - size:
-                            spans[-1] = (spans[-1][0], max(spans[-1][1], end))
-                        else:
-                            spans.append((end - size, end))
+            window = words[end - size : end]
+            for number, own, stop in self.bucket[key].get(hash(tuple(window)), ()):
+                if own[stop - size : stop] == window:
+                    if number not in seen:
+                        seen.add(number)
+                        found.update(self.names[number])
+                    if spans and spans[-1][1] >= end - size and spans[-1][0] <= end - size:
+                        spans[-1] = (spans[-1][0], max(spans[-1][1], end))
+                    else:
+                        spans.append((end - size, end))
             end += 1
 
 
@@ -119,14 +133,17 @@ def contamination(
     item_text_col: str = "text",
     window: int = 13,
     block_bytes: int = 4 << 20,
+    blocks_a_pass: int = 16,
     carry: bool = False,
 ) -> DataFrame:
     """Where windows of ``window`` consecutive item words occur in documents.
 
-    The items are taken as broadcast blocks of at most ``block_bytes``, so what an
-    executor holds does not grow with the benchmark, and the driver two blocks and one
-    partition of it; each further block is another pass
-    over the documents. Documents are never shuffled, whatever their number or skew.
+    The items are taken as broadcast blocks of at most ``block_bytes``. One pass takes up
+    to ``blocks_a_pass`` of them and searches ``RUN_BYTES`` of texts for one block after
+    the other, so a task holds the tables of one block. Each further pass writes and
+    reads the documents once. What an executor holds does not grow with the benchmark,
+    and the driver holds two blocks and one partition of it at a time. Documents are
+    never shuffled, whatever their number or skew.
 
     Returns one row per input row: ``id``, ``n_words``, ``spans`` (disjoint word ranges
     that windows cover, end exclusive), ``n_hit`` (words in them), ``items`` (ids, as
@@ -148,46 +165,62 @@ def contamination(
         rows.schema["id"], T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS),
         T.StructField("items", T.ArrayType(T.StringType())),
     ])
-    block: list | None = None
-    for following in chain(_blocks(named, block_bytes), [None]):
-        if block is not None:
-            last = following is None
-            keep = carry or not last
-            shape = T.StructType([*kept.fields, rows.schema["doc"]]) if keep else kept
-            held = spark.sparkContext.broadcast(block)
-            rows = rows.mapInArrow(_search(held, text_col, window, keep), shape)
-            if not last:
-                rows = stored(rows)
-        block = following
+    blocks, last = _blocks(named, block_bytes), False
+    following = next(blocks)
+    while not last:
+        held = []
+        while following is not None and len(held) < blocks_a_pass:
+            held.append(spark.sparkContext.broadcast(following))
+            following = next(blocks, None)
+        last = following is None
+        keep = carry or not last
+        shape = T.StructType([*kept.fields, rows.schema["doc"]]) if keep else kept
+        rows = rows.mapInArrow(_search(held, text_col, window, keep), shape)
+        if not last:
+            rows = stored(rows)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return rows.withColumns({"n_hit": hit, "n_items": F.size("items").cast("long")})
 
 
-def _search(block, text_col: str, window: int, keep: bool):
-    """The scan of one block; earlier blocks' spans and items are taken over."""
+def _runs(parts: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in runs of at least ``most`` bytes, but for the last run."""
+    run, held = [], 0
+    for part in parts:
+        run.append(part)
+        held += part.nbytes
+        if held >= most:
+            yield run
+            run, held = [], 0
+    if run:
+        yield run
+
+
+def _search(held: list, text_col: str, window: int, keep: bool):
+    """The scan of one pass; earlier passes' spans and items are taken over."""
 
     def texts_first(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.append_column("text", batch.column("doc").field(text_col))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = tables_of(block.value, window)
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
-            for part in slices(texts_first(batch), "text"):
-                more = "spans" in part.schema.names
-                n_words, spans, items = [], [], []
-                for i, text in enumerate(text_bytes(part.column("text"))):
-                    words = words_of(text)
-                    where = [(s["start"], s["end"]) for s in part["spans"][i].as_py()] if more else []
-                    found = set(part["items"][i].as_py()) if more else set()
-                    for t in tables:
-                        t.search(words, where, found)
-                    n_words.append(len(words))
-                    spans.append([{"start": a, "end": b} for a, b in merged(where)])
-                    items.append(sorted(found))
+        only = tables_of(held[0].value, window) if len(held) == 1 else None
+        parts = (p for batch in batches for p in slices(texts_first(batch), "text"))
+        for run in _runs(parts, 1 if only is not None else RUN_BYTES):
+            met = [_earlier(part) for part in run]
+            for block in held:
+                tables = only if only is not None else tables_of(block.value, window)
+                for part, (n_words, where, found) in zip(run, met):
+                    for i, text in enumerate(text_bytes(part.column("text"))):
+                        words = words_of(text)
+                        n_words[i] = len(words)
+                        for t in tables:
+                            t.search(words, where[i], found[i])
+            for part, (n_words, where, found) in zip(run, met):
+                spans = [[{"start": a, "end": b} for a, b in merged(w)] for w in where]
                 out = {
                     "id": part.column("id"), "n_words": pa.array(n_words, pa.int64()),
-                    "spans": pa.array(spans, span), "items": pa.array(items, pa.list_(pa.string())),
+                    "spans": pa.array(spans, span),
+                    "items": pa.array([sorted(f) for f in found], pa.list_(pa.string())),
                 }
                 if keep:
                     out["doc"] = part.column("doc")
@@ -196,6 +229,15 @@ def _search(block, text_col: str, window: int, keep: bool):
     return scan
 
 
+def _earlier(part: pa.RecordBatch) -> tuple[list[int], list[list[tuple[int, int]]], list[set[str]]]:
+    """Numbers of words (unknown yet), spans and items that earlier passes found."""
+    n = part.num_rows
+    if "spans" not in part.schema.names:
+        return [0] * n, [[] for _ in range(n)], [set() for _ in range(n)]
+    spans = [[(s["start"], s["end"]) for s in row] for row in part.column("spans").to_pylist()]
+    return [0] * n, spans, [set(row) for row in part.column("items").to_pylist()]
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **columns: str) -> DataFrame:
     """``docs`` without contaminated rows; all columns stay, no row is shuffled."""
     found = contamination(docs, benchmark, carry=True, **columns)
