@@ -166,6 +166,23 @@ def test_passages_cover_whole_texts():
     assert np.isfinite(x).all() and np.allclose(np.concatenate(alone), x)
 
 
+@pytest.mark.parametrize("segment", [5, 64, 700])
+def test_long_texts_are_encoded_in_blocks(monkeypatch, segment):
+    r = random.Random(segment)
+    kinds = ["a", "b", "a", "Hello", "É", "\n", "x" * 90]
+    texts = [" ".join(r.choice(kinds) for _ in range(r.randrange(700))).encode() for _ in range(6)]
+    texts = [*texts, None, b"", b"  ", b"y" * 900, b"z z " * 100]
+    x, first = quality.encode(texts)
+    model = quality.Model(x.mean(0), x.std(0) + 1e-3)
+    scores, passages, weights = quality._scores(model, texts)
+    monkeypatch.setattr(quality, "SEGMENT", segment)
+    each, starts = quality.blocks(texts)
+    each = list(each)
+    assert len(each) > 3 and (starts == first).all() and np.allclose(np.concatenate(each), x, atol=1e-6)
+    again = quality._scores(model, texts)
+    assert np.allclose(again[0], scores, atol=1e-6) and again[1] == passages and np.allclose(again[2], weights, atol=1e-6)
+
+
 def test_scores_without_labels_and_with_odd_rows(spark):
     shape = "doc_id long, quality int, toxic int, text string"
     source = docs(spark, [(1, None), (2, ""), (None, "x"), (3, prose(1, 20_000)), (3, "again")])

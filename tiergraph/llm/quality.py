@@ -25,11 +25,16 @@ GOOD = 0.3
 _KIND = np.minimum(np.arange(256), KINDS - 1)
 
 
-def encode(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Passage features of whole texts, and the first passage of every text.
+#: Bytes whose features are computed at once; a longer text takes several steps.
+SEGMENT = 4 << 20
+
+
+def blocks(texts: list[bytes | None]) -> tuple[Iterator[np.ndarray], np.ndarray]:
+    """Passage features of whole texts in blocks of passages, and the first passage of every text.
 
     Passages are 64 words long, the last of a text may be shorter. A text without words
-    is one passage.
+    is one passage. A block has about ``SEGMENT`` bytes of text or one longer passage,
+    so besides the texts only places and hashes of their words are held whole.
     """
     texts = [t or b"" for t in texts]
     joined = np.frombuffer(b" ".join(texts), np.uint8)
@@ -47,36 +52,71 @@ def encode(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     later = np.arange(total) > first[doc]
     begins[later] = starts[word[later]]
     # The separators belong to no text, so a text's features don't depend on its neighbours.
-    real = np.ones(len(joined), bool)
-    real[offsets[1:-1] - 1] = False
-    at = np.repeat(np.arange(total), np.diff(np.append(begins, len(joined))))
-    sizes = np.bincount(at[real], minlength=total)
-    kinds = np.bincount(at[real] * KINDS + _KIND[joined[real]], minlength=total * KINDS)
-    both = real[:-1] & real[1:]
-    pair = (joined[:-1].astype(np.int64) * 37 + joined[1:] * 101) % PAIRS
-    pairs = np.bincount(at[:-1][both] * PAIRS + pair[both], minlength=total * PAIRS)
-    of = np.searchsorted(word, np.arange(len(hashes)), "right") - 1
-    words = np.bincount(of, minlength=total).astype(np.float64)
-    tagged = mix(hashes + of.astype(U64) * U64(0x9E3779B97F4A7C15))
-    _, kept = np.unique(tagged, return_index=True)
-    distinct = np.bincount(of[kept], minlength=total)
-    text = np.repeat(np.arange(len(texts)), n_words)
-    same = [
-        np.bincount(of[k:][(hashes[k:] == hashes[:-k]) & (text[k:] == text[:-k])], minlength=total)
-        for k in (1, 2)
-    ]
-    size = np.maximum(sizes, 1)
-    n = np.maximum(words, 1)
-    measures = np.stack(
-        [distinct / n, same[0] / n, same[1] / n, np.log1p(words), size / n / 16, np.log1p(n_passages[doc])],
-        axis=1,
-    )
-    features = np.concatenate([
-        np.sqrt(kinds.reshape(total, KINDS) / size[:, None]),
-        np.sqrt(pairs.reshape(total, PAIRS) / size[:, None]),
-        measures,
-    ], axis=1).astype(np.float32)
-    return features, first[:-1]
+    gaps = offsets[1:-1] - 1
+
+    def letters(lo: int, hi: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes, bytes by kind and byte pairs of passages ``lo`` to ``hi``."""
+        sizes, kinds, pairs = np.zeros(n), np.zeros(n * KINDS), np.zeros(n * PAIRS)
+        begin, end = int(begins[lo]), int(begins[hi]) if hi < total else len(joined)
+        for at in range(begin, end, SEGMENT):
+            stop = min(at + SEGMENT, end)
+            # One byte more, for the pair that the last byte begins.
+            chars = joined[at : stop + 1]
+            real = np.ones(len(chars), bool)
+            real[gaps[np.searchsorted(gaps, at) : np.searchsorted(gaps, at + len(chars))] - at] = False
+            edge = np.searchsorted(begins[lo:hi], at, "right") - 1
+            inner = np.searchsorted(begins[lo:hi], stop)
+            cuts = np.concatenate([[at], begins[lo + edge + 1 : lo + inner], [stop]])
+            of = np.repeat(np.arange(edge, edge + len(cuts) - 1), np.diff(cuts))
+            own = real[: len(of)]
+            sizes += np.bincount(of[own], minlength=n)
+            kinds += np.bincount(of[own] * KINDS + _KIND[chars[: len(of)][own]], minlength=n * KINDS)
+            both = real[:-1] & real[1:]
+            pair = (chars[:-1].astype(np.int64) * 37 + chars[1:] * 101) % PAIRS
+            pairs += np.bincount(of[: len(both)][both] * PAIRS + pair[both], minlength=n * PAIRS)
+        return sizes, kinds.reshape(n, KINDS), pairs.reshape(n, PAIRS)
+
+    def features(lo: int, hi: int) -> np.ndarray:
+        n = hi - lo
+        sizes, kinds, pairs = letters(lo, hi, n)
+        begin, end = int(word[lo]), int(word[hi]) if hi < total else len(hashes)
+        own = hashes[begin:end]
+        of = np.searchsorted(word[lo:hi], np.arange(begin, end), "right") - 1
+        words = np.bincount(of, minlength=n).astype(np.float64)
+        tagged = mix(own + (of + lo).astype(U64) * U64(0x9E3779B97F4A7C15))
+        _, kept = np.unique(tagged, return_index=True)
+        distinct = np.bincount(of[kept], minlength=n)
+        same = []
+        for k in (1, 2):
+            # Words that repeat the k-th word before them in their text, maybe of an earlier block.
+            at = np.arange(max(begin, k), end)
+            text = doc[lo + of[at - begin]]
+            hit = (hashes[at] == hashes[at - k]) & (at - k >= bounds[text])
+            same.append(np.bincount(of[at[hit] - begin], minlength=n))
+        size, held = np.maximum(sizes, 1), np.maximum(words, 1)
+        measures = np.stack(
+            [distinct / held, same[0] / held, same[1] / held, np.log1p(words), size / held / 16,
+             np.log1p(n_passages[doc[lo:hi]])],
+            axis=1,
+        )
+        return np.concatenate(
+            [np.sqrt(kinds / size[:, None]), np.sqrt(pairs / size[:, None]), measures], axis=1
+        ).astype(np.float32)
+
+    def each() -> Iterator[np.ndarray]:
+        lo = 0
+        while lo < total:
+            hi = max(lo + 1, int(np.searchsorted(begins, begins[lo] + SEGMENT)))
+            yield features(lo, hi)
+            lo = hi
+
+    return each(), first[:-1]
+
+
+def encode(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """All blocks of ``blocks`` as one array, and the first passage of every text."""
+    each, first = blocks(texts)
+    return np.concatenate([*each, np.zeros((0, WIDTH), np.float32)]), first
 
 
 class Model:
@@ -107,18 +147,27 @@ class Model:
         model.p = {k: weights[k] for k in model.p}
         return model
 
-    def forward(self, x: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
+    def hidden(self, x: np.ndarray) -> dict[str, np.ndarray]:
+        """What a passage gives by itself: its representation and the terms of its attention."""
         p = self.p
         x = np.clip((x - self.mean) / self.scale, -8, 8)
-        seg = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(x))))
         h = np.maximum(x @ p["W"] + p["b"], 0)
-        t, s = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-(h @ p["U"])))
-        e = (t * s) @ p["w"]
+        return {"x": x, "h": h, "t": np.tanh(h @ p["V"]), "s": 1 / (1 + np.exp(-(h @ p["U"])))}
+
+    def attend(self, h: np.ndarray, ts: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
+        """Attention within every text, its weighted representation and score."""
+        p = self.p
+        seg = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
+        e = ts @ p["w"]
         a = np.exp(e - np.maximum.reduceat(e, first)[seg])
         a /= np.add.reduceat(a, first)[seg]
         z = np.add.reduceat(a[:, None] * h, first, axis=0)
         score = 1 / (1 + np.exp(-(z @ p["c"] + p["d"])))
-        return {"x": x, "seg": seg, "h": h, "t": t, "s": s, "a": a, "z": z, "score": score}
+        return {"seg": seg, "a": a, "z": z, "score": score}
+
+    def forward(self, x: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
+        f = self.hidden(x)
+        return {**f, **self.attend(f["h"], f["t"] * f["s"], first)}
 
     def gradients(self, x: np.ndarray, first: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         p, f = self.p, self.forward(x, first)
@@ -230,8 +279,9 @@ def _scores(model, texts: list[bytes | None]) -> tuple[np.ndarray, list[int], li
     """Score, most attended passage and its weight of every text."""
     if model is None:
         return np.full(len(texts), 0.5), [0] * len(texts), [1.0] * len(texts)
-    x, first = encode(texts)
-    f = model.forward(x, first)
+    each, first = blocks(texts)
+    parts = [(f["h"], f["t"] * f["s"]) for f in map(model.hidden, each)]
+    f = model.attend(*(np.concatenate(p) for p in zip(*parts)), first)
     weights = np.split(f["a"], first[1:])
     return f["score"].astype(np.float64), [int(w.argmax()) for w in weights], [float(w.max()) for w in weights]
 
