@@ -1,3 +1,4 @@
+import bisect
 import datetime as dt
 import random
 from collections import Counter
@@ -99,6 +100,28 @@ def test_paths_of_entries_keep_their_case(spark):
     assert got == urls
 
 
+def test_a_pattern_with_a_thousand_intervals_on_a_busy_host(spark):
+    r = random.Random(6)
+    first = dt.date(2020, 1, 1)
+    days = sorted(r.sample(range(4_000), 2_001))
+    listed = [(name, "busy.org", str(first + dt.timedelta(d)), ("add", "remove")[i % 2])
+              for name in ("a", "b") for i, d in enumerate(days[name == "b" :])]
+    when = [r.randrange(-50, 4_100) for _ in range(600)] + days[:40]
+    captures = spark.createDataFrame(
+        [(i, "http://busy.org/" if i % 2 else f"http://h{i}.net/", first + dt.timedelta(d)) for i, d in enumerate(when)],
+        "page_id long, url string, fetched_at date",
+    )
+    got = {r["id"]: (r["n_active"], r["list"], r["valid_from"]) for r in url_filter.filter_urls(captures, entries(spark, listed)).collect()}
+    assert len(got) == len(when)
+    for i, d in enumerate(when):
+        hits = []
+        for name, own in (("a", days), ("b", days[1:])):
+            at = bisect.bisect_right(own, d) - 1
+            if i % 2 and at >= 0 and at % 2 == 0:
+                hits.append((name, first + dt.timedelta(own[at])))
+        assert got[i] == ((len(hits), *hits[0]) if hits else (0, None, None))
+
+
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style></head><body class="has-sidebar">
 <header><h1>Site</h1></header><nav><ul><li>menu</ul></nav><div class="cookie-notice">We use cookies</div>
 <div id="sidebar"><p>side</p></div><main><article><header><h1>Title &amp; more</h1></header>

@@ -94,21 +94,31 @@ def filter_urls(
     first list by name): ``pattern``, ``list``, ``valid_from``. Hosts meet in any case,
     paths in their own.
 
-    Keys of captures pass a fixed-size filter of all patterns before they are joined, so
-    only possible hits are shuffled; the busy key of a large host is a join partition
-    that Spark splits. A null URL, a URL without a host and a capture without a time hit
+    The join is as of the fetch: a pattern of a list is one row with the sorted starts and
+    ends of its intervals, at most one a day, and a capture takes the last that started
+    no later and tests its end. So a capture meets a pattern once, however often that was
+    listed. Keys of captures pass a fixed-size filter of all patterns before they are
+    joined, so only possible hits are shuffled; the busy key of a large host is a join
+    partition that Spark splits. A null URL, a URL without a host and a capture without a time hit
     nothing. Ids may be null or repeated: equal rows get equal results. Other columns
     are not read. Empty lists block nothing, an empty table gives an empty result.
     """
     rows = captures.select(
         F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(time_col).alias("fetched_at")
     )
-    spans = stored(intervals(entries, path_case=True))
+    span = F.struct(F.col("valid_from").alias("start"), F.col("valid_to").alias("end"))
+    spans = stored(
+        intervals(entries, path_case=True)
+        .groupBy("list", "pattern")
+        .agg(F.sort_array(F.collect_list(span)).alias("spans"))
+        .select("list", "pattern", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
+    )
     keys = rows.where("url IS NOT NULL AND fetched_at IS NOT NULL").distinct().withColumn(
         "pattern", F.explode(lookup_keys(F.col("url")))
     )
     near = maybe_in(keys, spans.select("pattern"), {"pattern": F.col("pattern")}, "_maybe")
-    active = (F.col("fetched_at") >= F.col("valid_from")) & (
+    last = F.size(F.filter("starts", lambda s: s <= F.col("fetched_at"))) - 1
+    active = F.col("valid_from").isNotNull() & (
         F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to"))
     )
     first = F.min_by(
@@ -116,7 +126,10 @@ def filter_urls(
         F.struct(-F.length("pattern"), "pattern", "list", "valid_from"),
     )
     hits = stored(
-        near.where("_maybe").drop("_maybe").join(spans, "pattern").where(active)
+        near.where("_maybe").drop("_maybe").join(spans, "pattern")
+        .select("id", "url", "fetched_at", "pattern", "list", F.get("starts", last).alias("valid_from"),
+                F.get("ends", last).alias("valid_to"))
+        .where(active)
         .groupBy("id", "url", "fetched_at")
         .agg(F.count(F.lit(1)).alias("n_active"), first.alias("hit"))
     )
