@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import samples
-from tiergraph.operators import flatten, listing
+from tiergraph.operators import flatten, listing, reach
 from tiergraph.plans import projections as pj
 from tiergraph.session import cut
 from tiergraph.sources import dims, documents
@@ -57,3 +57,19 @@ def test_cut_tables_are_compressed_and_sized(spark):
     assert kept.schema == rows.schema or kept.columns == rows.columns
     size = kept._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     assert int(str(size)) < 2_000_000 and kept.count() == 200_000
+
+
+def test_reach_over_components_keeps_pairs_in_place(spark):
+    ring = [("a", "b"), ("b", "c"), ("c", "a"), ("a", "a"), ("a", "b")]
+    edges = spark.createDataFrame([*ring, ("c", "t"), ("t", "u"), ("s", "a"), ("x", "y")], "source string, target string")
+    ids = lambda *names: spark.createDataFrame([(n,) for n in names], "id string")
+    seeds, nodes = ids("a", "b", "s", "u", "lone"), ids(*"abcstuxy", "lone")
+    rows = lambda df, *c: sorted(tuple(r) for r in df.select(*c).collect())
+    down, up = reach.downstream(edges, seeds), reach.upstream(edges, seeds)
+    assert rows(reach.reached(edges, seeds), "seed", "node") == rows(down, "seed", "node")
+    assert rows(reach.reached(edges, seeds, up=True), "seed", "node") == rows(up, "seed", "node")
+    want = rows(reach.ripple(nodes, down, up, seeds), "seed", "node", "status")
+    got = reach.ripple_pairs(edges, nodes, seeds)
+    assert rows(got, "seed", "node", "status") == want and len(want) > 15
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [seed" not in plan
