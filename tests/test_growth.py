@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import samples
 from tiergraph.operators import flatten, listing, reach
 from tiergraph.plans import projections as pj
+from tiergraph.plans.queries import REGISTRY
 from tiergraph.session import cut
 from tiergraph.sources import dims, documents
 
@@ -73,3 +74,15 @@ def test_reach_over_components_keeps_pairs_in_place(spark):
     assert rows(got, "seed", "node", "status") == want and len(want) > 15
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [seed" not in plan
+
+
+@needs_tables
+def test_isolated_nodes_are_sought_among_companies_and_orders(spark, tmp_path):
+    name = pj.table(spark, SF_DIR, "customer").select("c_name").first()[0]
+    for table in ("supplier", "orders", "lineitem"):
+        pj.table(spark, SF_DIR, table).write.parquet(f"{tmp_path}/{table}.parquet")
+    alone = pj.table(spark, SF_DIR, "customer")
+    more = alone.limit(1).withColumn("c_custkey", F.lit(-1).cast(alone.schema["c_custkey"].dataType))
+    alone.unionByName(more.withColumn("c_name", F.lit("Nobody"))).write.parquet(f"{tmp_path}/customer.parquet")
+    found = {r.id for r in REGISTRY["isolated_nodes"].run(spark, str(tmp_path)).collect()}
+    assert "Nobody" in found and name not in found
