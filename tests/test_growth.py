@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import samples
-from tiergraph.operators import flatten, listing, reach
+from tiergraph.operators import flatten, graph, listing, reach
 from tiergraph.plans import projections as pj
 from tiergraph.plans.queries import REGISTRY
 from tiergraph.session import cut
@@ -86,3 +86,45 @@ def test_isolated_nodes_are_sought_among_companies_and_orders(spark, tmp_path):
     alone.unionByName(more.withColumn("c_name", F.lit("Nobody"))).write.parquet(f"{tmp_path}/customer.parquet")
     found = {r.id for r in REGISTRY["isolated_nodes"].run(spark, str(tmp_path)).collect()}
     assert "Nobody" in found and name not in found
+
+
+@needs_tables
+def test_lines_are_not_joined_with_customers(spark):
+    for rows in (pj.edges(spark, SF_DIR), pj.feeds(spark, SF_DIR)):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        at = next(i for i, line in enumerate(plan) if "Join Inner, (o_custkey" in line)
+        depth = len(plan[at]) - len(plan[at].lstrip(" :+-"))
+        below = []
+        for line in plan[at + 1 :]:
+            if len(line) - len(line.lstrip(" :+-")) <= depth:
+                break
+            below.append(line)
+        assert below and not any("l_linenumber" in line for line in below)
+
+
+@needs_tables
+def test_first_groups_are_read_off_players_at_once(spark):
+    players = pj.players(spark, SF_DIR)
+    extra = spark.createDataFrame(
+        [("A", "c", "domain", "power", "", 2), ("A", "c", "layer", None, "s", 1), ("A", "c", "layer", "memory", "t", 3),
+         ("B", "c", "other", "x", None, 1)],
+        "company string, chain string, kind string, slug string, sector string, ord long",
+    )
+    for rows in (players, extra):
+        members = graph.memberships(rows)
+        sector = members.filter("facet = 'sector'").groupBy("id").agg(F.min_by("value", "ord").alias("sector"))
+        want = graph.primary_group(members, "none").join(sector, "id", "left")
+        got = graph.first_groups(rows, "none")
+        assert got.count() > 0 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    plan = graph.first_groups(players, "none")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("Aggregate") == 1
+
+
+@needs_tables
+def test_linked_places_count_placed_edges(spark):
+    players, edges = pj.players(spark, SF_DIR), pj.feeds(spark, SF_DIR)
+    places = listing.listed_groups(graph.first_groups(players, "other"), dims.taxonomy(spark))
+    columns = ["source", "target", "from_col", "from_row", "to_col", "to_row"]
+    want = listing.placed_edges(edges, places).groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+    got = listing.linked_places(edges, places)
+    assert got.count() > 0 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
