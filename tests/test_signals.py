@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tiergraph.functions.automata import Automaton
 from tiergraph.functions import automata, display, fixed_values as fixed, labels, market
 from tiergraph.functions import text as tx
 from tiergraph.operators import components, signals
@@ -105,6 +106,26 @@ def test_seams_equal_the_whole_text(spark):
     assert all(single[c] - {"g"} <= set(want[c]) for c in want)
 
 
+def test_long_texts_are_looked_ahead_in():
+    prose = " ".join(random.Random(3).choices(["lorem", "ipsum", "src", "dolor", "at\n"], k=20_000))
+    machine = Automaton(r"src1 [\s\S]*src2 [\s\S]*src3 ")
+    read = []
+    step = machine._step
+    machine._step = lambda number, c: read.append(c) or step(number, c)
+
+    class Counted(str):
+        def __getitem__(self, at):
+            read.append(at)
+            return str.__getitem__(self, at)
+
+    classed = machine._classed
+    machine._classed = lambda text: Counted(classed(text))
+    whole = machine.summary(f"{prose} src1 {prose} src2 {prose}")
+    assert len(read) < len(prose) / 10
+    assert whole.alive and whole.then(machine.summary("src3 a")).tail_found
+    assert not machine.summary(prose).then(machine.summary("src3 a")).tail_found
+
+
 def test_last_and_recent(spark):
     rows = [("A", q, f"s{i}", "", "c", i) for i, q in enumerate(
         ["(01-01-2026)", None, "(03-01-2026)", "(03-01-2026)", "(13-01-2026)"])]
