@@ -9,7 +9,7 @@ from tiergraph.functions.automata import Automaton
 from tiergraph.functions import automata, display, fixed_values as fixed, labels, market
 from tiergraph.functions import text as tx
 from tiergraph.operators import components, signals
-from tiergraph.operators.facts import _Facts
+from tiergraph.operators.facts import _Facts, linked_rows
 
 SCHEMA = "company string, quarter string, signal string, figure string, chain string, ord int"
 
@@ -244,3 +244,38 @@ def test_one_company_is_replayed_in_many_parts(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert len(facts) == 100 and len({r.p for r in facts}) > 1
+
+
+def test_timeline_links_small_groups_in_a_task_and_large_ones_by_token(spark):
+    rng = random.Random(5)
+    rows = []
+    for company, n in (("A", 90), ("B", 40), (None, 25)):
+        for i in range(n):
+            pick = rng.sample([f"word{k}" for k in range(12)], rng.randrange(4, 9))
+            rows.append((company, None, f"{' '.join(pick)} in {rng.choice([2026, 2027])} now.", None, "c", i))
+    told = signals.dated_sentences(table(spark, rows))
+    of = lambda **kw: sorted(map(repr, signals.merged_facts(told, **kw).collect()))
+    whole = of()
+    assert of(most_rows=30) == whole and of(most_rows=1) == whole
+
+
+def test_linked_rows_are_components_of_alike_wordings():
+    rng = random.Random(6)
+    sets = [frozenset(rng.sample("abcdefghijkl", rng.randrange(1, 8))) for _ in range(60)] + [frozenset()] * 2
+    root = list(range(len(sets)))
+    for _ in sets:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if a == b or len(a & b) / len(a | b) >= 0.6:
+                    root[i] = root[j] = min(root[i], root[j])
+    want = [r if root.count(r) > 1 else None for r in root]
+    assert linked_rows([" ".join(s) for s in sets], 0.6) == want
+
+
+def test_a_sentence_alike_to_no_other_is_not_shuffled_again(spark):
+    rows = [("A", None, f"item{i} ships part{i} to site{i} in Q1 2026.", None, "c", i) for i in range(40)]
+    rows += [("A", None, "one line ships twice in Q1 2026.", None, "c", 40 + i) for i in range(2)]
+    facts = signals.merged_facts(signals.dated_sentences(table(spark, rows)))
+    assert facts.count() == 41
+    plan = facts._jdf.queryExecution().optimizedPlan().toString()
+    assert "isnotnull(component" in plan and plan.count("RepartitionByExpression") == 1
