@@ -161,6 +161,21 @@ def test_second_placement_adds_a_stub_and_keeps_every_player(spark):
     assert len(pr.RULES) < 200
 
 
+def test_rules_are_tried_once_for_equal_players_and_read_them_once(spark):
+    rows = [("A", "oem", "mediatek", "CPO ASIC", 1), ("A", "oem", "MediaTek", "CPO asic", 2),
+            ("B", None, None, None, 3), ("B", "oem", None, "servers", 4), ("B", None, None, None, 5)]
+    players = spark.createDataFrame(rows, "chain string, tier string, company string, product string, ord int")
+    bare = classify.schemas.PLAYER
+    for name in ("connects_to", "quarterly_data"):
+        players = players.withColumn(name, F.array().cast(bare[name].dataType))
+    both = classify.add_stubs(classify.classify_players(players))
+    assert sorted((r.ord.player, r.ord.stub) for r in both.collect()) == [
+        (1, False), (1, True), (2, False), (2, True), (3, False), (4, False), (5, False)]
+    assert {r.note for r in both.filter("ord.player in (3, 5)").collect()} == {"unknown old tier 'None'"}
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan and "Contains" not in plan and "Union" not in plan and plan.count("LogicalRDD") == 1
+
+
 def test_renames_grow_when_repeated_unless_word_safe(spark):
     df = spark.createDataFrame([("Amkor", "Amkor and Google Cloud"), ("Amkor Technology", None)],
                                "company string, signal string")
