@@ -277,6 +277,19 @@ def test_reach_of_random_graphs(spark, seed, n, m):
         s: min(t for t in want[s] if s in want[t]) for s in names}
 
 
+def test_ends_with_equal_predecessors_are_one_goal(spark, monkeypatch):
+    pairs = [("a", "b"), ("b", "a")] + [("a", f"end{i}") for i in range(150)] + [(f"start{i}", "b") for i in range(150)]
+    passes = []
+    spread = reach.propagate
+    monkeypatch.setattr(reach, "propagate", lambda *a: passes.append(1) or spread(*a))
+    names = sorted({x for p in pairs for x in p})
+    got = reach.reach_counts(edges(spark, pairs), ids(spark, names), block_seeds=64).collect()
+    want = {"a": (151, 151), "b": (151, 151)}
+    want |= {f"end{i}": (0, 152) for i in range(150)} | {f"start{i}": (152, 0) for i in range(150)}
+    assert {r.id: (r.downstream, r.upstream) for r in got} == want
+    assert len(passes) == 2
+
+
 def test_reach_without_edges_or_seeds(spark):
     e, none = edges(spark, [("a", "b")]), ids(spark, [])
     assert reach.downstream(e, none).count() == 0 and reach.reach_counts(e, none).count() == 0
