@@ -319,3 +319,9 @@ def test_neighbours_and_edges_between(spark, g):
 
 def test_empty_metadata_schema(spark):
     assert schemas.METADATA.fieldNames() == ["ticker", "exchange", "country", "status"]
+
+
+def test_players_meet_before_they_become_a_row_per_facet(spark):
+    players = spark.createDataFrame([("A", 1, "layer", "memory", "s", "c")], "company string, ord int, kind string, slug string, sector string, chain string")
+    plan = graph.memberships(players)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("Generate") < plan.index("RebalancePartitions [company")
