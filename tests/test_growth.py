@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import samples
-from tiergraph.operators import flatten, graph, listing, reach
+from tiergraph.operators import flatten, graph, listing, ordering, reach
 from tiergraph.plans import projections as pj
 from tiergraph.plans.queries import REGISTRY
 from tiergraph.session import cut
@@ -128,3 +128,54 @@ def test_linked_places_count_placed_edges(spark):
     want = listing.placed_edges(edges, places).groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
     got = listing.linked_places(edges, places)
     assert got.count() > 0 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def nodes_of(plan):
+    yield plan
+    for i in range(plan.children().size()):
+        yield from nodes_of(plan.children().apply(i))
+
+
+def test_players_carry_no_copy_of_their_sector(spark, tmp_path):
+    chains = documents.read_chains(spark, samples.write_chains(str(tmp_path)))
+    players = flatten.explode_players(chains)
+    found = [n for n in nodes_of(players._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "Generate"]
+    carried = [n.requiredChildOutput() for n in found]
+    types = {c.apply(i).dataType().typeName() for c in carried for i in range(c.size())}
+    assert len(found) == 3 and types and not types & {"struct", "array"}
+
+
+@needs_tables
+def test_players_are_read_once_to_be_cut_into_parts(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(ordering, "cut", lambda df: kept.append(df) or cut(df))
+    players = pj.players(spark, SF_DIR).withColumns(
+        {c: F.array().cast("array<string>") for c in ("connects_to", "quarterly_data")}
+    )
+    flatten.renest_chains(players, dims.taxonomy(spark), 100)
+    plan = kept[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_linenumber") > 0 and plan.count("Relation [l_orderkey") == 1
+
+
+def test_parts_follow_the_nested_order_over_many_ranges(spark):
+    slugs = [("layer", "memory"), ("layer", "odd"), ("layer", "older"), ("domain", "power"), ("layer", None), (None, "x")]
+    rows = []
+    for i in range(4000):
+        # One sector holds most rows of a chain, so it goes through several ranges.
+        kind, slug = slugs[(i * 7) % 11 % 6] if i % 3 == 0 else slugs[0]
+        rows.append(("big" if i % 5 else None, kind, slug, None if i % 9 == 0 else f"s{i % 3 and i % 4}", (i * 1237) % 4001))
+    schema = "chain string, kind string, slug string, sector string, ord long"
+    players = spark.createDataFrame(rows, schema).repartition(7).withColumns(
+        {"company": F.col("ord").cast("string"), "product": F.lit("p"), "connects_to": F.array().cast("array<string>"),
+         "quarterly_data": F.array().cast("array<string>")}
+    )
+    places = {(r.kind, r.slug): r.place for r in dims.taxonomy(spark).collect()}
+    first = lambda n: {k: min(r[4] for r in rows if r[:n] == k) for k in {r[:n] for r in rows}}
+    slug_at, sector_at, want = first(3), first(4), {}
+    for chain in ("big", None):
+        group = lambda r: (r[1] != "layer", places.get((r[1], r[2]), 999), slug_at[r[:3]], sector_at[r[:4]], r[4])
+        for at, r in enumerate(sorted((r for r in rows if r[0] == chain), key=group)):
+            want[chain, r[4]] = (at, at // 30, at > 0 and at % 30 == 0 and r[4] != sector_at[r[:4]])
+    got = flatten._parts(players, dims.taxonomy(spark), 30).collect()
+    assert len(got) == len(rows) == len(want)
+    assert {(r.chain, int(r.company)): (r._at, r.part, r._continues) for r in got} == want
