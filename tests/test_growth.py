@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+import compare
 import samples
 from tiergraph.operators import flatten, graph, listing, ordering, reach
 from tiergraph.plans import projections as pj
@@ -179,3 +180,30 @@ def test_parts_follow_the_nested_order_over_many_ranges(spark):
     got = flatten._parts(players, dims.taxonomy(spark), 30).collect()
     assert len(got) == len(rows) == len(want)
     assert {(r.chain, int(r.company)): (r._at, r.part, r._continues) for r in got} == want
+
+
+def altered(folder, **tables):
+    """The smallest tables in ``folder``; those named are written anew by the given SQL."""
+    con = compare.database(SF_DIR)
+    for table in compare.TABLES:
+        if table in tables:
+            con.execute(f"COPY ({tables[table]}) TO '{folder}/{table}.parquet' (FORMAT parquet)")
+        else:
+            os.symlink(f"{SF_DIR}/{table}.parquet", f"{folder}/{table}.parquet")
+    return compare.database(str(folder))
+
+
+@needs_tables
+def test_node_view_reads_every_statement_and_lists_a_company_once(spark, tmp_path):
+    """Two parts of one name state one signal with two figures; a name is registered twice."""
+    line = "FROM lineitem WHERE l_partkey > 4 ORDER BY l_orderkey, l_linenumber LIMIT 1"
+    con = altered(
+        tmp_path,
+        part=f"SELECT * FROM part UNION ALL SELECT * REPLACE (997004 AS p_partkey) FROM part "
+             f"WHERE p_partkey = (SELECT l_partkey {line})",
+        lineitem=f"SELECT * FROM lineitem WHERE l_partkey <> 4 UNION ALL (SELECT * REPLACE (997004 AS l_partkey, 99 AS l_linenumber) {line})",
+        supplier="SELECT * FROM supplier UNION ALL SELECT * REPLACE (999999 AS s_suppkey, -1 AS s_acctbal) "
+                 "FROM supplier WHERE s_suppkey = 1",
+    )
+    outcome = compare.compare(spark, con, str(tmp_path), "enrich_graph", REGISTRY["enrich_graph"])
+    assert outcome.startswith("ok"), outcome
