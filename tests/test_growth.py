@@ -196,7 +196,7 @@ def altered(folder, **tables):
 @needs_tables
 def test_node_view_reads_every_statement_and_lists_a_company_once(spark, tmp_path):
     """Two parts of one name state one signal with two figures; a name is registered twice."""
-    line = "FROM lineitem WHERE l_partkey > 4 ORDER BY l_orderkey, l_linenumber LIMIT 1"
+    line = "FROM (FROM lineitem WHERE l_partkey > 4 ORDER BY l_orderkey, l_linenumber, l_partkey LIMIT 1)"
     con = altered(
         tmp_path,
         part=f"SELECT * FROM part UNION ALL SELECT * REPLACE (997004 AS p_partkey) FROM part "
