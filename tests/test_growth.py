@@ -207,3 +207,13 @@ def test_node_view_reads_every_statement_and_lists_a_company_once(spark, tmp_pat
     )
     outcome = compare.compare(spark, con, str(tmp_path), "enrich_graph", REGISTRY["enrich_graph"])
     assert outcome.startswith("ok"), outcome
+
+
+@needs_tables
+def test_review_lists_every_placement_in_its_order(spark):
+    rows = sorted(REGISTRY["review_table"].run(spark, SF_DIR).collect(), key=lambda r: r.position)
+    lines = pj.table(spark, SF_DIR, "lineitem").count()
+    stubs = sum(r.company.endswith(" (also)") for r in rows)
+    assert stubs > 0 and len(rows) == lines + stubs
+    assert [r.position for r in rows] == list(range(len(rows)))
+    assert [(not r.flagged, r.chain) for r in rows] == sorted((not r.flagged, r.chain) for r in rows)
