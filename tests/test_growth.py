@@ -1,6 +1,7 @@
 """Steps that must not move or keep more than they need."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -217,3 +218,41 @@ def test_review_lists_every_placement_in_its_order(spark):
     assert stubs > 0 and len(rows) == lines + stubs
     assert [r.position for r in rows] == list(range(len(rows)))
     assert [(not r.flagged, r.chain) for r in rows] == sorted((not r.flagged, r.chain) for r in rows)
+
+
+def test_thinned_links_reach_the_same(spark):
+    for n, m, seed in ((40, 30, 1), (40, 70, 2), (60, 400, 3), (9, 0, 4)):
+        rng = random.Random(seed)
+        rows = [(f"n{rng.randrange(n)}", f"n{rng.randrange(n)}") for _ in range(m)] + [("n1", None), (None, "n2")]
+        links = spark.createDataFrame(rows, "source string, target string").repartition(3)
+        thin = reach.thinned(links, 50)
+        ids = spark.createDataFrame([(f"n{i}",) for i in range(n)], "id string")
+        pairs = lambda df: {tuple(r) for r in reach.downstream(df, ids).select("seed", "node").collect()}
+        assert pairs(thin) == pairs(links) and thin.count() <= len(set(rows))
+    assert reach.thinned(links.filter("source = 'none'")).isEmpty()
+    ring = spark.range(2000).select(F.col("id").alias("source"), ((F.col("id") * 7 + 1) % 2000).alias("target"))
+    many = ring.unionByName(ring.select("target", "source").toDF("source", "target"))
+    assert reach.thinned(many).count() < many.distinct().count()
+
+
+@needs_tables
+@pytest.mark.parametrize("lost", ["l_suppkey = 1", "l_suppkey IS NULL", None])
+def test_ways_reach_what_feeds_reach(spark, tmp_path, lost):
+    """Also over lines of unknown suppliers, names of two keys and orders of unknown customers."""
+    gone = "true" if lost == "l_suppkey IS NULL" else "s_suppkey <> 1" if lost else "true"
+    lines = "SELECT * REPLACE (CASE WHEN l_suppkey = 2 THEN NULL ELSE l_suppkey END AS l_suppkey) FROM lineitem"
+    altered(
+        tmp_path,
+        lineitem=f"{lines if lost == 'l_suppkey IS NULL' else 'SELECT * FROM lineitem'} WHERE l_orderkey % 150 = 0",
+        supplier=f"SELECT * REPLACE (CASE s_suppkey WHEN 3 THEN 'Supplier#000000004' ELSE s_name END AS s_name) "
+                 f"FROM supplier WHERE {gone}",
+        customer="SELECT * FROM customer WHERE c_custkey % 7 > 0",
+    )
+    folder = str(tmp_path)
+    ids = pj.companies(spark, folder).distinct()
+    pairs = lambda df: {tuple(r) for r in reach.downstream(df, ids).select("seed", "node").collect()}
+    ways = pj.ways(spark, folder)
+    assert pairs(ways) == pairs(pj.feeds(spark, folder)) and pairs(ways)
+    if lost is None:
+        # Names come last, so lines move by keys alone.
+        assert ways.count() < reach.distinct_links(pj.feeds(spark, folder)).count()
