@@ -256,3 +256,40 @@ def test_ways_reach_what_feeds_reach(spark, tmp_path, lost):
     if lost is None:
         # Names come last, so lines move by keys alone.
         assert ways.count() < reach.distinct_links(pj.feeds(spark, folder)).count()
+
+
+def test_two_hops_over_numbers(spark):
+    rng = random.Random(5)
+    # More than one group of sources, a hub, loops, repeats and ends that lead nowhere.
+    rows = [(rng.randrange(1400), rng.choice([rng.randrange(1400), -1 - rng.randrange(50)])) for _ in range(4000)]
+    rows += [(7, n) for n in range(0, 1400, 3)] + [(8, 8), (8, 7), (8, 7)]
+    links = spark.createDataFrame(rows, "source long, target long").repartition(5)
+    named = spark.createDataFrame([(n, f"n{n}") for n in range(-50, 1400)], "id long, name string")
+    name = lambda end: F.concat(F.lit("n"), F.col(end).cast("string")).alias(end)
+    seeds = named.filter("id >= 0").select(F.col("name").alias("id"))
+    want = reach.downstream(links.select(name("source"), name("target")), seeds, 2)
+    got = reach.two_hops(links, named)
+    assert got.count() > 5000 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+@needs_tables
+def test_two_hops_move_links_once_and_by_numbers(spark):
+    plan = REGISTRY["downstream_hops"].run(spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    below = [b for a, b in zip(lines, lines[2:]) if "RepartitionByExpression [slot" in a]
+    # Nothing but the test for loops, so that the shuffle is one and the same wherever it is read.
+    assert len(below) > 1 and all("Filter" in b and ">= 0" not in b for b in below)
+    assert not any("Filter" in line and "l_quantity" in line for line in lines)
+
+
+@needs_tables
+def test_names_of_two_keys_are_one_company(spark, tmp_path):
+    con = altered(
+        tmp_path,
+        lineitem="SELECT * FROM lineitem WHERE l_orderkey % 100 = 0",
+        supplier="SELECT * REPLACE (CASE s_suppkey WHEN 3 THEN 'Supplier#000000004' ELSE s_name END AS s_name) FROM supplier",
+        customer="SELECT * REPLACE (CASE c_custkey % 9 WHEN 1 THEN 'Supplier#000000005' WHEN 2 THEN 'Twin' ELSE c_name END "
+                 "AS c_name) FROM customer",
+    )
+    outcome = compare.compare(spark, con, str(tmp_path), "downstream_hops", REGISTRY["downstream_hops"])
+    assert outcome.startswith("ok"), outcome
